@@ -1,11 +1,49 @@
-"""The corpus pipeline: STAGES, each over all that the stage before it kept."""
+"""The corpus pipeline: STAGES, each over all that the stage before it kept.
+
+Every stage takes (spark, docs, sf_dir), where docs has the columns of documents, and returns a DataFrame; all but the last return
+these columns. No stage but the near-dedup shuffles a text, and that one only to leave out what a group doesn't need.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemill.llm.op4_quality import kept_documents
+from tidemill.llm.op7_bpe import bpe_encoded
+from tidemill.llm.op8_mixing import mixed_documents
+from tidemill.llm.op9_surrogates import surrogate_documents
+from tidemill.llm.op10_simhash import simhash_groups
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go; without a vote a document stays."""
+    return kept_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the least doc_id stays; rows of one doc_id stay or go together, rows without doc_id stay."""
+    gone = simhash_groups(docs).filter(~F.col("keep")).select(F.col("doc_id").alias("gone_id"))
+    return docs.join(gone, F.col("doc_id").cast("long") == F.col("gone_id"), "left_anti")
+
+
+def surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data and secrets are replaced in the texts; every document stays."""
+    return surrogate_documents(docs)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as its source's target weight gives it copies."""
+    return mixed_documents(docs)
+
+
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, n_bytes, n_tokens, token_ids, round_trip, lang, source) for every row."""
+    return bpe_encoded(docs, also=("lang", "source"))
+
 
-STAGES: list = []
-ORACLE_SQL = None
+STAGES = [("quality classifier", quality_classifier), ("SimHash near-dedup", near_dedup), ("PII surrogates", surrogates), ("mixing to target weights", mixing), ("BPE encoding", encoding)]
+ORACLE_SQL = None  # a trained classifier, fingerprints and a tokenizer are no SQL; tests/llm has a brute-force version
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

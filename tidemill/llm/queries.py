@@ -25,8 +25,41 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .op2_suffixes import suffix_dedup
+
+    return suffix_dedup(table(spark, sf_dir, "documents"))
+
+
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that the classifier keeps, with their votes; what it rejects is what isn't there."""
+    from .op4_quality import quality_scores
+
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).filter("keep")
+
+
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .op7_bpe import bpe_encoded
+
+    return bpe_encoded(table(spark, sf_dir, "documents"))
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .op8_mixing import mixture
+
+    return mixture(table(spark, sf_dir, "documents"))
+
+
+def op9_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .op9_surrogates import surrogate_texts
+
+    return surrogate_texts(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_substring_dedup, op3_lm_scoring, op10_simhash)}
+    """By number: a query's name starts with its operator's."""
+    found = (op1_substring_dedup, op2_suffix_dedup, op3_lm_scoring, op4_quality_classifier, op7_bpe, op8_mixing, op9_surrogates, op10_simhash)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
