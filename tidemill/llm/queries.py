@@ -38,6 +38,18 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).filter("keep")
 
 
+def op5_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .op5_vptree import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
+def op6_embedding_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .op6_tiles import near_vectors
+
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .op7_bpe import bpe_encoded
 
@@ -58,7 +70,7 @@ def op9_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     """By number: a query's name starts with its operator's."""
-    found = (op1_substring_dedup, op2_suffix_dedup, op3_lm_scoring, op4_quality_classifier, op7_bpe, op8_mixing, op9_surrogates, op10_simhash)
+    found = (op1_substring_dedup, op2_suffix_dedup, op3_lm_scoring, op4_quality_classifier, op5_vptree, op6_embedding_tiles, op7_bpe, op8_mixing, op9_surrogates, op10_simhash)
     return {f.__name__: f for f in found}
 
 
