@@ -27,7 +27,7 @@ from .op1_chunks import spans_of
 K, WINDOW, MIN_SPAN = 24, 100, 120
 LEFT, RIGHT = 100, 160
 PLACES = pa.schema([("head", pa.int64()), ("doc_id", pa.int64()), ("at", pa.int64())])
-SUFFIXES = pa.schema([("head", pa.int64()), ("doc_id", pa.int64()), ("at", pa.int64()), ("before", pa.binary()), ("after", pa.binary())])
+SUFFIXES = pa.schema([("doc_id", pa.int64()), ("at", pa.int64()), ("before", pa.binary()), ("after", pa.binary())])
 MATCHES = pa.schema([("doc_id", pa.int64()), ("start_byte", pa.int64()), ("end_byte", pa.int64()), ("other", pa.int64())])
 
 
@@ -94,21 +94,20 @@ def place_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def suffix_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From (doc_id, text, places: the heads and positions of a text) to suffixes with what stands before and after them."""
+    """From (doc_id, text, places: the kept positions of a text) to suffixes with what stands before and after them."""
     for whole in batches:
         for batch in pieces(whole, 1 << 20):
             raw, offsets = flat_bytes(batch.column(1))
             data, places = raw.tobytes(), batch.column(2)
             counts = np.diff(np.asarray(places.offsets))
-            flat = places.flatten()
-            at, head = flat.field("at").to_numpy(), flat.field("head").to_numpy()
+            at = places.flatten().to_numpy()
             row = np.repeat(np.arange(batch.num_rows), counts)
             lo, hi = offsets[row], offsets[row + 1]
             mid = lo + at
             before = [data[a:b] for a, b in zip(np.maximum(mid - LEFT, lo).tolist(), mid.tolist(), strict=True)]
             after = [data[a:b] for a, b in zip(mid.tolist(), np.minimum(mid + RIGHT, hi).tolist(), strict=True)]
             for s in range(0, len(at), 8192):
-                yield batch_of(SUFFIXES, head[s : s + 8192], batch.column(0).to_numpy()[row[s : s + 8192]], at[s : s + 8192], before[s : s + 8192], after[s : s + 8192])
+                yield batch_of(SUFFIXES, batch.column(0).to_numpy()[row[s : s + 8192]], at[s : s + 8192], before[s : s + 8192], after[s : s + 8192])
 
 
 def _grid(column: pa.Array, width: int, from_right: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -139,10 +138,10 @@ def neighbour_batches(batches: Iterator[pa.RecordBatch], min_span: int = MIN_SPA
         if batch.num_rows == 0:
             continue
         rows = pa.Table.from_batches([waiting, batch] if waiting is not None else [batch]).combine_chunks().to_batches()[0]
-        head, doc, at = (rows.column(k).to_numpy() for k in range(3))
-        right = _common(*_grid(rows.column(4), RIGHT, False))
-        left = _common(*_grid(rows.column(3), LEFT, True))
-        same = (head[1:] == head[:-1]) & (left + right >= min_span)
+        doc, at = (rows.column(k).to_numpy() for k in range(2))
+        right = _common(*_grid(rows.column(3), RIGHT, False))
+        left = _common(*_grid(rows.column(2), LEFT, True))
+        same = (right >= K) & (left + right >= min_span)
         lo, hi, other = at.copy(), at.copy(), np.full(len(at), np.iinfo(np.int64).max)
         if best is not None:
             lo[0], hi[0], other[0] = best
@@ -155,7 +154,7 @@ def neighbour_batches(batches: Iterator[pa.RecordBatch], min_span: int = MIN_SPA
         waiting = pa.RecordBatch.from_pylist(waiting.to_pylist(), schema=rows.schema)
         yield out(doc[:-1], lo[:-1], hi[:-1], other[:-1])
     if waiting is not None:
-        yield out(waiting.column(1).to_numpy(), *(np.array([x]) for x in best))
+        yield out(waiting.column(0).to_numpy(), *(np.array([x]) for x in best))
 
 
 def suffix_dedup(docs: DataFrame, min_span: int = MIN_SPAN) -> DataFrame:
@@ -166,8 +165,8 @@ def suffix_dedup(docs: DataFrame, min_span: int = MIN_SPAN) -> DataFrame:
     texts = keyed_texts(docs).filter("doc_id is not null and text <> ''")
     places = texts.mapInArrow(place_batches, "head long, doc_id long, at long")
     repeated = places.groupBy("head").agg(F.count("*").alias("n")).filter("n > 1").select("head")
-    wanted = places.join(repeated, "head").groupBy("doc_id").agg(F.collect_set(F.struct("head", "at")).alias("places"))
-    suffixes = texts.join(wanted, "doc_id").select("doc_id", "text", "places").mapInArrow(suffix_batches, "head long, doc_id long, at long, before binary, after binary")
-    matches = suffixes.repartition("head").sortWithinPartitions("head", "after", "doc_id", "at").mapInArrow(lambda b: neighbour_batches(b, min_span), "doc_id long, start_byte long, end_byte long, other long")
+    wanted = places.join(repeated, "head").select("doc_id", F.col("at").cast("int").alias("at")).repartition("doc_id").groupBy("doc_id").agg(F.collect_set("at").alias("places"))
+    suffixes = texts.join(wanted, "doc_id").select("doc_id", "text", "places").mapInArrow(suffix_batches, "doc_id long, at long, before binary, after binary")
+    matches = suffixes.repartition(F.xxhash64(F.substring("after", 1, K))).sortWithinPartitions("after", "doc_id", "at").mapInArrow(lambda b: neighbour_batches(b, min_span), "doc_id long, start_byte long, end_byte long, other long")
     found = spans_of(matches, [F.least(F.min("other"), F.col("doc_id")).alias("first_doc_id")], min_span)
     return found.withColumn("keep", F.col("first_doc_id") == F.col("doc_id"))
