@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -93,12 +94,20 @@ def place_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 yield batch_of(PLACES, hashes.view(np.int64), batch.column(0).to_numpy()[row], at - offsets[row])
 
 
+def packed_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts compressed, for the shuffle that brings them to their places."""
+    squeeze = zstandard.ZstdCompressor(level=6).compress
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([squeeze(t.encode()) for t in batch.column(1).to_pylist()], pa.binary())], names=["doc_id", "packed"])
+
+
 def suffix_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From (doc_id, text, places: the kept positions of a text) to suffixes with what stands before and after them."""
+    """From (doc_id, packed text, places: the kept positions of a text) to suffixes with what stands before and after them."""
+    loosen = zstandard.ZstdDecompressor().decompress
     for whole in batches:
-        for batch in pieces(whole, 1 << 20):
-            raw, offsets = flat_bytes(batch.column(1))
-            data, places = raw.tobytes(), batch.column(2)
+        for batch in pieces(whole, 1 << 19):
+            texts, places = [loosen(t) for t in batch.column(1).to_pylist()], batch.column(2)
+            data, offsets = b"".join(texts), np.cumsum([0, *map(len, texts)])
             counts = np.diff(np.asarray(places.offsets))
             at = places.flatten().to_numpy()
             row = np.repeat(np.arange(batch.num_rows), counts)
@@ -166,7 +175,8 @@ def suffix_dedup(docs: DataFrame, min_span: int = MIN_SPAN) -> DataFrame:
     places = texts.mapInArrow(place_batches, "head long, doc_id long, at long")
     repeated = places.groupBy("head").agg(F.count("*").alias("n")).filter("n > 1").select("head")
     wanted = places.join(repeated, "head").select("doc_id", F.col("at").cast("int").alias("at")).repartition("doc_id").groupBy("doc_id").agg(F.collect_set("at").alias("places"))
-    suffixes = texts.join(wanted, "doc_id").select("doc_id", "text", "places").mapInArrow(suffix_batches, "doc_id long, at long, before binary, after binary")
+    packed = texts.mapInArrow(packed_batches, "doc_id long, packed binary")
+    suffixes = packed.join(wanted, "doc_id").select("doc_id", "packed", "places").mapInArrow(suffix_batches, "doc_id long, at long, before binary, after binary")
     matches = suffixes.repartition(F.xxhash64(F.substring("after", 1, K))).sortWithinPartitions("after", "doc_id", "at").mapInArrow(lambda b: neighbour_batches(b, min_span), "doc_id long, start_byte long, end_byte long, other long")
     found = spans_of(matches, [F.least(F.min("other"), F.col("doc_id")).alias("first_doc_id")], min_span)
     return found.withColumn("keep", F.col("first_doc_id") == F.col("doc_id"))
