@@ -152,8 +152,17 @@ def _secret(text: str, key: bytes) -> str:
     head = re.match(r"(AKIA|(?:password|passwd|pwd|secret|token|api[_-]?key)\s*[=:]\s*[\"']?)", text, re.I)
     start = head.end() if head else 0
     body = text[start:]
-    table = BY_HEX if re.fullmatch(r"[0-9a-fA-F]+", body) else BY_ALNUM
-    return text[:start] + permuted(body, "secret", key, table)
+    form, shout = _secret_form(body), body.isupper()
+    new = body.lower() if shout else body
+    while True:  # walking on along the cycle until the form is the same again keeps it a permutation of the strings of that form
+        new = permuted(new, "secret", key, BY_HEX if form[0] else BY_ALNUM)
+        if _secret_form(new.upper() if shout else new) == form:
+            return text[:start] + (new.upper() if shout else new)
+
+
+def _secret_form(body: str) -> tuple:
+    """Whether it is hexadecimal, has lower-case letters, has upper-case letters."""
+    return re.fullmatch(r"[0-9a-fA-F]+", body) is not None, body.upper() != body, body.lower() != body
 
 
 def _word(name: str, key: bytes) -> str:
@@ -177,12 +186,12 @@ TITLES = {"Mr": "m", "Mrs": "f", "Ms": "f", "Herr": "m", "Frau": "f", "Monsieur"
 NAME = r"[^\W\d_a-zà-öø-ÿа-яё][^\W\d_]+(?:[-'][^\W\d_]+)*"
 PATTERNS = {
     "email": r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
-    "secret": r"\bAKIA[0-9A-Z]{16}\b|\b(?:password|passwd|pwd|secret|token|api[_-]?key)\s*[=:]\s*[\"']?[A-Za-z0-9_\-]{6,}",
+    "secret": r"\bAKIA[0-9A-Z]{16}\b|\b(?i:password|passwd|pwd|secret|token|api[_-]?key)\s*[=:]\s*[\"']?[A-Za-z0-9_\-]{6,}",
     "ip": r"(?<![\d.])(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d)){3}(?![\d.]*\d)",
     "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
     "card": r"(?<![\d.])\d(?:[ -]?\d){12,18}(?![\d])",
     "national": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
-    "phone": r"\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<![\d(])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\d.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d.-])",
+    "phone": r"\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\.?\d)|(?<![\d(])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\d.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d.-])",
 }
 STRUCTURED = re.compile("|".join(f"(?P<{k}>{p})" for k, p in PATTERNS.items()))
 INTRODUCED = re.compile(rf"(?P<title>\b(?:{'|'.join(TITLES)})\b\.? |[Mm]y name is |[Ii]ch heiße |[Jj]e m'appelle |[Mm]e llamo |[Мм]еня зовут )(?P<name>{NAME}(?: {NAME})?)")
