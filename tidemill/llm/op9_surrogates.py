@@ -152,6 +152,8 @@ def _secret(text: str, key: bytes) -> str:
     head = re.match(r"(AKIA|(?:password|passwd|pwd|secret|token|api[_-]?key)\s*[=:]\s*[\"']?)", text, re.I)
     start = head.end() if head else 0
     body = text[start:]
+    if body.upper() == body.lower():  # digits alone are permuted among themselves: a walk would hardly ever come back to them
+        return text[:start] + permuted(body, "secret", key, BY_WORD)
     form, shout = _secret_form(body), body.isupper()
     new = body.lower() if shout else body
     while True:  # walking on along the cycle until the form is the same again keeps it a permutation of the strings of that form
@@ -185,7 +187,7 @@ def _rotated(pool: list[str], name: str, key: bytes) -> str:
 TITLES = {"Mr": "m", "Mrs": "f", "Ms": "f", "Herr": "m", "Frau": "f", "Monsieur": "m", "Madame": "f", "Mme": "f", "Mlle": "f", "Señor": "m", "Señora": "f", "Sra": "f", "Dr": "", "Prof": "", "Господин": "m", "Госпожа": "f", "Κύριος": "m", "Κυρία": "f"}
 NAME = r"[^\W\d_a-zà-öø-ÿа-яё][^\W\d_]+(?:[-'][^\W\d_]+)*"
 PATTERNS = {
-    "email": r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
+    "email": r"(?<![A-Za-z0-9])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
     "secret": r"\bAKIA[0-9A-Z]{16}\b|\b(?i:password|passwd|pwd|secret|token|api[_-]?key)\s*[=:]\s*[\"']?[A-Za-z0-9_\-]{6,}",
     "ip": r"(?<![\d.])(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d)){3}(?![\d.]*\d)",
     "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
