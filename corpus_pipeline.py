@@ -24,7 +24,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the least doc_id stays; rows of one doc_id stay or go together, rows without doc_id stay."""
     gone = simhash_groups(docs).filter(~F.col("keep")).select(F.col("doc_id").alias("gone_id"))
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("gone_id"), "left_anti")
+    return docs.join(gone, docs["doc_id"].cast("long") == gone["gone_id"], "left_anti")
 
 
 def surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
