@@ -30,6 +30,8 @@ from pyspark.sql import functions as F
 
 from .common import cut_lineage
 
+#: Rates are broadcast up to so many rows (sources times languages); beyond, the join shuffles.
+BROADCAST_ROWS = 200_000
 POWER, RIDGE, TOLERANCE, SEED = 0.5, 1e-4, 1e-10, "mix-1"
 
 
@@ -126,8 +128,10 @@ def drawn(doc_id, seed: str = SEED):
 
 
 def with_copies(rows: DataFrame, found: DataFrame, seed: str = SEED) -> DataFrame:
-    """rows (with row.doc_id, row.source and row.lang) with rate and copies; the table of rates is broadcast where Spark finds it small."""
+    """rows (with row.doc_id, row.source and row.lang) with rate and copies; the table of rates is broadcast when it has no more than BROADCAST_ROWS rows."""
     there = found.select(F.col("source").alias("rate_source"), F.col("lang").alias("rate_lang"), F.col("rate").alias("cell_rate"))
+    if found.count() <= BROADCAST_ROWS:
+        there = F.broadcast(there)
     rate = F.coalesce(F.col("cell_rate"), F.lit(1.0))
     joined = rows.join(there, F.col("row.source").cast("string").eqNullSafe(F.col("rate_source")) & F.col("row.lang").cast("string").eqNullSafe(F.col("rate_lang")), "left")
     whole = joined.withColumn("rate", rate)
