@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 from collections.abc import Iterator
 
@@ -56,6 +57,15 @@ def batch_of(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
+def give_back() -> None:
+    """Hand freed memory back to the system: Python workers outlive their tasks, and executors count what they hold."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # not this C library
+        pass
+
+
 def pieces(batch: pa.RecordBatch, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of whole rows with about `most` bytes of text (column 1) each; one row is never divided."""
     _, off = flat_bytes(batch.column(1))
@@ -64,3 +74,4 @@ def pieces(batch: pa.RecordBatch, most: int = 4 << 20) -> Iterator[pa.RecordBatc
         end = max(start + 1, int(np.searchsorted(off, off[start] + most, side="right")) - 1)
         yield batch.slice(start, end - start)
         start = end
+    give_back()
