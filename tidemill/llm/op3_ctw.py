@@ -1,15 +1,19 @@
 """Operator 3, LM scoring by context-tree weighting (Willems, Shtarkov and Tjalkens, 1995), binary decomposition by Volf.
 
 A byte is eight binary decisions; each of the 255 inner nodes of that binary tree has a context tree over the preceding bytes, down to
-`DEPTH` = 2 of them. Every tree node holds the Krichevsky-Trofimov estimate of its zeros and ones over the whole corpus, and the
+`DEEP` = 6 of them. Every tree node holds the Krichevsky-Trofimov estimate of its zeros and ones over the whole corpus, and the
 weighted probability of a node is one half its own estimate plus one half the product of its 256 children's. The conditional
 probability that this mixture gives to the next bit, after the corpus, is w * KT(node) + (1 - w) * P(child), with w the posterior
 weight of the node; a document's code length is the sum over its bytes.
 
-Counts are gathered from all bytes of all documents as trigram counts, summed on the executors before the shuffle, and sum to the
-corpus exactly. What is broadcast is the table of costs by (two bytes of context, byte): 2**24 floats, 64 MB whatever the corpus.
+`tree_scores` is the operator. A gram is six bytes of context, the nearest first, and the byte after them: 56 bits, exact and not
+hashed. The texts are stored in blobs, and each blob's distinct grams with their counts are shuffled by their three nearest bytes, so
+a bucket holds whole subtrees from depth 3 on; a first pass sums what the subtrees say to the nodes above (at most 2**24 counts and 2**24
+weights, whose mixture is broadcast), a second sends each blob the costs of its grams, to be added up by document. What is gathered
+grows with the distinct grams of the corpus. `lm_scores` is the same with a tree of two bytes, whose costs by (two bytes of context,
+byte) are one table.
 
-Defined results: a document counts in the corpus that scores it; before a text's first byte stand two zero bytes; null and empty texts
+Defined results: a document counts in the corpus that scores it; before a text's first byte stand as many zero bytes as the tree is deep; null and empty texts
 have 0 bytes, 0 bits and null bits_per_byte; a null doc_id is kept; repeated rows count and are scored each time; an empty table gives
 an empty result; extra columns are ignored.
 """
@@ -21,12 +25,21 @@ from math import lgamma
 
 import numpy as np
 import pyarrow as pa
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_of, flat_bytes, keyed_texts, pieces
+from .common import batch_of, cut_lineage, flat_bytes, keyed_texts, mixed64, pieces
 
 DEPTH = 2
+DEEP, TOP = 6, 2  # of tree_scores: the whole tree, and what of it is above the buckets
+BLOB = 8 << 20
+BUCKETS = 4  # to a shuffle partition
+BLOBS = pa.schema([("blob", pa.int64()), ("ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("packed", pa.binary())])
+GRAMS = pa.schema([("bucket", pa.int32()), ("blob", pa.int64()), ("grams", pa.binary()), ("counts", pa.binary())])
+TOPS = pa.schema([("level", pa.int32()), ("node", pa.int64()), ("value", pa.float64())])
+COSTS = pa.schema([("bucket", pa.int32()), ("blob", pa.int64()), ("costs", pa.binary())])
 SCORES = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("code_bits", pa.float64())])
 
 
@@ -143,3 +156,197 @@ def lm_scores(docs: DataFrame) -> DataFrame:
                 yield batch_of(SCORES, batch.column(0), length, np.where(length > 0, sums[offsets[1:]] - sums[offsets[:-1]], 0.0))
 
     return keyed_texts(docs).mapInArrow(score, "doc_id long, n_bytes long, code_bits double").withColumn("bits_per_byte", F.expr("code_bits / nullif(n_bytes, 0)"))
+
+
+def deep_grams(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """For each byte, the DEEP bytes before it in its text, the nearest in the highest place, and itself."""
+    grams = data.astype(np.int64)
+    within = np.arange(len(data)) - np.repeat(offsets[:-1], np.diff(offsets))
+    for d in range(1, DEEP + 1):
+        grams[d:] |= np.where(within[d:] >= d, data[:-d], 0).astype(np.int64) << (8 * (DEEP + 1 - d))
+    return grams
+
+
+def blob_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts to blobs of about BLOB bytes, numbered by task."""
+    number, squeeze = TaskContext.get().partitionId() << 32, zstandard.ZstdCompressor(level=3).compress
+    ids, sizes, parts, held = [], [], [], 0
+
+    def blob() -> pa.RecordBatch:
+        return batch_of(BLOBS, [number], [ids], [sizes], [squeeze(b"".join(parts))])
+
+    for whole in batches:
+        for batch in pieces(whole, BLOB // 4):
+            data, offsets = flat_bytes(batch.column(1))
+            if ids and held + len(data) > BLOB:
+                yield blob()
+                number, ids, sizes, parts, held = number + 1, [], [], [], 0
+            ids, sizes, held = ids + batch.column(0).to_pylist(), sizes + np.diff(offsets).tolist(), held + len(data)
+            parts.append(data.tobytes())
+    if ids:
+        yield blob()
+
+
+def _blob_grams(sizes: list[int], packed: bytes) -> tuple[np.ndarray, np.ndarray]:
+    offsets = np.cumsum([0, *sizes])
+    return deep_grams(np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8), offsets), offsets
+
+
+def _buckets(grams: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order that puts sorted grams by bucket, and where in it each bucket ends; a bucket has all grams of the same nearest bytes."""
+    bucket = (mixed64(grams >> (8 * (DEEP - TOP))) % np.uint64(n)).astype(np.int32)
+    return np.argsort(bucket, kind="stable"), np.cumsum(np.bincount(bucket, minlength=n))
+
+
+def _packed(x: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes())
+
+
+def _loose(data: bytes, kind: type) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).reshape(-1)
+
+
+def gram_batches(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for row in batch.select(["blob", "sizes", "packed"]).to_pylist():
+            grams, counts = np.unique(_blob_grams(row["sizes"], row["packed"])[0], return_counts=True)
+            order, ends = _buckets(grams, n)
+            starts = np.concatenate([[0], ends[:-1]])
+            some = np.flatnonzero(ends > starts)
+            cells = [order[starts[k] : ends[k]] for k in some]
+            if len(some):
+                yield batch_of(GRAMS, some, [row["blob"]] * len(some), [_packed(np.diff(grams[c], prepend=0)) for c in cells], [_packed(counts[c]) for c in cells])
+
+
+SMALL = np.array([lgamma(k / 2) if k else 0.0 for k in range(64)])
+
+
+def _lgamma(x: np.ndarray) -> np.ndarray:
+    """ln of the gamma function at positive halves and wholes."""
+    y = np.maximum(x, 16.0)
+    series = (y - 0.5) * np.log(y) - y + 0.5 * np.log(2 * np.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5)
+    return np.where(x < 32, SMALL[np.minimum(2 * x, 63).astype(np.int64)], series)
+
+
+def _kt_block(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
+    return _lgamma(zeros + 0.5) + _lgamma(ones + 0.5) - _lgamma(zeros + ones + 1.0) - 2 * lgamma(0.5)
+
+
+class Level:
+    """The trees of the binary nodes after k bits of the next byte, from the deepest context up to depth `top`.
+
+    A node is numbered (context, nearest byte first, then the k bits); above a node are those with one byte of context less. p is the
+    mixture's probability of a one at each deepest node, of the depths from `top` on.
+    """
+
+    def __init__(self, grams: np.ndarray, counts: np.ndarray, k: int, depth: int, top: int, below: tuple | None = None):
+        node, bit = grams >> (8 - k), (grams >> (7 - k)) & 1
+        first = np.flatnonzero(np.diff(node, prepend=-1))
+        self.k, self.bit = k, bit.astype(bool)
+        self.row = np.cumsum(np.diff(node, prepend=-1) != 0) - 1
+        self.nodes = node[first]
+        total, ones = np.add.reduceat(counts, first), np.add.reduceat(counts * bit, first)
+        zeros = total - ones
+        own = _kt_block(zeros, ones)
+        self.keep, self.rest = (ones + 0.5) / (total + 1), np.zeros(len(first))  # p = keep + rest * the deeper p
+        log_p = own
+        if below is not None:  # weights of children that are elsewhere
+            log_below = np.zeros(len(first))
+            log_below[np.searchsorted(self.nodes, below[0])] = below[1]
+            w = self._weight(own, log_below)
+            self.keep, self.rest, log_p = self.keep * w, 1 - w, np.logaddexp(own, log_below) - np.log(2)
+        at, nodes = np.arange(len(first)), self.nodes
+        for _ in range(depth - top):
+            nodes, up = np.unique(self.above(nodes), return_inverse=True)
+            zeros, ones = np.bincount(up, zeros), np.bincount(up, ones)
+            own, log_below = _kt_block(zeros, ones), np.bincount(up, log_p)
+            w, at = self._weight(own, log_below), up[at]
+            self.keep = (w * (ones + 0.5) / (zeros + ones + 1))[at] + (1 - w)[at] * self.keep
+            self.rest = (1 - w)[at] * self.rest
+            log_p = np.logaddexp(own, log_below) - np.log(2)
+        self.at, self.top_nodes, self.log_p = at, nodes, log_p
+
+    @staticmethod
+    def _weight(own: np.ndarray, below: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(np.clip(below - own, -700, 700)))
+
+    def above(self, nodes: np.ndarray) -> np.ndarray:
+        return (nodes >> (self.k + 8) << self.k) | (nodes & ((1 << self.k) - 1))
+
+
+def _merged(table: pa.Table) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Of a bucket: each blob's grams, and the distinct grams of all with their counts."""
+    each = [np.cumsum(_loose(g, np.int64)) for g in table["grams"].to_pylist()]
+    grams, place = np.unique(np.concatenate(each), return_inverse=True)
+    counts = np.bincount(place, np.concatenate([_loose(c, np.int64) for c in table["counts"].to_pylist()]))
+    return each, grams, counts
+
+
+def bucket_tops(table: pa.Table) -> pa.Table:
+    """What a bucket says to depth TOP: at level 8 the counts by (context, byte), at level k the log weights of what is below the nodes."""
+    _, grams, counts = _merged(table)
+    short = (grams >> (8 * (DEEP - TOP + 1)) << 8) | (grams & 255)
+    node, up = np.unique(short, return_inverse=True)
+    out = [(8, node, np.bincount(up, counts))]
+    for k in range(8):
+        level = Level(grams, counts, k, DEEP, TOP + 1)
+        node, up = np.unique(level.above(level.top_nodes), return_inverse=True)
+        out.append((k, node, np.bincount(up, level.log_p)))
+    return pa.table([np.repeat([k for k, *_ in out], [len(n) for _, n, _ in out]).astype(np.int32), np.concatenate([n for _, n, _ in out]), np.concatenate([v for *_, v in out])], schema=TOPS)
+
+
+def top_mixture(level: np.ndarray, node: np.ndarray, value: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each k: the nodes of depth TOP, sorted, and what p of a bit is there, as keep + rest * the p from depth TOP + 1 on."""
+    order = np.lexsort((node, level))
+    level, node, value = level[order], node[order], value[order]
+    part = lambda k: slice(*np.searchsorted(level, [k, k + 1]))
+    out = []
+    for k in range(8):
+        x = Level(node[part(8)], value[part(8)], k, TOP, 0, (node[part(k)], value[part(k)]))
+        out.append((x.nodes, x.keep, x.rest))
+    return out
+
+
+def gram_costs(grams: np.ndarray, counts: np.ndarray, top: list) -> np.ndarray:
+    """Bits of each of a bucket's grams by the whole mixture."""
+    bits = np.zeros(len(grams))
+    for k in range(8):
+        x = Level(grams, counts, k, DEEP, TOP + 1)
+        nodes, keep, rest = top[k]
+        at = np.searchsorted(nodes, x.above(x.top_nodes))[x.at]
+        p = (keep[at] + rest[at] * x.keep)[x.row]
+        bits -= np.log2(np.where(x.bit, p, 1 - p))
+    return bits
+
+
+def tree_scores(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_bytes, code_bits, bits_per_byte) for every row."""
+    spark = docs.sparkSession
+    n = BUCKETS * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    blobs = cut_lineage(keyed_texts(docs).mapInArrow(blob_batches, "blob long, ids array<long>, sizes array<long>, packed binary"))
+    grams = cut_lineage(blobs.mapInArrow(lambda b: gram_batches(b, n), "bucket int, blob long, grams binary, counts binary"))
+    found = grams.groupBy("bucket").applyInArrow(bucket_tops, "level int, node long, value double").groupBy("level", "node").agg(F.sum("value").alias("value")).toArrow()
+    top = spark.sparkContext.broadcast(top_mixture(*(found[c].to_numpy() for c in ("level", "node", "value"))) if found.num_rows else [])
+
+    def priced(table: pa.Table) -> pa.Table:
+        each, all_grams, counts = _merged(table)
+        bits = gram_costs(all_grams, counts, top.value).astype(np.float32)
+        return pa.table([table["bucket"], table["blob"], pa.array([_packed(bits[np.searchsorted(all_grams, g)]) for g in each], pa.binary())], schema=COSTS)
+
+    def scored(texts: pa.Table, costs: pa.Table) -> pa.Table:
+        rows = []
+        for row in texts.to_pylist():
+            keys, offsets = _blob_grams(row["sizes"], row["packed"])
+            distinct, place = np.unique(keys, return_inverse=True)
+            order, ends = _buckets(distinct, n)
+            bits = np.zeros(len(distinct))
+            for bucket, c in zip(costs["bucket"].to_pylist(), costs["costs"].to_pylist(), strict=True):
+                bits[order[ends[bucket - 1] if bucket else 0 : ends[bucket]]] = _loose(c, np.float32)
+            sums = np.concatenate([[0.0], np.cumsum(bits[place])])
+            rows.append(batch_of(SCORES, row["ids"], row["sizes"], sums[offsets[1:]] - sums[offsets[:-1]]))
+        return pa.Table.from_batches(rows, schema=SCORES)
+
+    costs = grams.groupBy("bucket").applyInArrow(priced, "bucket int, blob long, costs binary")
+    scores = blobs.groupBy("blob").cogroup(costs.groupBy("blob")).applyInArrow(scored, "doc_id long, n_bytes long, code_bits double")
+    return scores.withColumn("bits_per_byte", F.expr("code_bits / nullif(n_bytes, 0)"))

@@ -14,9 +14,9 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .op3_ctw import lm_scores
+    from .op3_ctw import tree_scores
 
-    return lm_scores(table(spark, sf_dir, "documents"))
+    return tree_scores(table(spark, sf_dir, "documents"))
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
