@@ -7,7 +7,7 @@ from math import lgamma, log
 import numpy as np
 import pytest
 
-from tidemill.llm import op3_ctw, queries
+from tidemill.llm import op1_chunks, op3_ctw, queries
 
 
 def stored(spark, path, rows):
@@ -51,3 +51,33 @@ def test_scores_mix_all_depths(spark, tmp_path):
     for d, s in rows:
         assert found[d]["n_bytes"] == len((s or "").encode()) and found[d]["code_bits"] == pytest.approx(want[d], rel=1e-4)
         assert (found[d]["bits_per_byte"] is None) == (not s)
+
+
+def test_each_repeated_chunk_is_kept_once(spark, small):
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").collect()]
+    where, mine = defaultdict(list), {}
+    for d, t in sorted(rows):
+        data = t.encode()
+        ends = next((e for _, e in op1_chunks.cuts(np.frombuffer(data, np.uint8), np.array([0, len(data)]))), [])
+        mine[d] = list(zip([0, *ends[:-1]], ends, strict=True)) if ends else []
+        for a, b in mine[d]:
+            where[data[a:b]].append((d, a, b))
+    gone, told = defaultdict(set), defaultdict(set)
+    for r in queries.queries()["op1_substring_dedup"](spark, small).collect():
+        span = range(r["start_byte"], r["end_byte"])
+        assert not told[r["doc_id"]].intersection(span)
+        told[r["doc_id"]].update(span)
+        if not r["keep"]:
+            gone[r["doc_id"]].update(span)
+    repeated = {c: at for c, at in where.items() if len(at) > 1}
+    mixed = 0
+    for at in repeated.values():
+        left = [(d, a) for d, a, b in at if a not in gone[d]]
+        assert all((a in gone[d]) == (b - 1 in gone[d]) for d, a, b in at)
+        assert at[0][:2] in left and all(a not in told[d] for d, a in left[1:])  # what no span reports is no passage
+        mixed += len(at) > len(left)
+    assert mixed
+    runs = set()  # spans are as long as they were
+    for r in op1_chunks.substring_dedup(spark.read.parquet(f"{small}/documents.parquet")).collect():
+        runs |= {(r["doc_id"], k) for k in range(r["start_byte"], r["end_byte"])}
+    assert runs == {(d, k) for d, ks in told.items() for k in ks}

@@ -2,7 +2,9 @@
 
 A gear hash of the last 16 bytes decides the cuts, so a cut depends on nearby bytes only and an insertion moves no cut but its
 neighbours. A chunk that occurs more than once in the corpus is repeated; consecutive repeated chunks of a document make a span, and
-a span of `min_span` bytes or more is reported for every document that holds it, the first holder included.
+a span of `min_span` bytes or more is reported for every document that holds it, the first holder included. What to keep is decided by
+chunk: `passages`, the operator, divides a span where the first holder or keep changes, and a part is reported however short it is, so
+that without the parts not to be kept each chunk of the corpus is still there once.
 
 Defined results: null or empty texts, and rows whose doc_id is null, give no row; repeated rows are occurrences like any other (a
 text given twice is repeated) and fold into one span of their doc_id; an empty table gives an empty result; extra columns are ignored.
@@ -25,6 +27,7 @@ GEAR = (mixed64(np.arange(256, dtype=np.uint64)) >> np.uint64(32)).astype(np.uin
 WINDOW = 16
 MIN_CHUNK, MAX_CHUNK, MASK_BITS, MIN_SPAN = 16, 1024, 4, 96
 LEN_BITS = 12
+AGAIN = 1 << 11  # of these bits: the text has had the chunk before
 CHUNKS = pa.schema([("digest", pa.int64()), ("doc_id", pa.int64()), ("place", pa.int64())])
 
 
@@ -82,12 +85,15 @@ def chunk_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 count.append(len(ends))
             if digest:
                 s, row = np.array(start), np.repeat(np.array(doc), np.array(count))
-                place = ((s - offsets[row]) << LEN_BITS) | (np.array(end) - s)
-                yield batch_of(CHUNKS, np.array(digest, dtype=np.uint64).view(np.int64), np.array(ids, dtype=np.int64)[row], place)
+                keys = np.array(digest, dtype=np.uint64).view(np.int64)
+                order, again = np.lexsort((keys, row)), np.zeros(len(s), np.int64)  # stable, so the first in the text comes first
+                again[order[1:]] = (keys[order[1:]] == keys[order[:-1]]) & (row[order[1:]] == row[order[:-1]])
+                place = ((s - offsets[row]) << LEN_BITS) | (again * AGAIN) | (np.array(end) - s)
+                yield batch_of(CHUNKS, keys, np.array(ids, dtype=np.int64)[row], place)
 
 
 def chunks(docs: DataFrame) -> DataFrame:
-    """(digest, doc_id, place): place holds the chunk's first byte and, in its last 12 bits, its length."""
+    """(digest, doc_id, place): place holds the chunk's first byte and, in its last 12 bits, AGAIN and its length."""
     return keyed_texts(docs).filter("doc_id is not null and text <> ''").mapInArrow(chunk_batches, "digest long, doc_id long, place long")
 
 
@@ -105,15 +111,49 @@ def spans_of(pieces_: DataFrame, extra: list, min_span: int) -> DataFrame:
     )
 
 
-def substring_dedup(docs: DataFrame, min_span: int = MIN_SPAN) -> DataFrame:
-    """(doc_id, start_byte, end_byte, n_chunks, n_copies, first_doc_id, keep): the repeated spans; bytes count in UTF-8.
+def parts_of(marked: DataFrame, extra: list, min_span: int) -> DataFrame:
+    """The spans of spans_of, each divided where first or keep changes: a row for each part."""
+    by = Window.partitionBy("doc_id").orderBy("start_byte", "end_byte")
+    so_far = by.rowsBetween(Window.unboundedPreceding, 0)
+    opens = F.coalesce(F.col("start_byte") > F.max("end_byte").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True))
+    turns = F.col("opens") | (F.lag("first").over(by) != F.col("first")) | (F.lag("keep").over(by) != F.col("keep"))
+    parts = (
+        marked.withColumn("opens", opens)
+        .withColumn("turns", turns)
+        .withColumns({"span": F.sum(F.col("opens").cast("int")).over(so_far), "part": F.sum(F.col("turns").cast("int")).over(so_far)})
+        .groupBy("doc_id", "span", "part")
+        .agg(F.min("start_byte").alias("start_byte"), F.max("end_byte").alias("end_byte"), *extra, F.first("first").alias("first_doc_id"), F.first("keep").alias("keep"))
+    )
+    whole = Window.partitionBy("doc_id", "span")
+    return parts.withColumn("bytes", F.max("end_byte").over(whole) - F.min("start_byte").over(whole)).filter(F.col("bytes") >= min_span).drop("span", "part", "bytes")
+
 
-    first_doc_id is the least doc_id that holds any of the span's chunks and keep says whether it is this one. Chunks are counted
-    with map-side combining, so a passage that millions of documents hold is no hot key there; the join back is left to AQE's skew
-    handling. What is unique, most of a corpus, leaves at that join.
+def repeated_chunks(docs: DataFrame) -> DataFrame:
+    """(doc_id, start_byte, end_byte, n, first, keep): every occurrence of a repeated chunk; keep is true of the first one.
+
+    Chunks are counted with map-side combining, so a passage that millions of documents hold is no hot key there; the join back is left
+    to AQE's skew handling. What is unique, most of a corpus, leaves at that join.
     """
     all_chunks = chunks(docs)
     repeated = all_chunks.groupBy("digest").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).filter("n > 1")
-    marked = all_chunks.join(repeated, "digest").select("doc_id", F.shiftright("place", LEN_BITS).alias("start_byte"), (F.shiftright("place", LEN_BITS) + F.col("place").bitwiseAND((1 << LEN_BITS) - 1)).alias("end_byte"), "n", "first")
-    found = spans_of(marked, [F.count("*").alias("n_chunks"), F.max("n").alias("n_copies"), F.min("first").alias("first_doc_id")], min_span)
+    start, bits = F.shiftright("place", LEN_BITS), F.col("place")
+    keep = (F.col("first") == F.col("doc_id")) & (bits.bitwiseAND(AGAIN) == 0)
+    return all_chunks.join(repeated, "digest").select("doc_id", start.alias("start_byte"), (start + bits.bitwiseAND(AGAIN - 1)).alias("end_byte"), "n", "first", keep.alias("keep"))
+
+
+def passages(docs: DataFrame, min_span: int = MIN_SPAN) -> DataFrame:
+    """(doc_id, start_byte, end_byte, n_chunks, n_copies, first_doc_id, keep): the parts of repeated spans; bytes count in UTF-8.
+
+    first_doc_id is the least doc_id that holds the part's chunks, and keep says whether this is their first occurrence there.
+    """
+    return parts_of(repeated_chunks(docs), [F.count("*").alias("n_chunks"), F.max("n").alias("n_copies")], min_span).select("doc_id", "start_byte", "end_byte", "n_chunks", "n_copies", "first_doc_id", "keep")
+
+
+def substring_dedup(docs: DataFrame, min_span: int = MIN_SPAN) -> DataFrame:
+    """(doc_id, start_byte, end_byte, n_chunks, n_copies, first_doc_id, keep): the repeated spans, undivided.
+
+    first_doc_id is the least doc_id that holds any of the span's chunks and keep says whether it is this one: not what to delete by,
+    for a span may have chunks of several first holders (see `passages`).
+    """
+    found = spans_of(repeated_chunks(docs), [F.count("*").alias("n_chunks"), F.max("n").alias("n_copies"), F.min("first").alias("first_doc_id")], min_span)
     return found.withColumn("keep", F.col("first_doc_id") == F.col("doc_id"))

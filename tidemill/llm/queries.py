@@ -8,9 +8,9 @@ from .common import table
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .op1_chunks import substring_dedup
+    from .op1_chunks import passages
 
-    return substring_dedup(table(spark, sf_dir, "documents"))
+    return passages(table(spark, sf_dir, "documents"))
 
 
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
