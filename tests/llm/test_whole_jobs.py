@@ -2,12 +2,13 @@
 
 from collections import defaultdict
 from functools import lru_cache
+from itertools import product
 from math import lgamma, log
 
 import numpy as np
 import pytest
 
-from tidemill.llm import op1_chunks, op3_ctw, queries
+from tidemill.llm import op1_chunks, op3_ctw, op9_surrogates, queries
 
 
 def stored(spark, path, rows):
@@ -81,3 +82,25 @@ def test_each_repeated_chunk_is_kept_once(spark, small):
     for r in op1_chunks.substring_dedup(spark.read.parquet(f"{small}/documents.parquet")).collect():
         runs |= {(r["doc_id"], k) for k in range(r["start_byte"], r["end_byte"])}
     assert runs == {(d, k) for d, ks in told.items() for k in ks}
+
+
+SIDE_BY_SIDE = [
+    ("email", "jane.doe@example.com"), ("secret", "password=hunter2abc"), ("ip", "190.137.223.204"), ("iban", "DE89370400440532013000"), ("card", "4845168114407329"), ("card", "4111 1111 1111 1111"), ("card", "4111-1111-1111-1111"),
+    ("national", "123-45-6789"), ("phone", "555-123-4567"), ("phone", "+1 (826) 555-4081"), ("phone", "(826) 555-4081"),
+]
+
+
+@pytest.mark.parametrize("between", [" ", ", ", "\n", " - "])
+def test_entities_side_by_side(between):
+    for a, b in product(SIDE_BY_SIDE, SIDE_BY_SIDE):
+        text = a[1] + between + b[1]
+        assert [(k, text[s:e]) for s, e, k in op9_surrogates.entities(text)] == [a, b], text
+
+
+def test_cards_before_other_digits():
+    found = lambda t: [(k, t[s:e]) for s, e, k in op9_surrogates.entities(t)]
+    for rest in ("123", "12/27", "7", "1 2 3"):
+        assert found(f"4111 1111 1111 1111 {rest}") == [("card", "4111 1111 1111 1111")]
+    assert found("1 4111 1111 1111 1111") == [("card", "4111 1111 1111 1111")]
+    assert found("555-123-4567 555-123-4568") == [("phone", "555-123-4567"), ("phone", "555-123-4568")]
+    assert found("the numbers 4111 1111 1111 1112 and 12345678901234567890123") == []

@@ -196,6 +196,8 @@ PATTERNS = {
     "phone": r"\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\.?\d)|(?<![\d(])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\d.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d.-])",
 }
 STRUCTURED = re.compile("|".join(f"(?P<{k}>{p})" for k, p in PATTERNS.items()))
+UNCARDED = re.compile("|".join(f"(?P<{k}>{p})" for k, p in PATTERNS.items() if k != "card"))
+CARD, PHONE = re.compile(PATTERNS["card"]), re.compile(PATTERNS["phone"])
 INTRODUCED = re.compile(rf"(?P<title>\b(?:{'|'.join(TITLES)})\b\.? |[Mm]y name is |[Ii]ch heiße |[Jj]e m'appelle |[Mm]e llamo |[Мм]еня зовут )(?P<name>{NAME}(?: {NAME})?)")
 GIVEN = re.compile(rf"\b(?P<first>{'|'.join(sorted((n for p in NAMES.values() for n in p), key=len, reverse=True))}) (?P<last>{NAME})\b")
 CUES = [*TITLES, "name is ", "heiße ", "m'appelle ", "me llamo ", "Me llamo ", "зовут "]
@@ -209,13 +211,48 @@ def surrogate(kind: str, text: str, key: bytes = KEY) -> str:
     return " ".join(_word(p, key) for p in text.split(" "))
 
 
+def card_end(text: str, start: int, end: int) -> int:
+    """Where the longest card number from start on ends: 13 digits or more up to end, valid, and followed by no digit. 0 if there is none."""
+    digits = [k for k in range(start, end) if text[k].isdigit()]
+    for n in range(len(digits), 12, -1):
+        stop = digits[n - 1] + 1
+        if not text[stop : stop + 1].isdigit() and luhn("".join(text[k] for k in digits[:n])):
+            return stop
+    return 0
+
+
+def entity_at(text: str, start: int) -> tuple[int, str]:
+    """The end and kind of what starts here; digits that are a whole number of another kind are no card with what follows. (0, "") if nothing does."""
+    if m := UNCARDED.match(text, start):
+        return m.end(), m.lastgroup
+    m = CARD.match(text, start)
+    end = card_end(text, start, m.end()) if m else 0
+    return end, "card" if end else ""
+
+
+def phone_end(text: str, start: int, end: int) -> int:
+    """Where a number with a country code ends, without groups of digits that begin another entity, which reaches further."""
+    for k in range(start + 1, end):
+        if text[k].isdigit() and text[k - 1] == " " and PHONE.fullmatch(text, start, k - 1) and entity_at(text, k)[0] > end:
+            return k - 1
+    return end
+
+
 def entities(text: str, structured: bool = True) -> list[tuple[int, int, str]]:
     """(start, end, kind), from left to right, none overlapping; structured: the text has a digit, an @ or such a word at all."""
     found = []
-    if structured:
-        for m in STRUCTURED.finditer(text):
-            if m.lastgroup != "card" or luhn("".join(c for c in m.group() if c.isdigit())):
-                found.append((m.start(), m.end(), m.lastgroup))
+    at = 0
+    while structured and (m := STRUCTURED.search(text, at)):
+        start, end, kind = m.start(), m.end(), m.lastgroup
+        if kind == "card":
+            end, kind = entity_at(text, start)
+            if not end:
+                at = start + 1
+                continue
+        elif kind == "phone" and text[start] == "+":
+            end = phone_end(text, start, end)
+        found.append((start, end, kind))
+        at = end
     if any(c in text for c in CUES):
         found += [(m.start("name"), m.end("name"), "name") for m in INTRODUCED.finditer(text)]
     found += [(m.start(), m.end(), "name") for m in GIVEN.finditer(text)]
