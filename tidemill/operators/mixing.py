@@ -47,6 +47,39 @@ def schedule(spark, picks: list[int], ticks: int) -> DataFrame:
     return turns.join(F.broadcast(table), "at").select("tick", "source_no", (F.col("turn") * F.col("per") + F.col("before")).alias("pick_no"))
 
 
+def drained(spark, weights: list[int], counts: list[int], offset: int = 0) -> DataFrame:
+    """(tick, source_no, pick_no) until all sources have run out: one that is picked with nothing left leaves, and the pick is made anew.
+
+    The round robin's state goes on over that, as in the reference, so each set of sources has a few picks of its own before its
+    period; periods are counted, not walked through.
+    """
+    n, state, left, active, parts, tick = len(weights), [0] * len(weights), list(counts), [True] * len(weights), [], 0
+    done = [0] * n
+    while any(active):
+        before, taken, block = list(state), [0] * n, []
+        total = sum(w for w, a in zip(weights, active, strict=True) if a)
+        while len(block) < total:
+            state = [s + w if a else s for s, w, a in zip(state, weights, active, strict=True)]
+            pick = max((k for k in range(n) if active[k]), key=lambda k: (state[k], -((k - offset) % n)))
+            state[pick] -= total
+            if taken[pick] == left[pick]:
+                active[pick] = False
+                break
+            taken[pick] += 1
+            block.append(pick)
+        again = len(block) == total and state == before
+        turns = min(have // took for have, took in zip(left, taken, strict=True) if took) if again else 1
+        if block:
+            parts.append((tick, block, turns, list(done)))
+            tick += turns * len(block)
+        done, left = [d + turns * t for d, t in zip(done, taken, strict=True)], [x - turns * t for x, t in zip(left, taken, strict=True)]
+    if not parts:
+        return spark.range(0).select(F.col("id").alias("tick"), F.lit(0).alias("source_no"), F.col("id").alias("pick_no"))
+    starts = spark.createDataFrame([(k, bases) for k, (*_, bases) in enumerate(parts)], "part int, bases array<long>")
+    plans = [schedule(spark, block, turns * len(block)).select((F.col("tick") + start).alias("tick"), "source_no", "pick_no", F.lit(k).alias("part")) for k, (start, block, turns, _) in enumerate(parts)]
+    return reduce(DataFrame.unionByName, plans).join(F.broadcast(starts), "part").select("tick", "source_no", (F.col("pick_no") + F.element_at("bases", F.col("source_no") + 1)).alias("pick_no"))
+
+
 def interleaved(plan: DataFrame, rows: DataFrame) -> DataFrame:
     """rows (source_no, pick_no, ..) at the ticks of their picks; a source that has run out leaves its ticks empty."""
     return plan.join(rows, ["source_no", "pick_no"])
