@@ -216,24 +216,52 @@ def unit_matrix(vectors):
 
 
 @pytest.mark.parametrize(("relax", "least"), [(1.0, 1.0), (op5_vptree.RELAX, 0.9)])
-def test_neighbours(vectors, relax, least):
-    ids, x = unit_matrix(vectors)
-    cos = x @ x.T
-    np.fill_diagonal(cos, -2)
-    best = np.argsort(-cos, axis=1, kind="stable")[:, :10]
-    found = defaultdict(set)
-    for r in op5_vptree.nearest(vectors, relax=relax, shard_rows=150).collect():
-        found[r["vec_id"]].add(r["neighbour_id"])
-    assert all(len(found[i]) == 10 for i in ids)
-    assert np.mean([len(found[i] & set(ids[b])) / 10 for i, b in zip(ids, best, strict=True)]) >= least
-
-
-@pytest.mark.parametrize("threshold", [0.4, 0.95])
-def test_near_vectors(vectors, threshold):
+@pytest.mark.parametrize("sizes", [{}, {"shard_rows": 60, "query_rows": 20, "sample": 300}])
+def test_neighbours(vectors, relax, least, sizes):
+    """Against DuckDB's own ranking of all pairs, ties by id."""
+    table = vectors.unionByName(vectors.filter("vec_id < 3").select((F.col("vec_id") + 300_000).alias("vec_id"), "embedding"))
+    frame = table.toPandas()  # noqa: F841
+    best = duckdb.sql("""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM frame)
+        SELECT q.vec_id, o.vec_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(q.e, o.e), 12) DESC, o.vec_id) AS r
+        FROM v q JOIN v o ON q.vec_id <> o.vec_id WHERE q.vec_id % 5 = 0 QUALIFY r <= 10""").fetchall()
+    found = {(r["vec_id"], r["neighbour_id"], r["rank"]) for r in op5_vptree.nearest(table, relax=relax, every=5, **sizes).collect()}
+    assert len(found) == len(best)
+    if relax == 1.0:
+        assert found == set(best)
+    assert len({f[:2] for f in found} & {b[:2] for b in best}) >= least * len(best)
+
+
+def test_factor_prunes(vectors):
     ids, x = unit_matrix(vectors)
+    tree = op5_vptree.Tree(x, 16)
+    packed = np.frombuffer(tree.packed()).reshape(5, -1)
+    counted = [op5_vptree.Search(packed, x[tree.order], ids[tree.order], np.arange(len(ids) + 1), x[:50], np.full(50, np.inf), 11, relax).compared for relax in (1.0, 2.0, 8.0)]
+    assert counted[0] >= counted[1] >= counted[2] and counted[2] < 50 * len(ids)
+
+
+@pytest.mark.parametrize("threshold", [0.4, 0.8, 0.95])
+@pytest.mark.parametrize("sizes", [{}, {"cell_rows": 40, "block_rows": 25, "sample": 200}])
+def test_near_vectors(vectors, threshold, sizes):
+    table = vectors.unionByName(vectors.filter("vec_id < 20").select((F.col("vec_id") + 300_000).alias("vec_id"), "embedding"))
+    ids, x = unit_matrix(table)
+    raw = {r["vec_id"]: tuple(r["embedding"]) for r in table.collect()}
     i, j = np.nonzero(np.triu(x @ x.T, 1) >= threshold)
-    want = set(zip(ids[i].tolist(), ids[j].tolist(), strict=True))
-    assert want and {(r["vec_a"], r["vec_b"]) for r in op6_tiles.near_vectors(vectors, threshold, 100).collect()} == want
+    root, links, least = {k: k for k in ids.tolist()}, defaultdict(int), {}
+    for k in sorted(raw):
+        least.setdefault(raw[k], k)
+
+    def top(d):
+        while root[d] != d:
+            d = root[d]
+        return d
+
+    for a, b in zip(ids[i].tolist(), ids[j].tolist(), strict=True):
+        links[a] += 1
+        links[b] += 1
+        low, high = sorted((top(a), top(b)))
+        root[high] = low
+    want = {(k, least[raw[k]], links[k], top(k)) for k in ids.tolist()}
+    assert links and {tuple(r) for r in op6_tiles.near_vectors(table, threshold, **sizes).collect()} == want
 
 
 def test_bounds_hold():
@@ -241,9 +269,9 @@ def test_bounds_hold():
     x = rng.normal(size=(300, 40)) * np.exp(rng.normal(size=(300, 40)))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     q, s, kept, lost = op6_tiles.quantised(x)
-    assert (np.abs(x @ x.T - (q @ q.T) * np.outer(s, s)) <= np.outer(kept, lost) + np.outer(lost, kept) + np.outer(lost, lost) + 1e-6).all()
+    assert (np.abs(x @ x.T - op6_tiles.integer_products(q, q) * np.outer(s, s)) <= np.outer(kept, lost) + np.outer(lost, kept) + np.outer(lost, lost) + 1e-6).all()
     *_, again = op6_tiles.tile(x, x, 0.9, True)
-    assert again < 0.2 * 300 * 299 / 2
+    assert q.dtype == np.int8 and again < 0.2 * 300 * 299 / 2
 
 
 def test_bpe_against_a_library(texts):

@@ -66,11 +66,14 @@ def test_quality(odd, none, labels):
 
 def test_vectors(spark):
     data = [(1, [1.0, 0.0], "x"), (2, [1.0, 0.0], "x"), (2, [1.0, 0.0], "x"), (3, [0.0, 2.0], "x"), (4, None, "x"), (5, [], "x"), (6, [0.0, 0.0], "x"), (7, [float("nan"), 1.0], "x"), (8, [float("inf"), 1.0], "x"), (None, [1.0, 1.0], "x"), (9, [None, 1.0], "x"), (10, [1.0, 0.0, 0.0], "x"), (11, [1e-38, 0.0], "x")]
-    table = spark.createDataFrame(data, "vec_id long, embedding array<float>, block string").withColumns({c: F.lit(1) for c in ("dim", "ids", "vectors", "rank", "n", "other")})
-    near = {(r[0], r[1]): r[2] for r in op5_vptree.nearest(table, k=10).select("vec_id", "rank", "neighbour_id").collect()}
+    table = spark.createDataFrame(data, "vec_id long, embedding array<float>, block string").select("*", *(F.lit(1).alias(c) for c in ("dim", "ids", "vectors", "rank", "n", "other", "node", "EMBEDDING", "Vec_Id")))
+    near = {(r[0], r[1]): r[2] for r in op5_vptree.nearest(table, k=10, every=1).select("vec_id", "rank", "neighbour_id").collect()}
     assert {k[0] for k in near} == {1, 2, 3, 11} and near[1, 1] == 2 and near[2, 1] == 1 and near[3, 1] == 1 and near[1, 2] == 11
-    assert sorted(tuple(r)[:2] for r in op6_tiles.near_vectors(table).collect()) == [(1, 2), (1, 11), (2, 11)]
+    assert sorted(map(tuple, op6_tiles.near_vectors(table).collect())) == [(1, 1, 2, 1), (2, 1, 2, 1), (3, 3, 0, 3), (10, 10, 0, 10), (11, 11, 2, 1)]
     assert op5_vptree.nearest(table.limit(0)).collect() == [] and op6_tiles.near_vectors(table.limit(0)).collect() == []
+    long = spark.createDataFrame([(k, [float((k * 7 + i) % 11) for i in range(5000)]) for k in (0, 1, 11, 100)], "vec_id long, embedding array<double>")
+    assert {tuple(r)[:3] for r in op5_vptree.nearest(long, k=1).collect()} == {(0, 1, 11), (100, 1, 1)}
+    assert {tuple(r)[:2] for r in op6_tiles.near_vectors(long).collect()} == {(0, 0), (11, 0), (1, 1), (100, 1)}
 
 
 def test_bpe(odd, none):

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import ctypes
+import re
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,16 +18,40 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def picked(df: DataFrame, *names: str) -> DataFrame:
+    """Just these columns, found by place: a column whose name differs only in case, or is there twice, is no clash. The first of equal names counts."""
+    at = {n: k for k, n in reversed(list(enumerate(df.columns)))}
+    low = {n.lower(): k for k, n in reversed(list(enumerate(df.columns)))}
+    if gone := [n for n in names if n not in at and n.lower() not in low]:
+        raise ValueError(f"no column {', '.join(gone)} among {', '.join(df.columns)}")
+    plain = df.toDF(*(f"c{k}" for k in range(len(df.columns))))
+    return plain.select(*(F.col(f"c{at.get(n, low.get(n.lower()))}").alias(n) for n in names))
+
+
+def with_row(df: DataFrame, *names: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """(these columns and `row`, a struct of all columns; a function that makes rows of df again of a table with such a `row`)."""
+    fields = [f"c{k}" for k in range(len(df.columns))]
+    plain = df.toDF(*fields)
+    at = {n: k for k, n in reversed(list(enumerate(df.columns)))}
+    low = {n.lower(): k for k, n in reversed(list(enumerate(df.columns)))}
+    wide = plain.select(*(F.col(f"c{at[n] if n in at else low[n.lower()]}").alias(f"_{n}") for n in names), F.struct(*fields).alias("row"))
+    return wide.toDF(*names, "row"), lambda out: out.select(*(F.col(f"row.{f}").alias(c) for c, f in zip(df.columns, fields, strict=True)))
+
+
 def keyed_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Two columns, doc_id (long) and text (null text becomes ''); every other column is dropped, whatever its name."""
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    narrow = picked(docs, id_col, text_col).toDF("doc_id", "text")
+    return narrow.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """df, stored in the shared checkpoint folder; the folder that the session names is used, another only where none is set."""
+    """df, stored in the shared checkpoint folder that spark.checkpoint.dir names. Where none is set, one is made, but only for a local master: on a cluster, a folder of one machine would be none for the others."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemill-"))
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.fullmatch(r"local(\[[^-]*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tidemill-"))
     return df.checkpoint()
 
 

@@ -4,19 +4,29 @@ Each unit vector x is written as s * q + e: q in int8, s its scale, |e| known. F
 
     | x . y - s_x s_y (q_x . q_y) | <= |s_x q_x| |e_y| + |s_y q_y| |e_x| + |e_x| |e_y|
 
-so a pair whose int8 product plus this bound is under the threshold is certainly under it. The others, few besides the real ones, are
-computed again from the full vectors. Tiles are products of two blocks of BLOCK_ROWS vectors; each pair of blocks is one row to work
-on, so the work spreads evenly and what a task holds doesn't grow. The integers are multiplied as float32, which is exact: a sum of
-dim * 127 ** 2 stays under 2 ** 24 up to dim 1040, and longer vectors are summed in slices of 1024.
-
-Defined results: rows with a null id, or a vector that is null, empty, all zero or not finite, are left out; vectors meet only those of
-their own dimension; repeated rows of one id are one vector; pairs at the threshold count; an empty table gives an empty result; extra
-columns are ignored.
+so a pair whose int8 product plus this bound is under the threshold is certainly under it, and one whose product less the bound reaches
+the threshold is certainly a pair. What is between is computed again from the full vectors. The integers go through the matrix product
+as float32, which is exact: a sum of dim * 127 ** 2 stays under 2 ** 24 up to dim 1040, and longer vectors are summed in slices of 1024.
+
+Which tiles are computed: vectors belong to the nearest of some centres, fitted on at most SAMPLE of them (parameter `sample`). If two
+vectors are within the angle t of the threshold, y belongs to cell B and x is at the angle a from its own centre, then x is at most
+a + 2t from B's centre, and at most t more than B's farthest member; a vector visits only the cells where both hold, and of two cells only
+one sends its vectors to the other, so no pair is lost and none is met twice. Members and visitors of a cell are divided into blocks of
+about BLOCK_ROWS, and each two blocks are one group of their own, so a cell that holds a third of all vectors is many tasks.
+
+Copies of a vector are one class. What a tile says is a row for each class that has a link in it: how many vectors it is linked to, and
+the least class of its component in the tile. Links are counted and components joined over these; no list of pairs is made.
+
+Defined results: one row for every usable vector, also without links; rows with a null id, or a vector that is null, empty, all zero or
+not finite, are left out; vectors meet only those of their own dimension, however long; repeated rows of one id are one vector; pairs at the
+threshold count; an empty table gives an empty result; extra columns are ignored, also those whose names differ from a needed one's in
+case alone.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import acos
 
 import numpy as np
 import pyarrow as pa
@@ -24,63 +34,177 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut_lineage
-from .vectors import blocked, unpacked, usable
+from .graph import components
+from .vectors import by_dimension, distinct_vectors, matrix, sample_rows, unit_rows, usable
 
-THRESHOLD, BLOCK_ROWS, SLICE = 0.95, 4096, 1024
-PAIRS = "vec_a long, vec_b long, cosine double"
+THRESHOLD, SAMPLE, CELL_ROWS, MOST_CELLS, BLOCK_ROWS, SLICE = 0.95, 16_384, 1024, 2048, 2048, 1024
+ROUNDING, TURN = 1e-9, 1e-6  # of products and of angles
+BLOCKS = pa.schema([("dim", pa.int32()), ("cell", pa.int32()), ("visiting", pa.bool_()), ("block", pa.int32()), ("ids", pa.binary()), ("counts", pa.binary()), ("vectors", pa.binary())])
+LINKS = pa.schema([("node", pa.int64()), ("links", pa.int64()), ("low", pa.int64())])
 
 
 def quantised(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """q (as float32), the scales, the norms of s * q and of what it leaves out."""
+    """q in int8, the scales, the norms of s * q and of what it leaves out."""
     scale = np.abs(x).max(1) / 127
     q = np.rint(x / scale[:, None])
     kept = q * scale[:, None]
-    return q.astype(np.float32), scale, np.linalg.norm(kept, axis=1), np.linalg.norm(x - kept, axis=1)
+    return q.astype(np.int8), scale, np.linalg.norm(kept, axis=1), np.linalg.norm(x - kept, axis=1)
 
 
 def integer_products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     out = np.zeros((len(a), len(b)))
     for at in range(0, a.shape[1], SLICE):
-        out += a[:, at : at + SLICE] @ b[:, at : at + SLICE].T
+        out += a[:, at : at + SLICE].astype(np.float32) @ b[:, at : at + SLICE].astype(np.float32).T
     return out
 
 
-def tile(a: np.ndarray, b: np.ndarray, threshold: float, same: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """Rows of a and of b, with cosines, of the pairs at or over the threshold, and how many were computed again."""
+def tile(a: np.ndarray, b: np.ndarray, threshold: float, same: bool) -> tuple[np.ndarray, np.ndarray, int]:
+    """Rows of a and of b of the pairs at or over the threshold, and how many were computed again."""
     qa, sa, na, ea = quantised(a)
     qb, sb, nb, eb = quantised(b)
-    found, again = [], 0
+    rows, cols, again = [], [], 0
     for at in range(0, len(a), 512):
         part = slice(at, at + 512)
-        bound = na[part, None] * eb + (nb + eb) * ea[part, None]
-        upper = integer_products(qa[part], qb) * (sa[part, None] * sb) + bound + 1e-9
+        bound = na[part, None] * eb + (nb + eb) * ea[part, None] + ROUNDING
+        product = integer_products(qa[part], qb) * (sa[part, None] * sb)
+        maybe, sure = product + bound >= threshold, product - bound >= threshold
         if same:
-            upper[np.arange(len(b)) <= np.arange(at, at + len(upper))[:, None]] = -np.inf
-        i, j = np.nonzero(upper >= threshold)
+            maybe &= np.arange(len(b)) > np.arange(at, at + len(product))[:, None]
+        i, j = np.nonzero(maybe & ~sure)
+        again += len(i)
         for k in range(0, len(i), 1 << 16):
-            p, q = i[k : k + (1 << 16)] + at, j[k : k + (1 << 16)]
-            cos = np.einsum("ij,ij->i", a[p], b[q])
-            again += len(p)
-            hit = cos >= threshold
-            found.append((p[hit], q[hit], cos[hit]))
-    cat = lambda k, kind: np.concatenate([f[k] for f in found]) if found else np.zeros(0, kind)
-    return cat(0, np.int64), cat(1, np.int64), cat(2, np.float64), again
-
-
-def near_vectors(embeddings: DataFrame, threshold: float = THRESHOLD, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """(vec_a, vec_b, cosine) with vec_a < vec_b: all pairs of vectors whose cosine is at least the threshold."""
-    blocks = cut_lineage(blocked(cut_lineage(usable(embeddings)), block_rows))
-    right = blocks.select(F.col("block").alias("other"), F.col("dim").alias("d"), F.col("ids").alias("b_ids"), F.col("vectors").alias("b_vectors"))
-    tiles = blocks.join(right, (F.col("dim") == F.col("d")) & (F.col("block") <= F.col("other")))
-    spread = tiles.repartition(max(1, min(4096, blocks.count() ** 2)), F.xxhash64("block", "other"))
-
-    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in range(batch.num_rows):
-                row = {n: batch.column(n)[r].as_py() for n in ("block", "other", "dim", "ids", "vectors", "b_ids", "b_vectors")}
-                ia, a = unpacked(row["ids"], row["vectors"], row["dim"])
-                ib, b = unpacked(row["b_ids"], row["b_vectors"], row["dim"])
-                i, j, cos, _ = tile(a, b, threshold, row["block"] == row["other"])
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ia[i], ib[j])), pa.array(np.maximum(ia[i], ib[j])), pa.array(cos)], names=["vec_a", "vec_b", "cosine"])
-
-    return spread.select("block", "other", "dim", "ids", "vectors", "b_ids", "b_vectors").mapInArrow(products, PAIRS)
+            p, q = i[k : k + (1 << 16)], j[k : k + (1 << 16)]
+            maybe[p, q] = np.einsum("ij,ij->i", a[p + at], b[q]) >= threshold
+        i, j = np.nonzero(maybe)
+        rows.append((i + at).astype(np.int32)), cols.append(j.astype(np.int32))
+    return np.concatenate(rows), np.concatenate(cols), again
+
+
+def least_linked(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """For each of n things the first of its component, by links i - j."""
+    low = np.arange(n)
+    while len(i):
+        new = low.copy()
+        both = np.minimum(low[i], low[j])
+        np.minimum.at(new, i, both)
+        np.minimum.at(new, j, both)
+        new = new[new]
+        if (new == low).all():
+            break
+        low = new
+    return low
+
+
+def centres_of(x: np.ndarray, cells: int, rounds: int = 6) -> np.ndarray:
+    """Unit centres by spherical k-means from evenly drawn rows; an empty cell keeps its centre."""
+    c = x[:: max(1, len(x) // cells)][:cells]
+    for _ in range(rounds):
+        own = np.concatenate([(part @ c.T).argmax(1) for part in np.array_split(x, max(1, len(x) // 4096))])
+        sums = np.zeros_like(c)
+        np.add.at(sums, own, x)
+        size = np.linalg.norm(sums, axis=1, keepdims=True)
+        c = np.where(size > 1e-9, sums / np.maximum(size, 1e-9), c)
+    return c
+
+
+def angles(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(x @ centres.T, -1, 1))
+
+
+def near_vectors(embeddings: DataFrame, threshold: float = THRESHOLD, sample: int = SAMPLE, cell_rows: int = CELL_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(vec_id, class_id, n_links, group_id) for every vector.
+
+    class_id is the least id with the same vector, n_links the number of other vectors whose cosine is at least the threshold, copies
+    among them, and group_id the least id that links lead to.
+    """
+    spark = embeddings.sparkSession
+    member, nodes = distinct_vectors(usable(embeddings), 1)
+    kind = np.float32 if nodes.schema["embedding"].dataType.simpleString() == "array<float>" else np.float64
+    cells = max(1, min(MOST_CELLS, nodes.count() // cell_rows))
+    drawn = by_dimension(sample_rows(nodes, sample))
+    centres = spark.sparkContext.broadcast({d: centres_of(x, min(cells, max(1, len(x) // 8))) for d, x in drawn.items()})
+    near = acos(max(-1.0, min(1.0, threshold))) + TURN
+
+    def parts(b: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """For some rows of one dimension at a time: the dimension, the rows, their full vectors, their angles from the centres."""
+        dims = b["dim"].to_numpy()
+        for d in np.unique(dims):
+            at = np.flatnonzero(dims == d)
+            for some in np.array_split(at, max(1, len(at) // 2048)):
+                raw = matrix(b["embedding"].take(pa.array(some)))
+                x = unit_rows(raw)
+                yield int(d), some, raw, angles(x, centres.value[d]) if d in centres.value else np.zeros((len(x), 1))
+
+    def homes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for d, some, _, turn in parts(b):
+                cell = turn.argmin(1)
+                reach = np.zeros(turn.shape[1])
+                np.maximum.at(reach, cell, turn.min(1))
+                n = np.bincount(cell, minlength=turn.shape[1])
+                there = np.flatnonzero(n)
+                yield pa.RecordBatch.from_arrays([pa.array([d] * len(there), pa.int32()), pa.array(there.astype(np.int32)), pa.array(reach[there])], names=["dim", "cell", "reach"])
+
+    narrow = nodes.select("node", "n", "dim", "embedding")
+    farthest: dict[int, dict[int, float]] = {}
+    for r in narrow.mapInArrow(homes, "dim int, cell int, reach double").groupBy("dim", "cell").agg(F.max("reach").alias("reach")).filter(F.col("dim").isin(list(drawn))).collect():  # never over cells times the sample's dimensions
+        farthest.setdefault(r["dim"], {})[r["cell"]] = r["reach"]
+    reaches = spark.sparkContext.broadcast(farthest)
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for d, some, raw, turn in parts(b):
+                home = turn.argmin(1)
+                reach = np.full(turn.shape[1], -np.inf)
+                for c, x in reaches.value.get(d, {}).items():
+                    reach[c] = x
+                other = np.arange(turn.shape[1])
+                sends = (home[:, None] < other) ^ ((home[:, None] + other) % 2 == 1)
+                goes = sends & (home[:, None] != other) & (turn <= turn.min(1, keepdims=True) + 2 * near) & (turn <= reach + near)
+                i, cell = np.nonzero(goes)
+                i, cell, visits = np.concatenate([np.arange(len(some)), i]), np.concatenate([home, cell]), np.concatenate([np.zeros(len(some), bool), np.ones(len(i), bool)])
+                wire = [v.tobytes() for v in raw.astype(kind)]
+                for s in range(0, len(i), 8192):
+                    k = i[s : s + 8192]
+                    yield pa.RecordBatch.from_arrays([pa.array([d] * len(k), pa.int32()), pa.array(cell[s : s + 8192].astype(np.int32)), pa.array(visits[s : s + 8192]), b["node"].take(pa.array(some[k])), b["n"].take(pa.array(some[k])), pa.array([wire[x] for x in k], pa.binary())], names=["dim", "cell", "visiting", "node", "n", "vector"])
+
+    spread = cut_lineage(narrow.mapInArrow(placed, "dim int, cell int, visiting boolean, node long, n long, vector binary"))
+    blocks_in = lambda c: F.ceil(F.sum(F.when(c, 1).otherwise(0)) / F.lit(block_rows)).cast("int")
+    sizes = cut_lineage(spread.groupBy("dim", "cell").agg(blocks_in(~F.col("visiting")).alias("homes"), blocks_in(F.col("visiting")).alias("visitors")))
+    numbered = spread.join(sizes, ["dim", "cell"]).withColumn("block", F.pmod(F.xxhash64("node"), F.when(F.col("visiting"), F.col("visitors")).otherwise(F.col("homes"))).cast("int"))
+
+    def packed(group: pa.Table) -> pa.Table:
+        one = lambda c: [group[c][0].as_py()]
+        return pa.table([one("dim"), one("cell"), one("visiting"), one("block"), [group["node"].to_numpy().tobytes()], [group["n"].to_numpy().tobytes()], [b"".join(group["vector"].to_pylist())]], schema=BLOCKS)
+
+    blocks = cut_lineage(numbered.select("dim", "cell", "visiting", "block", "node", "n", "vector").groupBy("dim", "cell", "visiting", "block").applyInArrow(packed, "dim int, cell int, visiting boolean, block int, ids binary, counts binary, vectors binary"))
+    every = F.sequence(F.lit(0), F.col("homes") - 1)
+    mine = F.transform(every, lambda j: F.struct(F.least(F.col("block"), j).alias("i"), F.greatest(F.col("block"), j).alias("j"), F.lit(False).alias("met")))
+    meet = F.transform(every, lambda j: F.struct(F.col("block").alias("i"), j.alias("j"), F.lit(True).alias("met")))
+    meets = F.when(F.col("homes") == 0, F.array().cast("array<struct<i:int,j:int,met:boolean>>")).when(F.col("visiting"), meet).otherwise(F.concat(mine, F.when(F.col("visitors") > 0, F.transform(F.sequence(F.lit(0), F.col("visitors") - 1), lambda i: F.struct(i.alias("i"), F.col("block").alias("j"), F.lit(True).alias("met")))).otherwise(F.array().cast("array<struct<i:int,j:int,met:boolean>>"))))
+    tiles = blocks.join(sizes, ["dim", "cell"]).withColumn("tile", F.explode(meets)).select("dim", "cell", "tile", "visiting", "block", "ids", "counts", "vectors")
+
+    def products(group: pa.Table) -> pa.Table:
+        d, where = group["dim"][0].as_py(), group["tile"][0].as_py()
+        rows = sorted(group.select(["visiting", "block", "ids", "counts", "vectors"]).to_pylist(), key=lambda r: (not r["visiting"], r["block"]))
+        same = not where["met"] and where["i"] == where["j"]
+        if len(rows) < 2 and not same:
+            return LINKS.empty_table()
+        full = [unit_rows(np.frombuffer(r["vectors"], kind).reshape(-1, d)) for r in rows]
+        ids, n = [np.frombuffer(r["ids"], np.int64) for r in rows], [np.frombuffer(r["counts"], np.int64) for r in rows]
+        i, j, _ = tile(full[0], full[-1], threshold, same)
+        j = j if same else j + len(ids[0])
+        ids, n = (ids[0], n[0]) if same else (np.concatenate(ids), np.concatenate(n))
+        links = np.bincount(i, n[j], len(ids)) + np.bincount(j, n[i], len(ids))
+        order = np.argsort(ids, kind="stable")  # the first of a component is to be its least id
+        rank = np.empty(len(ids), np.int64)
+        rank[order] = np.arange(len(ids))
+        low = ids[order][least_linked(len(ids), rank[i], rank[j])[rank]]
+        some = links > 0
+        return pa.table([ids[some], np.rint(links[some]).astype(np.int64), low[some]], schema=LINKS)
+
+    said = cut_lineage(tiles.groupBy("dim", "cell", "tile").applyInArrow(products, "node long, links long, low long"))
+    roots = components(said.select(F.col("node").alias("a"), F.col("low").alias("b")))
+    linked = said.groupBy("node").agg(F.sum("links").alias("links"))
+    known = nodes.select("node", "n").join(linked, "node", "left").join(roots, "node", "left").select("node", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("root", "node").alias("group_id"))
+    return member.join(known, "node").select("vec_id", F.col("node").alias("class_id"), "n_links", "group_id")
