@@ -73,13 +73,14 @@ def test_insertions_move_few_chunks():
 
 
 def test_planted_passages_are_found(spark):
+    """Of forty documents with a passage, one keeps it and all say which."""
     rng = random.Random(9)
     word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 8)))
     passage = " ".join(word() for _ in range(60))
     rows = [(k, " ".join(word() for _ in range(rng.randint(0, 200))) + " " + (passage if k % 3 else "") + " " + " ".join(word() for _ in range(50))) for k in range(60)]
     table = spark.createDataFrame(rows, "doc_id long, text string")
     size = len(passage.encode())
-    for f, least in ((op1_chunks.substring_dedup, size - 300), (op2_suffixes.suffix_dedup, size)):
+    for f, least in ((op1_chunks.substring_dedup, size - 300), (op2_suffixes.suffix_dedup, size), (lambda t: op2_suffixes.suffix_dedup(t, split=4), size)):
         found = defaultdict(list)
         for r in f(table).collect():
             found[r["doc_id"]].append((r["start_byte"], r["end_byte"], r["first_doc_id"], r["keep"]))
@@ -88,20 +89,79 @@ def test_planted_passages_are_found(spark):
             if k % 3:
                 at = t.index(passage)
                 (a, b, first, keep), *rest = found[k]
-                assert not rest and min(b, at + size) - max(a, at) >= least and first <= k and keep == (first == k) and (f is op2_suffixes.suffix_dedup or first == 1)
+                assert not rest and min(b, at + size) - max(a, at) >= least and first == 1 and keep == (k == 1)
+                assert f is op1_chunks.substring_dedup or (k == 1 or (a <= at and b >= at + size))
 
 
-def test_suffix_spans_are_repeats(docs, texts):
-    whole = b"\xff".join(t.encode() for t in texts.values())
-    found = op2_suffixes.suffix_dedup(docs).collect()
-    assert found
-    for r in found:
-        part = texts[r["doc_id"]].encode()[r["start_byte"] :][: op2_suffixes.MIN_SPAN]
-        assert len(part) == op2_suffixes.MIN_SPAN and whole.find(part, whole.find(part) + 1) >= 0
+def slow_pieces(texts):
+    """(doc, start, end, first, keep) by the definitions: kept places, classes of equal heads, extension to their first."""
+    K, W, HEAD, L, R = op2_suffixes.K, op2_suffixes.WINDOW, op2_suffixes.HEAD, op2_suffixes.LEFT, op2_suffixes.RIGHT
+    heads = defaultdict(list)
+    for d, t in sorted(texts.items()):
+        data = t.encode()
+        if len(data) < HEAD:
+            continue
+        padded = np.frombuffer(data + bytes(K + W + HEAD), np.uint8)
+        at = op2_suffixes.minimisers(padded, np.array([0, len(data)]), op2_suffixes.words_of(padded))
+        for p in at.tolist():
+            if p + HEAD <= len(data):
+                heads[data[p : p + HEAD]].append((d, p))
+    raw = {d: t.encode() for d, t in texts.items()}
+    out = defaultdict(set)
+    for members in heads.values():
+        if len(members) < 2:
+            continue
+        (f, q), far = min(members), [0, 0]
+        for d, p in members:
+            if (d, p) != (f, q):
+                left, right = 0, HEAD
+                while left < L and p - left > 0 and q - left > 0 and raw[d][p - left - 1] == raw[f][q - left - 1]:
+                    left += 1
+                while right < R and p + right < len(raw[d]) and q + right < len(raw[f]) and raw[d][p + right] == raw[f][q + right]:
+                    right += 1
+                out[d].add((p - left, p + right, f, False))
+                far = [max(far[0], left), max(far[1], right)]
+        out[f].add((q - far[0], q + far[1], f, True))
+    return out
+
+
+def test_suffix_parts_by_definition(docs, texts):
+    want = set()
+    for d, found in slow_pieces(texts).items():
+        spans, covered = [], -1
+        for a, b, first, keep in sorted(found, key=lambda x: (x[0], -x[1], not x[3], x[2])):
+            if b > covered:
+                start = max(a, covered)
+                if spans and a <= covered:
+                    spans[-1].append((start, b, first, keep))
+                else:
+                    spans.append([(start, b, first, keep)])
+                covered = b
+        for span in spans:
+            if span[-1][1] - span[0][0] < op2_suffixes.MIN_SPAN:
+                continue
+            parts = []
+            for a, b, first, keep in span:
+                if parts and parts[-1][2:] == [first, keep]:
+                    parts[-1][1] = b
+                else:
+                    parts.append([a, b, first, keep])
+            want |= {(d, *p) for p in parts}
+    for split in (op2_suffixes.SPLIT, 2):
+        assert want and {tuple(r) for r in op2_suffixes.suffix_dedup(docs, split=split).collect()} == want
+
+
+def test_what_is_cut_is_in_its_first_document(texts):
+    cut = 0
+    for d, found in slow_pieces(texts).items():
+        for a, b, first, keep in found:
+            assert first <= d and texts[d].encode()[a:b] in texts[first].encode() and (not keep or first == d)
+            cut += not keep
+    assert cut
 
 
 def test_exact_repeats_are_covered(docs, texts):
-    n = op2_suffixes.MIN_SPAN + op2_suffixes.WINDOW
+    n = op2_suffixes.WINDOW + op2_suffixes.K - 1 + op2_suffixes.HEAD
     seen, twice = set(), set()
     for t in texts.values():
         data = t.encode()
@@ -120,7 +180,7 @@ def test_exact_repeats_are_covered(docs, texts):
         for a, b in spans[d]:
             got[a:b] = True
         need, hit = need + mark.sum(), hit + (mark & got).sum()
-    assert need > 0 and hit >= 0.99 * need
+    assert need > 0 and hit == need
 
 
 def test_ctw_against_sequential_probabilities():

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from tidemill.llm import op1_chunks, op2_suffixes, op3_ctw, op4_quality, op5_vptree, op6_tiles, op7_bpe, op8_mixing, op9_surrogates, op10_simhash
 
-CLASH = ["head", "at", "places", "digest", "place", "keep", "row", "rate", "copies", "copy", "c0", "quality", "toxic", "n_tokens", "token_ids", "node", "group_id", "key", "span", "rate_source", "gone_id", "n_entities", "packed", "n", "first", "r", "k", "x"]
+CLASH = ["TEXT", "Doc_Id", "LANG", "Source", "head", "salt", "shards", "_text", "_doc_id", "at", "places", "digest", "place", "keep", "row", "rate", "copies", "copy", "c0", "quality", "toxic", "n_tokens", "token_ids", "node", "group_id", "key", "span", "rate_source", "gone_id", "n_entities", "packed", "n", "first", "r", "k", "x"]
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon phi chi psi omega".split()
 PASSAGE = " ".join(f"{a}{b}" for a in WORDS for b in ("ing", "er", "ly"))
@@ -23,7 +23,7 @@ def rows():
 
 @pytest.fixture(scope="module")
 def odd(spark):
-    return spark.createDataFrame(rows(), SCHEMA).withColumns({c: F.lit(f"x{k}") for k, c in enumerate(CLASH)}).repartition(3)
+    return spark.createDataFrame(rows(), SCHEMA).select("*", *(F.lit(f"x{k}").alias(c) for k, c in enumerate(CLASH))).repartition(3)
 
 
 @pytest.fixture(scope="module")
@@ -37,15 +37,27 @@ def labels(spark):
 
 
 def test_substrings(odd, none):
-    for f in (op1_chunks.substring_dedup, op2_suffixes.suffix_dedup):
+    for f in (op1_chunks.substring_dedup, op1_chunks.passages, op2_suffixes.suffix_dedup):
         found = f(odd).collect()
         assert {1, 2, 3} <= {r["doc_id"] for r in found} and None not in {r["doc_id"] for r in found}
         assert not {4, 5, 6, 7, 10} & {r["doc_id"] for r in found}
-        assert all(r["end_byte"] - r["start_byte"] >= 96 for r in found)
+        assert f is not op1_chunks.substring_dedup or all(r["end_byte"] - r["start_byte"] >= 96 for r in found)
         assert len(found) == len({(r["doc_id"], r["start_byte"]) for r in found})
         assert f(none).collect() == []
 
 
+def test_texts_of_one_id_and_periods(spark):
+    """Different texts of one doc_id have spans of their own; a period is kept once; rows that repeat keep what they share."""
+    words = [f"{a}{b}" for a in WORDS for b in WORDS]
+    one, two = " ".join(words[:80]), " ".join(words[80:160])
+    table = spark.createDataFrame([(5, "x " + one), (5, two + " y"), (7, one + " and more"), (8, two), (9, "ab " * 3000), (10, "zz " + "ab " * 3000), (11, "row " + " ".join(words[200:300])), (11, "row " + " ".join(words[200:300]))], "doc_id long, text string")
+    found = sorted(tuple(r) for r in op2_suffixes.suffix_dedup(table).collect())
+    assert (5, 0, 1 + len(two), 5, True) not in found and {(7, 0, len(one), 5, False), (8, 0, len(two), 5, False), (5, 2, 2 + len(one), 5, True), (5, 0, len(two), 5, True)} <= set(found)
+    kept = sum(r[2] - r[1] for r in found if r[0] in (9, 10) and r[4])
+    assert kept <= 400 and sum(r[2] - r[1] for r in found if r[0] in (9, 10)) >= 2 * 9000 - 10
+    assert [r[3:] for r in found if r[0] == 11] == [(11, True)]
+
+
 def test_lm(odd, none):
     found = op3_ctw.lm_scores(odd).collect()
     assert len(found) == len(rows())

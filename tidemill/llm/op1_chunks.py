@@ -111,9 +111,10 @@ def spans_of(pieces_: DataFrame, extra: list, min_span: int) -> DataFrame:
     )
 
 
-def parts_of(marked: DataFrame, extra: list, min_span: int) -> DataFrame:
-    """The spans of spans_of, each divided where first or keep changes: a row for each part."""
-    by = Window.partitionBy("doc_id").orderBy("start_byte", "end_byte")
+def parts_of(marked: DataFrame, extra: list, min_span: int, text: list[str] | None = None) -> DataFrame:
+    """The spans of spans_of, each divided where first or keep changes: a row for each part. text: the columns that tell texts apart."""
+    text = text or ["doc_id"]
+    by = Window.partitionBy(*text).orderBy("start_byte", "end_byte")
     so_far = by.rowsBetween(Window.unboundedPreceding, 0)
     opens = F.coalesce(F.col("start_byte") > F.max("end_byte").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True))
     turns = F.col("opens") | (F.lag("first").over(by) != F.col("first")) | (F.lag("keep").over(by) != F.col("keep"))
@@ -121,10 +122,10 @@ def parts_of(marked: DataFrame, extra: list, min_span: int) -> DataFrame:
         marked.withColumn("opens", opens)
         .withColumn("turns", turns)
         .withColumns({"span": F.sum(F.col("opens").cast("int")).over(so_far), "part": F.sum(F.col("turns").cast("int")).over(so_far)})
-        .groupBy("doc_id", "span", "part")
+        .groupBy(*text, "span", "part")
         .agg(F.min("start_byte").alias("start_byte"), F.max("end_byte").alias("end_byte"), *extra, F.first("first").alias("first_doc_id"), F.first("keep").alias("keep"))
     )
-    whole = Window.partitionBy("doc_id", "span")
+    whole = Window.partitionBy(*text, "span")
     return parts.withColumn("bytes", F.max("end_byte").over(whole) - F.min("start_byte").over(whole)).filter(F.col("bytes") >= min_span).drop("span", "part", "bytes")
 
 

@@ -1,15 +1,26 @@
 """Operator 2, substring dedup by sparse suffix arrays: only suffixes at content-selected minimiser positions are sorted.
 
 A position is kept when the hash of its `K` bytes is the least in some window of `WINDOW` positions, so two equal passages of
-WINDOW + K - 1 bytes or more keep the same places whatever stands around them. Kept suffixes whose first K bytes occur nowhere else have
-no neighbour and leave before any text is moved. The others are sorted, in shards by their first K bytes: two suffixes with a longer
-common prefix are always in one shard, next to their best match. Each is compared with both neighbours byte by byte to the right, and
-the match is extended byte by byte to the left; a chain of kept positions covers a longer match, for they lie within WINDOW bytes of
-each other and the contexts reach further than that. Every exact repeat of MIN_SPAN + WINDOW bytes is found.
-
-Defined results: null or empty texts, texts under K bytes and rows whose doc_id is null give no row; repeated rows are occurrences like
-any other; an empty table gives an empty result; extra columns are ignored. Where a periodic passage keeps many equal positions, one in
-WINDOW / 2 bytes stays: the shard holds the same K bytes from either copy all the same.
+WINDOW + K - 1 bytes or more keep the same places whatever stands around them. Suffixes that agree in their first `HEAD` bytes are one
+class; those whose HEAD bytes (by a 64-bit hash) occur nowhere else, or that are shorter, leave before any text is moved. Counting the
+classes also says how many suffixes each has and which is the first of them, by (doc_id, row, place). The others are sorted by their HEAD
+bytes, neighbours are compared byte by byte, and a run of equal ones is a class. Each member is then extended byte by byte to the right and to the
+left against the class's first suffix. A class of more than SPLIT suffixes is divided by a hash into as many shards as it takes, each with a copy
+of the first, so a passage that a third of all rows hold is many tasks with the same result.
+
+How far: of an equal stretch [s, e) of a text and a first holder, the leftmost kept place is within WINDOW of s, and the rightmost whose
+HEAD bytes are still inside is within WINDOW + HEAD of e; LEFT and RIGHT bytes around a suffix, which are these sums, hold all that is
+to be compared. So each piece reaches exactly to where the member and its first holder differ, a chain of pieces covers a passage of any
+length, and every repeat of WINDOW + K - 1 + HEAD bytes is found.
+
+What to keep: a piece is kept where it is the class's first suffix itself, and is a copy of first_doc_id elsewhere. Touching pieces make a
+span, divided where the first holder or keep changes; where pieces overlap the one that begins first counts. What is cut is thus always in
+an earlier document (or earlier in the same), and without what is not kept each passage is still there once.
+
+Defined results: null or empty texts, texts under HEAD bytes and rows whose doc_id is null give no row; very long texts are whole suffixes like
+others, a task holds one at a time; rows that repeat (doc_id and text) can't be told apart: what they share is kept in each; different texts
+of one doc_id have spans of their own; of equal suffixes the least (doc_id, hash of the text, place) is the first; an empty table gives an empty
+result; extra columns are ignored, also those whose names differ from a needed one's in case alone. Where a periodic passage keeps many equal positions, one in WINDOW / 2 bytes stays, counted both from the run's start and from its end.
 """
 
 from __future__ import annotations
@@ -18,28 +29,34 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import batch_of, flat_bytes, keyed_texts, pieces
-from .op1_chunks import spans_of
+from .op1_chunks import parts_of
 
-K, WINDOW, MIN_SPAN = 24, 100, 120
-LEFT, RIGHT = 100, 160
-PLACES = pa.schema([("head", pa.int64()), ("doc_id", pa.int64()), ("at", pa.int64())])
-SUFFIXES = pa.schema([("doc_id", pa.int64()), ("at", pa.int64()), ("before", pa.binary()), ("after", pa.binary())])
-MATCHES = pa.schema([("doc_id", pa.int64()), ("start_byte", pa.int64()), ("end_byte", pa.int64()), ("other", pa.int64())])
+K, WINDOW, HEAD, MIN_SPAN, SPLIT = 24, 100, 100, 120, 4096
+LEFT, RIGHT = WINDOW, WINDOW + HEAD
+PLACES = pa.schema([("head", pa.int64()), ("doc_id", pa.int64()), ("row", pa.int32()), ("at", pa.int32())])
+SUFFIXES = pa.schema([("head", pa.binary()), ("salt", pa.int32()), ("doc_id", pa.int64()), ("row", pa.int32()), ("at", pa.int32()), ("before", pa.binary()), ("after", pa.binary())])
+MATCHES = pa.schema([("doc_id", pa.int64()), ("row", pa.int32()), ("at", pa.int32()), ("start_byte", pa.int64()), ("end_byte", pa.int64()), ("first", pa.int64()), ("keep", pa.bool_())])
+SPREAD = 0x9E3779B185EBCA87
 
 
-def head_hashes(data: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the K = 24 bytes from each position on; the last 23 positions have none."""
-    n = len(data) - K + 1
+def words_of(data: np.ndarray) -> np.ndarray:
+    """The 8 bytes from each position on as a number; the last 7 positions have none."""
     words = np.empty(len(data) - 7, np.uint64)
     for s in range(8):
         words[s::8] = np.frombuffer(data[s : s + (len(data) - s) // 8 * 8].tobytes(), np.uint64)
+    return words
+
+
+def seed_hashes(words: np.ndarray, n: int) -> np.ndarray:
+    """A 64-bit hash of the K = 24 bytes from each of n positions on."""
     with np.errstate(over="ignore"):
-        h = words[:n] * np.uint64(0x9E3779B185EBCA87)
+        h = words[:n] * np.uint64(SPREAD)
         h ^= h >> np.uint64(29)
         h = (h + words[8 : n + 8]) * np.uint64(0xC2B2AE3D27D4EB4F)
         h ^= h >> np.uint64(31)
@@ -47,6 +64,16 @@ def head_hashes(data: np.ndarray) -> np.ndarray:
         return h ^ (h >> np.uint64(32))
 
 
+def head_hashes(words: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the HEAD bytes from each place on."""
+    h = np.zeros(len(at), np.uint64)
+    with np.errstate(over="ignore"):
+        for k in [*range(0, HEAD - 7, 8), HEAD - 8]:
+            h = (h ^ words[at + k]) * np.uint64(SPREAD)
+            h ^= h >> np.uint64(32)
+        return h * np.uint64(0xC2B2AE3D27D4EB4F)
+
+
 def _slide(x: np.ndarray, pick) -> np.ndarray:
     """pick (minimum or maximum) over each WINDOW values in a row."""
     width = 1
@@ -57,66 +84,73 @@ def _slide(x: np.ndarray, pick) -> np.ndarray:
     return pick(x[: len(x) - rest], x[rest:]) if rest else x
 
 
-def minimisers(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Kept positions in the buffer and the hashes of their K bytes."""
-    if len(data) < K + WINDOW:
-        data_ = np.concatenate([data, np.zeros(K + WINDOW, np.uint8)])
-    else:
-        data_ = data
-    h = head_hashes(data_)
+def minimisers(data: np.ndarray, offsets: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Kept positions in the buffer, which has K + WINDOW bytes after the last text."""
+    h = seed_hashes(words, len(data) - K + 1)
     order = (h >> np.uint64(32)).astype(np.uint32)
-    inside = np.zeros(len(order) + 1, np.int32)  # positions whose K bytes would reach beyond their text
-    ends = offsets[1:]
-    np.add.at(inside, np.minimum(np.maximum(ends - K + 1, offsets[:-1]), len(order)), 1)
-    np.add.at(inside, np.minimum(ends, len(order)), -1)
-    order[np.cumsum(inside[:-1]) > 0] = 0xFFFFFFFF
-    order[len(data) :] = 0xFFFFFFFF
     low = _slide(order, np.minimum)
+    inside = np.zeros(len(low) + 1, np.int32)  # windows whose positions all have their K bytes in one text
+    n = np.diff(offsets) - (K + WINDOW - 2)
+    np.add.at(inside, offsets[:-1][n > 0], 1)
+    np.add.at(inside, (offsets[:-1] + n)[n > 0], -1)
+    low[np.cumsum(inside[:-1]) == 0] = 0
     padded = np.concatenate([np.zeros(WINDOW - 1, np.uint32), low, np.zeros(WINDOW - 1, np.uint32)])
-    at = np.flatnonzero((order == _slide(padded, np.maximum)) & (order != 0xFFFFFFFF))
-    hashes = h[at]
+    at = np.flatnonzero((order == _slide(padded, np.maximum)) & (order > 0))
     if len(at):
-        row = np.searchsorted(offsets, at, side="right")
+        hashes, row = h[at], np.searchsorted(offsets, at, side="right")
         fresh = np.concatenate([[True], (hashes[1:] != hashes[:-1]) | (row[1:] != row[:-1])])
-        cell = (at - at[np.flatnonzero(fresh)][np.cumsum(fresh) - 1]) // (WINDOW // 2)
-        keep = fresh | np.concatenate([[True], cell[1:] != cell[:-1]])
-        at, hashes = at[keep], hashes[keep]
-    return at, hashes
+        over = np.concatenate([fresh[1:], [True]])
+        run = np.cumsum(fresh) - 1
+        from_start, from_end = (at - at[fresh][run]) // (WINDOW // 2), (at[over][run] - at) // (WINDOW // 2)
+        at = at[fresh | over | np.concatenate([[True], from_start[1:] != from_start[:-1]]) | np.concatenate([from_end[1:] != from_end[:-1], [True]])]
+    return at
+
+
+def row_hashes(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """32 bits that tell the texts of one doc_id apart."""
+    view, cut = memoryview(data), offsets.tolist()
+    return (np.array([xxhash.xxh3_64_intdigest(view[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)], np.uint64) >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
 def place_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for batch in pieces(whole, 1 << 20):
             data, offsets = flat_bytes(batch.column(1))
-            at, hashes = minimisers(data, offsets)
+            hashed = row_hashes(data, offsets)
+            data = np.concatenate([data, np.zeros(K + WINDOW + HEAD, np.uint8)])
+            words = words_of(data)
+            at = minimisers(data, offsets, words)
+            row = np.searchsorted(offsets, at, side="right") - 1
+            whole_heads = at + HEAD <= offsets[row + 1]
+            at, row = at[whole_heads], row[whole_heads]
             if len(at):
-                row = np.searchsorted(offsets, at, side="right") - 1
-                yield batch_of(PLACES, hashes.view(np.int64), batch.column(0).to_numpy()[row], at - offsets[row])
+                yield batch_of(PLACES, head_hashes(words, at).view(np.int64), batch.column(0).to_numpy()[row], hashed[row], (at - offsets[row]).astype(np.int32))
 
 
 def packed_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts compressed, for the shuffle that brings them to their places."""
     squeeze = zstandard.ZstdCompressor(level=6).compress
-    for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([squeeze(t.encode()) for t in batch.column(1).to_pylist()], pa.binary())], names=["doc_id", "packed"])
+    for whole in batches:
+        for batch in pieces(whole, 1 << 20):
+            data, offsets = flat_bytes(batch.column(1))
+            view, cut = memoryview(data), offsets.tolist()
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(row_hashes(data, offsets)), pa.array([squeeze(view[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())], names=["doc_id", "row", "packed"])
 
 
 def suffix_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From (doc_id, packed text, places: the kept positions of a text) to suffixes with what stands before and after them."""
+    """From (doc_id, row, packed text, places and salts of a text) to suffixes with what stands before and after them."""
     loosen = zstandard.ZstdDecompressor().decompress
     for whole in batches:
-        for batch in pieces(whole, 1 << 19):
-            texts, places = [loosen(t) for t in batch.column(1).to_pylist()], batch.column(2)
-            data, offsets = b"".join(texts), np.cumsum([0, *map(len, texts)])
-            counts = np.diff(np.asarray(places.offsets))
-            at = places.flatten().to_numpy()
-            row = np.repeat(np.arange(batch.num_rows), counts)
-            lo, hi = offsets[row], offsets[row + 1]
-            mid = lo + at
-            before = [data[a:b] for a, b in zip(np.maximum(mid - LEFT, lo).tolist(), mid.tolist(), strict=True)]
-            after = [data[a:b] for a, b in zip(mid.tolist(), np.minimum(mid + RIGHT, hi).tolist(), strict=True)]
-            for s in range(0, len(at), 8192):
-                yield batch_of(SUFFIXES, batch.column(0).to_numpy()[row[s : s + 8192]], at[s : s + 8192], before[s : s + 8192], after[s : s + 8192])
+        for batch in pieces(whole.select(["doc_id", "packed", "row", "at", "salt"]), 1 << 19):
+            doc, hashed = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+            for r, text in enumerate(batch.column(1).to_pylist()):
+                data = loosen(text)
+                places, salts = batch.column(3)[r].values.to_numpy(), batch.column(4)[r].values.to_numpy()
+                for s in range(0, len(places), 8192):
+                    at, salt = places[s : s + 8192], salts[s : s + 8192]
+                    before = [data[max(0, p - LEFT) : p] for p in at.tolist()]
+                    after = [data[p : p + RIGHT] for p in at.tolist()]
+                    yield batch_of(SUFFIXES, [x[:HEAD] for x in after], salt, np.full(len(at), doc[r]), np.full(len(at), hashed[r]), at, before, [x[HEAD:] for x in after])
 
 
 def _grid(column: pa.Array, width: int, from_right: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -129,54 +163,74 @@ def _grid(column: pa.Array, width: int, from_right: bool) -> tuple[np.ndarray, n
     return (grid[:, ::-1] if from_right else grid), size
 
 
-def _common(grid: np.ndarray, size: np.ndarray) -> np.ndarray:
-    differ = grid[1:] != grid[:-1]
+def _common(grid: np.ndarray, size: np.ndarray, me: np.ndarray, it: np.ndarray) -> np.ndarray:
+    """How many bytes rows `me` and rows `it` have in common."""
+    differ = grid[me] != grid[it]
     first = np.where(differ.any(1), differ.argmax(1), grid.shape[1])
-    return np.minimum(first, np.minimum(size[1:], size[:-1]))
-
-
-def neighbour_batches(batches: Iterator[pa.RecordBatch], min_span: int = MIN_SPAN) -> Iterator[pa.RecordBatch]:
-    """Sorted suffixes to matches; the last row of a batch waits for its next neighbour."""
-    waiting, best = None, None  # one suffix, and its (start, end, other) so far
-
-    def out(doc, lo, hi, other):
-        found = hi > lo
-        return batch_of(MATCHES, doc[found], lo[found], hi[found], other[found])
-
-    for batch in batches:
-        if batch.num_rows == 0:
-            continue
-        rows = pa.Table.from_batches([waiting, batch] if waiting is not None else [batch]).combine_chunks().to_batches()[0]
-        doc, at = (rows.column(k).to_numpy() for k in range(2))
-        right = _common(*_grid(rows.column(3), RIGHT, False))
-        left = _common(*_grid(rows.column(2), LEFT, True))
-        same = (right >= K) & (left + right >= min_span)
-        lo, hi, other = at.copy(), at.copy(), np.full(len(at), np.iinfo(np.int64).max)
-        if best is not None:
-            lo[0], hi[0], other[0] = best
-        k = np.flatnonzero(same)
-        for me, it in ((k, k + 1), (k + 1, k)):
-            lo[me] = np.minimum(lo[me], at[me] - left[k])
-            hi[me] = np.maximum(hi[me], at[me] + right[k])
-            other[me] = np.minimum(other[me], doc[it])
-        waiting, best = rows.slice(len(at) - 1), (lo[-1], hi[-1], other[-1])
-        waiting = pa.RecordBatch.from_pylist(waiting.to_pylist(), schema=rows.schema)
-        yield out(doc[:-1], lo[:-1], hi[:-1], other[:-1])
-    if waiting is not None:
-        yield out(waiting.column(0).to_numpy(), *(np.array([x]) for x in best))
-
-
-def suffix_dedup(docs: DataFrame, min_span: int = MIN_SPAN) -> DataFrame:
-    """(doc_id, start_byte, end_byte, first_doc_id, keep): the passages that occur more than once; bytes count in UTF-8.
-
-    first_doc_id is the least of doc_id and the documents that the passage was matched with.
+    return np.minimum(first, np.minimum(size[me], size[it]))
+
+
+def neighbour_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted suffixes to pieces. The first suffix of a class waits for the members of later batches, with how far they reached."""
+    held, reach, more = None, (0, 0), False  # of the open class: its first suffix, the most to the left and right, whether it has another member
+
+    def first_piece(row: pa.RecordBatch, far: tuple[int, int]) -> pa.RecordBatch:
+        doc, at = row.column(2).to_numpy(), row.column(4).to_numpy().astype(np.int64)
+        return batch_of(MATCHES, doc, row.column(3), row.column(4), at - far[0], at + HEAD + far[1], doc, [True])
+
+    for whole in batches:
+        for start in range(0, whole.num_rows, 4096):
+            batch = whole.slice(start, 4096)
+            rows = pa.Table.from_batches([held, batch] if held is not None else [batch]).combine_chunks().to_batches()[0]
+            n = rows.num_rows
+            doc, row, at = rows.column(2).to_numpy(), rows.column(3).to_numpy(), rows.column(4).to_numpy().astype(np.int64)
+            heads, sizes = _grid(rows.column(0), HEAD, False)
+            salt = rows.column(1).to_numpy()
+            opens = np.concatenate([[True], (salt[1:] != salt[:-1]) | (_common(heads, sizes, np.arange(1, n), np.arange(n - 1)) < HEAD)])
+            owner = np.flatnonzero(opens)[np.cumsum(opens) - 1]
+            me = np.flatnonzero(~opens)
+            it = owner[me]
+            left = _common(*_grid(rows.column(5), LEFT, True), me, it)
+            right = _common(*_grid(rows.column(6), RIGHT - HEAD, False), me, it)
+            far = np.zeros((2, n), np.int64)
+            np.maximum.at(far[0], it, left)
+            np.maximum.at(far[1], it, right)
+            members = np.bincount(it, minlength=n)
+            if held is not None:
+                far[:, 0] = np.maximum(far[:, 0], reach)
+                members[0] += more
+            itself = (doc[me] == doc[it]) & (row[me] == row[it]) & (at[me] == at[it])
+            yield batch_of(MATCHES, doc[me], row[me], at[me], at[me] - left, at[me] + HEAD + right, doc[it], itself)
+            done = np.flatnonzero(opens)[:-1]
+            done = done[members[done] > 0]
+            yield batch_of(MATCHES, doc[done], row[done], at[done], at[done] - far[0, done], at[done] + HEAD + far[1, done], doc[done], np.ones(len(done), bool))
+            last = int(owner[-1])
+            held, reach, more = pa.RecordBatch.from_pylist(rows.slice(last, 1).to_pylist(), schema=rows.schema), tuple(far[:, last]), bool(members[last])
+    if held is not None and more:
+        yield first_piece(held, reach)
+
+
+def apart(found: DataFrame) -> DataFrame:
+    """Overlapping pieces as stretches that don't: where they overlap, the one that begins first counts. Pieces of one place from several shards are one."""
+    found = found.repartition("doc_id", "row").groupBy("doc_id", "row", "at", "first", "keep").agg(F.min("start_byte").alias("start_byte"), F.max("end_byte").alias("end_byte"))
+    by = Window.partitionBy("doc_id", "row").orderBy("start_byte", F.desc("end_byte"), F.desc("keep"), "first")
+    so_far = F.coalesce(F.max("end_byte").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1))
+    return found.withColumn("start_byte", F.greatest("start_byte", so_far)).filter("start_byte < end_byte")
+
+
+def suffix_dedup(docs: DataFrame, min_span: int = MIN_SPAN, split: int = SPLIT) -> DataFrame:
+    """(doc_id, start_byte, end_byte, first_doc_id, keep): the parts of passages that occur more than once; bytes count in UTF-8.
+
+    first_doc_id is the least document that holds the part, and keep says that this is where it holds it first.
     """
     texts = keyed_texts(docs).filter("doc_id is not null and text <> ''")
-    places = texts.mapInArrow(place_batches, "head long, doc_id long, at long")
-    repeated = places.groupBy("head").agg(F.count("*").alias("n")).filter("n > 1").select("head")
-    wanted = places.join(repeated, "head").select("doc_id", F.col("at").cast("int").alias("at")).repartition("doc_id").groupBy("doc_id").agg(F.collect_set("at").alias("places"))
-    packed = texts.mapInArrow(packed_batches, "doc_id long, packed binary")
-    suffixes = packed.join(wanted, "doc_id").select("doc_id", "packed", "places").mapInArrow(suffix_batches, "doc_id long, at long, before binary, after binary")
-    matches = suffixes.repartition(F.xxhash64(F.substring("after", 1, K))).sortWithinPartitions("after", "doc_id", "at").mapInArrow(lambda b: neighbour_batches(b, min_span), "doc_id long, start_byte long, end_byte long, other long")
-    found = spans_of(matches, [F.least(F.min("other"), F.col("doc_id")).alias("first_doc_id")], min_span)
-    return found.withColumn("keep", F.col("first_doc_id") == F.col("doc_id"))
+    places = texts.mapInArrow(place_batches, "head long, doc_id long, row int, at int")
+    classes = places.groupBy("head").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "row", "at")).alias("first")).filter("n > 1").select("head", F.ceil(F.col("n") / F.lit(split)).cast("int").alias("shards"), "first")
+    is_first = F.struct("doc_id", "row", "at") == F.col("first")
+    one = F.array(F.pmod(F.xxhash64("doc_id", "row", "at"), F.col("shards")).cast("int"))
+    salted = places.join(classes, "head").select("doc_id", "row", "at", F.explode(F.when(is_first, F.sequence(F.lit(0), F.col("shards") - 1)).otherwise(one)).alias("salt"))
+    wanted = salted.groupBy("doc_id", "row").agg(F.collect_set(F.struct("at", "salt")).alias("places")).select("doc_id", "row", F.col("places.at").alias("at"), F.col("places.salt").alias("salt"))
+    packed = texts.mapInArrow(packed_batches, "doc_id long, row int, packed binary")
+    suffixes = packed.join(wanted, ["doc_id", "row"]).select("doc_id", "row", "packed", "at", "salt").mapInArrow(suffix_batches, "head binary, salt int, doc_id long, row int, at int, before binary, after binary")
+    pieces_ = suffixes.repartition(F.xxhash64("head", "salt")).sortWithinPartitions("head", "salt", "doc_id", "row", "at").mapInArrow(neighbour_batches, "doc_id long, row int, at int, start_byte long, end_byte long, first long, keep boolean")
+    return parts_of(apart(pieces_), [], min_span, ["doc_id", "row"]).select("doc_id", "start_byte", "end_byte", "first_doc_id", "keep")
