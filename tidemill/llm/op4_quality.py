@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, keyed_texts, pieces
+from .common import cut_lineage, keyed_texts, picked, pieces, with_row
 
 SAMPLE, FEATURES, DIMS, NEIGHBOURS = 4096, 1024, 32, 25
 STEM = 4
@@ -69,7 +69,7 @@ def _sample_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def known_labels(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, quality, toxic) of the labelled documents."""
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"), F.col("toxic").cast("int").alias("toxic")).dropna()
+    known = picked(labels, "doc_id", "quality", "toxic").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"), F.col("toxic").cast("int").alias("toxic")).dropna()
     known = known.groupBy("doc_id").agg(F.min(F.struct("quality", "toxic")).alias("x")).select("doc_id", "x.*")
     return known.join(docs.select("doc_id").filter("doc_id is not null"), "doc_id", "left_semi")
 
@@ -183,13 +183,11 @@ def quality_scores(docs: DataFrame, labels: DataFrame, **parameters) -> DataFram
 def kept_documents(docs: DataFrame, labels: DataFrame, **parameters) -> DataFrame:
     """The rows of docs that are kept, with all their columns; none of them is shuffled."""
     score = quality_votes(docs, labels, **parameters)
-    names = [f"c{k}" for k in range(len(docs.columns))]
-    row = F.struct(*(F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names, strict=True)))
-    wide = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), row.alias("row"))
+    wide, again = with_row(docs, "doc_id", "text")
+    wide = wide.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), "row")
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in score(batches):
             yield pa.RecordBatch.from_arrays([b.column(2).filter(b.column(5))], names=["row"])
 
-    out = wide.mapInArrow(kept, f"row {wide.schema['row'].dataType.simpleString()}")
-    return out.select(*(F.col(f"row.{n}").alias(c) for c, n in zip(docs.columns, names, strict=True)))
+    return again(wide.mapInArrow(kept, f"row {wide.schema['row'].dataType.simpleString()}"))

@@ -29,7 +29,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed_texts, pieces
+from .common import keyed_texts, picked, pieces
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 SPLIT = regex.compile(r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -198,7 +198,8 @@ def encode_batches(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.
 
 def bpe_encoded(docs: DataFrame, path: str = VOCABULARY, also: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, n_bytes, n_tokens, token_ids, round_trip, *also): round_trip says that decoding gives the text's bytes again."""
-    texts = docs.select(*keyed_columns(), *(F.col(f"`{c}`") for c in also)) if also else keyed_texts(docs)
+    narrow = picked(docs, "doc_id", "text", *also)
+    texts = narrow.select(*keyed_columns(), *also)
     more = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in texts.schema.fields[2:])
     return texts.mapInArrow(lambda b: encode_batches(b, path), f"doc_id long, n_bytes long, n_tokens long, token_ids array<int>, round_trip boolean{more}")
 

@@ -15,8 +15,9 @@ Targets: weights by source where given (a source that is not named gets none), e
 of tokens after mixing is `budget` tokens, by default that of the corpus.
 
 Defined results: null sources and languages are groups of their own; null and empty texts have 0 tokens, weigh nothing and get their
-cell's rate, 1 if no text of their source and language has a token; a null doc_id draws as -1; repeated rows are mixed each and draw
-alike; an empty table gives an empty result; extra columns are ignored here and kept by the pipeline's stage.
+cell's rate, 1 if no text of their source and language has a token; very long texts count with all their tokens, so one may be most of a
+cell; a null doc_id draws as -1; repeated rows are mixed each and draw alike; an empty table gives an empty result; extra columns are
+ignored here and kept by the pipeline's stage, also those whose names differ from a needed one's in case alone. Rates that Newton's steps don't reach are an error.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage
+from .common import cut_lineage, picked, with_row
 
 #: Rates are broadcast up to so many rows (sources times languages); beyond, the join shuffles.
 BROADCAST_ROWS = 200_000
@@ -41,7 +42,7 @@ def token_count(text):
 
 def measured(docs: DataFrame) -> DataFrame:
     """(doc_id, source, lang, n_tokens) for every row."""
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    narrow = picked(docs, "doc_id", "source", "lang", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     return narrow.select("doc_id", "source", "lang", token_count("text").cast("long").alias("n_tokens"))
 
 
@@ -88,6 +89,8 @@ def balanced(by_source: DataFrame, languages: np.ndarray, ridge: float = RIDGE)
             scale /= 2
         mu = mu + scale * step
         f, g, h = new
+    else:
+        raise ArithmeticError(f"no solution in 100 steps: {np.abs(g).max() / total:g} of the tokens are off")
     return mu
 
 
@@ -147,9 +150,7 @@ def mixture(docs: DataFrame, seed: str = SEED, **parameters) -> DataFrame:
 
 def mixed_documents(docs: DataFrame, seed: str = SEED, **parameters) -> DataFrame:
     """The rows of docs, with all their columns, as often as their copies say."""
-    names = [f"c{k}" for k in range(len(docs.columns))]
-    plain = [F.col(f"`{c}`") for c in docs.columns]
-    rows = docs.select(F.struct(F.col("doc_id"), F.col("source"), F.col("lang"), *(c.alias(n) for c, n in zip(plain, names, strict=True))).alias("row"))
+    wide, again = with_row(docs, "doc_id", "source", "lang")
+    rows = wide.select(F.struct("doc_id", "source", "lang", "row").alias("row"))
     out = with_copies(rows, rates(docs, **parameters), seed).filter("copies > 0")
-    again = out.select("row", F.explode(F.sequence(F.lit(1), "copies")).alias("copy"))
-    return again.select(*(F.col(f"row.{n}").alias(c) for c, n in zip(docs.columns, names, strict=True)))
+    return again(out.select("row", F.explode(F.sequence(F.lit(1), "copies")).alias("copy")).select("row.row"))

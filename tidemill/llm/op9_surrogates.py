@@ -1,37 +1,46 @@
 """Operator 9, PII: surrogate generation. Detected entities receive keyed, type-consistent replacements.
 
 Kinds: e-mail addresses, phone numbers, IPv4 addresses, payment cards (Luhn), national numbers (ddd-dd-dddd), IBANs, access keys,
-passwords and tokens, and names of persons (after a title or a phrase of introduction, or a known given name before a surname).
+passwords and tokens, and names of persons. A name is known by what stands around it: a title, a phrase of introduction, a salutation,
+a field such as `Contact:` with one name or a list of them, an e-mail address in the same text whose local part spells it, or a given name of the
+lists before a surname. Once a text has named somebody, each part of the name is found wherever else it stands there alone.
 
 Replacement is a keyed permutation of the strings of one form: letters stay letters of their case and script class, digits digits,
 punctuation stays, so the surrogate has the original's kind and format (cards keep their first digit and pass Luhn again, phones their
-country code, passwords and tokens their name). Given names that are known are permuted within the names of their gender and script; other
-names are permuted letter by letter, vowels to vowels and consonants to consonants. As the key and the string alone decide, an entity
-has the same surrogate in every document, in whatever case or spacing it is written, and as a permutation never maps two strings to one,
-distinct entities stay distinct without a table that would grow with the corpus. `collisions` checks this over a whole corpus, on the
-pairs that were in fact made. An unknown name whose
-surrogate would be a known name is permuted on until it isn't.
-
-Defined results: null texts count as empty; a null doc_id is kept; texts without entities come back unchanged; where finds overlap,
-the first in the order above wins at the leftmost place; repeated rows are rewritten alike; an empty table gives an empty result; extra
-columns are ignored here and kept by the pipeline's stage.
+country code, passwords and tokens their name). Listed given names are permuted within the names of their gender and script. Other names
+become names of syllables in their script: the name is a number among all strings of its alphabet, the number is permuted and written
+with syllables for digits, which can be read back in one way only. After a title that has a gender, a given name that isn't listed is
+led by a listed one of that gender, as in Emma-Kelori. The permutations have no fixed points. As the key and the string alone decide (and
+the gender that a text gives it), an entity has the same surrogate in every document, in whatever case or spacing it is written, and
+distinct entities stay distinct without a table that would grow with the corpus. `checked` makes sure of that over all pairs that a corpus in fact has and
+raises an error otherwise; the query and the pipeline's stage call it.
+
+The key is an argument that has no default. `key_of` takes it from the session (spark.tidemill.surrogate.key); where none is set
+it draws one for the run, which nobody knows afterwards.
+
+Defined results: null texts count as empty here and stay null in the pipeline's stage; a null doc_id is kept; texts without entities come back unchanged; where finds overlap,
+the leftmost counts, and of those the longest; very long texts are searched whole, one after the other; repeated rows are rewritten alike; an empty table gives an empty result; extra
+columns are ignored here and kept by the pipeline's stage, also those whose names differ from a needed one's in case alone.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import secrets
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute  # noqa: F401
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import flat_bytes, keyed_texts, pieces
+from .common import flat_bytes, keyed_texts, pieces, with_row
 
-KEY = b"replace this key in production"
+KEY_SETTING = "spark.tidemill.surrogate.key"
 ROUNDS = 8
 NAMES = {
     ("latin", "f"): "Mary Anna Maria Sarah Laura Emma Julia Sophie Claire Camille Ingrid Greta Helga Katrin Lucia Elena Carmen Isabel Alice Emily Nora Olivia Marie Jeanne Ursula Sabine Pilar Teresa Susan Linda".split(),
@@ -66,7 +75,7 @@ def _number(symbols: list[tuple[str, int]]) -> tuple[int, int]:
 def permuted(text: str, kind: str, key: bytes, table: dict) -> str:
     """A keyed bijection on the strings that have text's class at each place; what is in no class stays.
 
-    A Feistel network whose halves are numbers in mixed radix; the form, kind and key decide the permutation.
+    The halves of a Feistel network are numbers in mixed radix; the form, kind and key decide the permutation.
     """
     places = [k for k, c in enumerate(text) if c in table]
     if not places:
@@ -76,11 +85,7 @@ def permuted(text: str, kind: str, key: bytes, table: dict) -> str:
     a, b = symbols[:half], symbols[half:]
     (x, nx), (y, ny) = _number(a), _number(b)
     form = repr((kind, [s for s, _ in symbols])).encode()
-    for r in range(ROUNDS):
-        if r % 2 == 0:
-            y = (y + _keyed(key, form, r, x)) % ny
-        else:
-            x = (x + _keyed(key, form, r, y)) % nx
+    x, y = _moved(x, y, nx, ny, key, form)
     out = list(text)
     for part, value in ((list(zip(places[:half], a, strict=True)), x), (list(zip(places[half:], b, strict=True)), y)):
         for place, (s, _) in reversed(part):
@@ -89,6 +94,25 @@ def permuted(text: str, kind: str, key: bytes, table: dict) -> str:
     return "".join(out)
 
 
+def _moved(x: int, y: int, nx: int, ny: int, key: bytes, form: bytes) -> tuple[int, int]:
+    """A keyed permutation of the pairs under (nx, ny) that leaves none where it is: a Feistel network, a step, and the network backwards."""
+    n = nx * ny
+    if n == 1:
+        return x, y
+    for r in range(ROUNDS):
+        if r % 2 == 0:
+            y = (y + _keyed(key, form, r, x)) % ny
+        else:
+            x = (x + _keyed(key, form, r, y)) % nx
+    x, y = divmod((x * ny + y + (1 if n > 1 << 20 else 1 + _keyed(key, form, ROUNDS, 0) % (n - 1))) % n, ny)
+    for r in reversed(range(ROUNDS)):
+        if r % 2 == 0:
+            y = (y - _keyed(key, form, r, x)) % ny
+        else:
+            x = (x - _keyed(key, form, r, y)) % nx
+    return x, y
+
+
 def _keyed(key: bytes, form: bytes, r: int, value: int) -> int:
     h = hashlib.blake2b(form + b"|%d|%d" % (r, value), key=key[:64], digest_size=32)
     return int.from_bytes(h.digest(), "big")
@@ -128,12 +152,7 @@ def _phone(text: str, key: bytes) -> str:
 
 def _ip(text: str, key: bytes) -> str:
     value = int.from_bytes(bytes(map(int, text.split("."))), "big")
-    x, y = divmod(value, 65536)
-    for r in range(ROUNDS):
-        if r % 2 == 0:
-            y = (y + _keyed(key, b"ip", r, x)) % 65536
-        else:
-            x = (x + _keyed(key, b"ip", r, y)) % 65536
+    x, y = _moved(*divmod(value, 65536), 65536, 65536, key, b"ip")
     return ".".join(map(str, (x * 65536 + y).to_bytes(4, "big")))
 
 
@@ -167,14 +186,56 @@ def _secret_form(body: str) -> tuple:
     return re.fullmatch(r"[0-9a-fA-F]+", body) is not None, body.upper() != body, body.lower() != body
 
 
-def _word(name: str, key: bytes) -> str:
-    plain = name[:1].upper() + name[1:].lower()
-    if name.lower() in KNOWN:
-        return _cased(_rotated(NAMES[KNOWN[name.lower()]], plain, key), name)
-    new = permuted(plain, "name", key, BY_WORD)
-    while new.lower() in KNOWN:  # walking on along the cycle keeps it a permutation of the unknown names
-        new = permuted(new, "name", key, BY_WORD)
-    return _cased(new, name)
+VOWELS = "a e i o u ia io ea ai".split()
+ONSETS = "b c d f g h j k l m n p r s t v w z br ch cl dr fl gr kr pl pr sh sl st th tr".split()
+#: By alphabet: its letters, and the onsets and vowels that its surrogates are made of; each syllable is a run of consonants and one of vowels.
+ALPHABETS = [
+    ("latin", "abcdefghijklmnopqrstuvwxyz", ONSETS, VOWELS),
+    ("latin", "abcdefghijklmnopqrstuvwxyzàâäáãåæçèéêëìíîïñòóôöõøœßùúûüýÿšžłńśćźżąęğışčřůěő", ONSETS, "é è á à ó ö ü í ä ê â".split()),
+    ("cyrillic", "абвгдеёжзийклмнопрстуфхцчшщъыьэюяіїєґ", "б в г д ж з к л м н п р с т ф х ч ш бр гр др кр пр ст тр вл".split(), "а е и о у я ю".split()),
+    ("greek", "αάβγδεέζηήθιίϊκλμνξοόπρσςτυύφχψωώ", "β γ δ ζ θ κ λ μ ν π ρ σ τ φ χ στ τρ πρ κρ".split(), "α ε η ι ο υ ω ου αι".split()),
+]
+BY_LETTER = [_classes([letters]) for _, letters, _, _ in ALPHABETS]
+
+
+def _syllables(word: str, which: int) -> str:
+    """A lower-case word as the syllables whose number it has among all words of its alphabet."""
+    _, letters, onsets, vowels = ALPHABETS[which]
+    value, shorter = 0, 0
+    for k, c in enumerate(word):
+        value, shorter = value * len(letters) + BY_LETTER[which][c][1], shorter + len(letters) ** k
+    number, out = value + shorter, []
+    base = len(onsets) * len(vowels)
+    while number > 0:  # bijective numeration: every number in one way
+        number, digit = divmod(number - 1, base)
+        out.append(onsets[digit // len(vowels)] + vowels[digit % len(vowels)])
+    return "".join(out)
+
+
+@lru_cache(maxsize=1024)
+def _letters_near(c: str) -> str:
+    """The letters of c's case among the 64 characters around it, for scripts without an alphabet here."""
+    return "".join(x for x in map(chr, range(ord(c) & ~63, (ord(c) | 63) + 1)) if x.isalpha() and x.islower() == c.islower() and x.isupper() == c.isupper())
+
+
+def _word(name: str, key: bytes, gender: str = "") -> str:
+    """The surrogate of one word of a name; gender: of a given name, where the text tells it."""
+    low = name.lower()
+    if low in KNOWN:
+        return _cased(_rotated(NAMES[KNOWN[low]], name[:1].upper() + low[1:], key), name)
+    if parts := re.split("([-'’])", low)[1:]:
+        first, *rest = re.split("([-'’])", low)
+        return _cased(_word(first.capitalize(), key, gender) + "".join(x if x in "-'’" else _word(x.capitalize(), key) if x else x for x in rest), name) if parts else name
+    which = next((k for k, table in enumerate(BY_LETTER) if all(c in table for c in low)), None)
+    if which is None:
+        table = {c: (_letters_near(c), _letters_near(c).index(c)) for c in low if c.isalpha() and c in _letters_near(c)}
+        return _cased(permuted(low, "name", key, table).capitalize(), name)
+    new = permuted(low, f"name{which}", key, BY_LETTER[which])
+    while (out := _syllables(new, which)) in KNOWN:  # walking on along the cycle keeps distinct names distinct
+        new = permuted(new, f"name{which}", key, BY_LETTER[which])
+    pool = NAMES.get((ALPHABETS[which][0], gender))
+    lead = pool[_keyed(key, b"lead" + gender.encode(), 0, int.from_bytes(low.encode(), "big")) % len(pool)] + "-" if pool else ""
+    return _cased(lead + out.capitalize(), name)
 
 
 def _rotated(pool: list[str], name: str, key: bytes) -> str:
@@ -185,7 +246,7 @@ def _rotated(pool: list[str], name: str, key: bytes) -> str:
 
 
 TITLES = {"Mr": "m", "Mrs": "f", "Ms": "f", "Herr": "m", "Frau": "f", "Monsieur": "m", "Madame": "f", "Mme": "f", "Mlle": "f", "Señor": "m", "Señora": "f", "Sra": "f", "Dr": "", "Prof": "", "Господин": "m", "Госпожа": "f", "Κύριος": "m", "Κυρία": "f"}
-NAME = r"[^\W\d_a-zà-öø-ÿа-яё][^\W\d_]+(?:[-'][^\W\d_]+)*"
+NAME = r"[^\W\d_a-zà-öø-ÿа-яё](?:[^\W\d_]+(?:[-'’][^\W\d_]+)*|(?:['’][^\W\d_]+)+(?:-[^\W\d_]+)*)"
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
     "secret": r"\bAKIA[0-9A-Z]{16}\b|\b(?i:password|passwd|pwd|secret|token|api[_-]?key)\s*[=:]\s*[\"']?[A-Za-z0-9_\-]{6,}",
@@ -200,15 +261,25 @@ UNCARDED = re.compile("|".join(f"(?P<{k}>{p})" for k, p in PATTERNS.items() if k
 CARD, PHONE = re.compile(PATTERNS["card"]), re.compile(PATTERNS["phone"])
 INTRODUCED = re.compile(rf"(?P<title>\b(?:{'|'.join(TITLES)})\b\.? |[Mm]y name is |[Ii]ch heiße |[Jj]e m'appelle |[Mm]e llamo |[Мм]еня зовут )(?P<name>{NAME}(?: {NAME})?)")
 GIVEN = re.compile(rf"\b(?P<first>{'|'.join(sorted((n for p in NAMES.values() for n in p), key=len, reverse=True))}) (?P<last>{NAME})\b")
+LABELS = "contact|contacts|name|names|full name|attn|attention|author|authors|signed|signed by|signature|from|to|cc|patient|customer|client|employee|manager|kontakt|ansprechpartner|nom|auteur|nombre|autor|контакт|имя|фио|автор|όνομα|επαφή"
+FIELD = re.compile(rf"\b(?i:{LABELS}) ?: ?(?P<list>{NAME} {NAME}(?:(?:, | and | & |; ){NAME} {NAME})*)")
+SALUTATION = re.compile(rf"\b(?:Dear|Hi|Hello|Regards|regards|Sincerely|Liebe|Lieber|Cher|Chère|Querido|Querida|Уважаемый|Уважаемая),? \n*(?P<name>{NAME} {NAME})(?=[,.!\n]|$)")
+ONE_NAME = re.compile(rf"{NAME} {NAME}")
 CUES = [*TITLES, "name is ", "heiße ", "m'appelle ", "me llamo ", "Me llamo ", "зовут "]
 SURROGATES = {"email": _email, "secret": _secret, "ip": _ip, "card": _card, "phone": _phone, "national": lambda t, k: permuted(t, "national", k, BY_WORD), "iban": lambda t, k: t[:2] + permuted(t[2:], f"iban{t[:2]}", k, BY_ALNUM)}
 
 
 @lru_cache(maxsize=100_000)
-def surrogate(kind: str, text: str, key: bytes = KEY) -> str:
+def surrogate(kind: str, text: str, key: bytes, gender: str = "") -> str:
+    """Of a name's words the first is a given name if there are two, or if `gender` says so."""
     if kind != "name":
         return SURROGATES[kind](text, key)
-    return " ".join(_word(p, key) for p in text.split(" "))
+    return " ".join(_word(p, key, gender if k == 0 else "") for k, p in enumerate(text.split(" ")))
+
+
+def key_of(spark: SparkSession) -> bytes:
+    """The session's key, or one for this run."""
+    return spark.conf.get(KEY_SETTING, "").encode() or secrets.token_bytes(32)
 
 
 def card_end(text: str, start: int, end: int) -> int:
@@ -238,8 +309,36 @@ def phone_end(text: str, start: int, end: int) -> int:
     return end
 
 
-def entities(text: str, structured: bool = True) -> list[tuple[int, int, str]]:
-    """(start, end, kind), from left to right, none overlapping; structured: the text has a digit, an @ or such a word at all."""
+def names_in(text: str, emails: list[str]) -> list[tuple[int, int, str]]:
+    """(start, end, gender of its given name or "") of what is a name by what stands around it, and of its parts elsewhere in the text."""
+    found = []
+    if any(c in text for c in CUES):
+        for m in INTRODUCED.finditer(text):
+            gender = TITLES.get(m["title"].strip(" ."), "") if " " in m["name"] else ""
+            found.append((m.start("name"), m.end("name"), gender))
+    if ":" in text:
+        for m in FIELD.finditer(text):
+            found += [(n.start(), n.end(), "") for n in ONE_NAME.finditer(text, m.start("list"), m.end("list"))]
+    found += [(m.start("name"), m.end("name"), "") for m in SALUTATION.finditer(text)]
+    found += [(m.start(), m.end(), "") for m in GIVEN.finditer(text)]
+    for mail in emails:
+        parts = re.split(r"[._-]", mail.partition("@")[0])
+        if len(parts) == 2 and all(len(p) > 1 and p.isalpha() for p in parts):
+            found += [(m.start(), m.end(), "") for m in re.finditer(rf"\b{parts[0].capitalize()} {parts[1].capitalize()}\b", text)]
+    if not found:
+        return found
+    genders: dict[str, str] = {}
+    for start, end, gender in found:
+        words = text[start:end].split(" ")
+        for k, w in enumerate(words):
+            genders[w] = genders.get(w) or (gender if k == 0 else "")
+    told = [(start, end, gender or genders[text[start:end].split(" ")[0]]) for start, end, gender in found]
+    alone = re.compile(rf"(?<![\w@.-])(?:{'|'.join(sorted(map(re.escape, genders), key=len, reverse=True))})(?![\w@])")
+    return told + [(m.start(), m.end(), genders[m.group()]) for m in alone.finditer(text)]
+
+
+def found_in(text: str, structured: bool = True) -> list[tuple[int, int, str, str]]:
+    """(start, end, kind, gender), from left to right, none overlapping; structured: the text has a digit, an @ or such a word at all."""
     found = []
     at = 0
     while structured and (m := STRUCTURED.search(text, at)):
@@ -251,12 +350,10 @@ def entities(text: str, structured: bool = True) -> list[tuple[int, int, str]]:
                 continue
         elif kind == "phone" and text[start] == "+":
             end = phone_end(text, start, end)
-        found.append((start, end, kind))
+        found.append((start, end, kind, ""))
         at = end
-    if any(c in text for c in CUES):
-        found += [(m.start("name"), m.end("name"), "name") for m in INTRODUCED.finditer(text)]
-    found += [(m.start(), m.end(), "name") for m in GIVEN.finditer(text)]
-    found.sort(key=lambda e: (e[0], -e[1]))
+    found += [(a, b, "name", gender) for a, b, gender in names_in(text, [text[a:b] for a, b, kind, _ in found if kind == "email"])]
+    found.sort(key=lambda e: (e[0], -e[1], e[2] == "name", not e[3]))
     out, last = [], 0
     for e in found:
         if e[0] >= last:
@@ -265,43 +362,49 @@ def entities(text: str, structured: bool = True) -> list[tuple[int, int, str]]:
     return out
 
 
-def rewritten(text: str, key: bytes = KEY, structured: bool = True) -> tuple[str, list[tuple[str, str, str]]]:
+def entities(text: str, structured: bool = True) -> list[tuple[int, int, str]]:
+    """(start, end, kind), from left to right, none overlapping."""
+    return [e[:3] for e in found_in(text, structured)]
+
+
+def rewritten(text: str, key: bytes, structured: bool = True) -> tuple[str, list[tuple[str, str, str]]]:
     """The text with its entities replaced, and (kind, original, surrogate) of each."""
     out, made, last = [], [], 0
-    for start, end, kind in entities(text, structured):
+    for start, end, kind, gender in found_in(text, structured):
         old = text[start:end]
-        new = surrogate(kind, old, key)
+        new = surrogate(kind, old, key, gender)
         out += [text[last:start], new]
         made.append((kind, old, new))
         last = end
     return "".join([*out, text[last:]]), made
 
 
-def _maybe(batch: pa.RecordBatch) -> np.ndarray:
-    """Whether each text (column 1) has a digit or an @, without which it has no entity but names and worded secrets."""
+def _maybe(batch: pa.RecordBatch) -> list[bool]:
+    """Whether each text (column 1) has a digit, an @, = or : or the beginning of an access key, without which it has no entity but names."""
     data, off = flat_bytes(batch.column(1))
     marks = np.concatenate([[0], np.cumsum(((data >= 48) & (data <= 57)) | (data == 64) | (data == 61) | (data == 58), dtype=np.int64)])[off]
-    return np.diff(marks) > 0
+    keys = pa.compute.match_substring(batch.column(1), "AKIA").to_pylist()
+    return [m or bool(k) for m, k in zip((np.diff(marks) > 0).tolist(), keys, strict=True)]
 
 
 def replaced_batches(batches: Iterator[pa.RecordBatch], key: bytes) -> Iterator[pa.RecordBatch]:
     """(doc_id, text, ..) to the same with the texts rewritten, and n_entities at the end."""
     for whole in batches:
         for batch in pieces(whole):
-            pairs = [rewritten(t, key, m) for t, m in zip(batch.column(1).to_pylist(), _maybe(batch).tolist(), strict=True)]
+            pairs = [rewritten(t, key, m) for t, m in zip(batch.column(1).to_pylist(), _maybe(batch), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([t for t, _ in pairs], batch.column(1).type), *batch.columns[2:], pa.array([len(m) for _, m in pairs], pa.int32())], names=[*batch.schema.names, "n_entities"])
 
 
-def surrogate_texts(docs: DataFrame, key: bytes = KEY) -> DataFrame:
+def surrogate_texts(docs: DataFrame, key: bytes) -> DataFrame:
     """(doc_id, text, n_entities) for every row."""
     return keyed_texts(docs).mapInArrow(lambda b: replaced_batches(b, key), "doc_id long, text string, n_entities int")
 
 
-def surrogate_documents(docs: DataFrame, key: bytes = KEY) -> DataFrame:
+def surrogate_documents(docs: DataFrame, key: bytes) -> DataFrame:
     """The rows of docs with their texts rewritten, n_chars (if there) counted again, and all other columns as they are."""
-    names = [f"c{k}" for k in range(len(docs.columns))]
-    row = F.struct(*(F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names, strict=True) if c != "text"))
-    wide = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), row.alias("row"))
+    wide, again = with_row(docs, "doc_id", "text")
+    wide = wide.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), "row")
+    place = {n: next((k for k, c in enumerate(docs.columns) if c == n), next((k for k, c in enumerate(docs.columns) if c.lower() == n), None)) for n in ("text", "n_chars")}
 
     def safe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -314,23 +417,41 @@ def surrogate_documents(docs: DataFrame, key: bytes = KEY) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([text, out.column(2)], names=["text", "row"])
 
     out = wide.mapInArrow(safe, f"text string, row {wide.schema['row'].dataType.simpleString()}")
-    col = {c: F.col(f"row.{n}") for c, n in zip(docs.columns, names, strict=True)}
-    return out.select(*(F.col("text").alias(c) if c == "text" else F.when(F.col("text").isNotNull(), F.length("text")).otherwise(col[c]).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else col[c].alias(c) for c in docs.columns))
+    new = out.withColumn("row", F.col("row").withField(f"c{place['text']}", F.col("text")))
+    if place["n_chars"] is not None:
+        at = f"c{place['n_chars']}"
+        new = new.withColumn("row", F.col("row").withField(at, F.when(F.col("text").isNotNull(), F.length("text")).otherwise(F.col(f"row.{at}")).cast(docs.schema[place["n_chars"]].dataType)))
+    return again(new)
 
 
-def entity_table(docs: DataFrame, key: bytes = KEY) -> DataFrame:
-    """(kind, original, surrogate, n): every entity of the corpus, in canonical lower case."""
+def entity_table(docs: DataFrame, key: bytes) -> DataFrame:
+    """(kind, original, surrogate, n): every entity of the corpus, names word by word; names and addresses in lower case."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in pieces(whole):
-                made = [x for t in batch.column(1).to_pylist() for x in rewritten(t, key)[1]]
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()) for c in zip(*made, strict=True)] if made else [pa.array([], pa.string())] * 3, names=["kind", "original", "surrogate"])
-
-    low = keyed_texts(docs).mapInArrow(rows, "kind string, original string, surrogate string")
-    return low.groupBy("kind", F.lower("original").alias("original"), F.lower("surrogate").alias("surrogate")).agg(F.count("*").alias("n"))
-
-
-def collisions(docs: DataFrame, key: bytes = KEY) -> DataFrame:
-    """(kind, surrogate, originals): surrogates that stand for more than one original. It is empty."""
-    return entity_table(docs, key).groupBy("kind", "surrogate").agg(F.countDistinct("original").alias("originals")).filter("originals > 1")
+                count: Counter = Counter()
+                for text, maybe in zip(batch.column(1).to_pylist(), _maybe(batch), strict=True):
+                    for kind, old, new in rewritten(text, key, maybe)[1]:
+                        if kind in ("name", "email"):
+                            old, new = old.lower(), new.lower()
+                        for pair in zip(old.split(" "), new.split(" "), strict=True) if kind == "name" else [(old, new)]:
+                            count[(kind, *pair)] += 1
+                kinds, olds, news = zip(*count, strict=True) if count else ((), (), ())
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in (kinds, olds, news)] + [pa.array(count.values(), pa.int64())], names=["kind", "original", "surrogate", "n"])
+
+    found = keyed_texts(docs).mapInArrow(rows, "kind string, original string, surrogate string, n long")
+    return found.groupBy("kind", "original", "surrogate").agg(F.sum("n").alias("n"))
+
+
+def collisions(docs: DataFrame, key: bytes) -> DataFrame:
+    """(kind, surrogate, originals, same): surrogates that stand for more than one original, or for itself. It is empty."""
+    seen = entity_table(docs, key).groupBy("kind", "surrogate").agg(F.countDistinct("original").alias("originals"), F.max(((F.col("kind") != "secret") & (F.col("original") == F.col("surrogate"))).cast("int")).alias("same"))  # a secret may have nothing but hyphens
+    return seen.filter("originals > 1 or same > 0")
+
+
+def checked(docs: DataFrame, key: bytes) -> DataFrame:
+    """docs, once it is certain that this key keeps all of their entities apart."""
+    if wrong := collisions(docs, key).limit(5).collect():
+        raise ValueError(f"surrogates that aren't distinct, use another key: {[(r['kind'], r['surrogate']) for r in wrong]}")
+    return docs

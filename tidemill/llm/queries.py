@@ -63,9 +63,10 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .op9_surrogates import surrogate_texts
+    from .op9_surrogates import checked, key_of, surrogate_texts
 
-    return surrogate_texts(table(spark, sf_dir, "documents"))
+    key = key_of(spark)
+    return surrogate_texts(checked(table(spark, sf_dir, "documents"), key), key)
 
 
 def queries() -> dict:
