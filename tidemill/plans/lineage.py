@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """df in the folder that the session names for checkpoints, so that a lost executor costs no recomputation; another folder only where none is named."""
+    """df in the folder that spark.checkpoint.dir names, so that a lost executor costs no recomputation.
+
+    Where none is named one is made, but only for a local master: on a cluster, a folder of one machine would be none for the others.
+    """
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemill-"))
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.fullmatch(r"local(\[[^-]*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tidemill-"))
     return df.checkpoint()
