@@ -338,7 +338,8 @@ def test_bounds_hold():
 
 
 def test_bpe_against_a_library(texts):
-    tokenizers = pytest.importorskip("tokenizers")
+    import tokenizers
+
     t = tokenizers.Tokenizer.from_file(op7_bpe.VOCABULARY)
     t.encode_special_tokens = True
     odd = ["", " ", "\n\n  x", "it's 12345 don't", "naïve ☃ 日本語 \U0001f600", "<|endoftext|>", "aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa", "\t\t a  b   c"]
@@ -347,6 +348,44 @@ def test_bpe_against_a_library(texts):
         assert ids == t.encode(text, add_special_tokens=False).ids and op7_bpe.decode(ids) == text.encode()
 
 
+def gadgets(merges, alphabet):
+    """The automaton by the letter: for each state its arcs, label to state; a merge copies, cuts and adds."""
+    arcs, start = {0: {x: 0 for x in alphabet}}, 0
+    for a, b, ab in merges:
+        to = {x[a] for x in arcs.values() if a in x}
+        if not any(b in arcs[t] for t in to):
+            continue
+        for t in to:
+            if b in arcs[t]:
+                new = max(arcs) + 1
+                arcs[new] = {k: v for k, v in arcs[t].items() if k != b}
+                target = arcs[t][b]
+                for x in arcs.values():
+                    if x.get(a) == t:
+                        x[a], x[ab] = new, target
+    return arcs, start
+
+
+def test_compiled_table_is_the_gadgets_automaton():
+    rng = random.Random(6)
+    for _ in range(30):
+        alphabet = list(range(rng.randint(2, 4)))
+        labels, merges = {k: bytes([97 + k]) for k in alphabet}, []
+        for ab in range(len(alphabet), len(alphabet) + 14):
+            a, b = rng.choice(list(labels)), rng.choice(list(labels))
+            if labels[a] + labels[b] in labels.values():
+                continue
+            labels[ab] = labels[a] + labels[b]
+            merges.append((a, b, ab))
+        machine = op7_bpe.Automaton(labels, merges)
+        arcs, start = gadgets(merges, alphabet)
+        state_after = {label: {x[label] for x in arcs.values() if label in x} for label in labels}
+        for u in labels:
+            for v in labels:
+                if u in machine.right_place and v in machine.left_place:
+                    assert machine.follows(u, v) == machine.arc(u, v) == any(v in arcs[s] for s in state_after[u]), (merges, u, v)
+
+
 def test_bpe_round_trip(docs, texts):
     coded = op7_bpe.bpe_encoded(docs)
     assert {r["doc_id"]: r["text"] for r in op7_bpe.decoded(coded).collect()} == texts

@@ -3,29 +3,38 @@
 The automaton (Berglund and van der Merwe, 2024) accepts exactly the token sequences that BPE produces. It starts with one state and
 an arc to itself for each byte; each merge (a, b) -> ab, in order, is a gadget: the state that arc a leads to is copied without its
 arc b, arc a now leads to the copy, and wherever arc a exists an arc ab is added that leads where b led. All arcs with one label
-lead to one state, so the label is the state. A state's arcs are therefore kept as what was cut from it and when: arc v leaves state u
-unless some label that ends u and some label that begins v were cut apart before either was merged further. That is the table `cut`
-with the left and right parents of each label; it has one entry a merge, where explicit arcs would need the square of the vocabulary.
+lead to one state, so the label is the state, and the automaton is deterministic: a state has at most one arc of a label.
+
+While it is built, a state's arcs are what was cut from it and when. Compiled, they are a table. A merge of a and b at rank r cuts b's
+descendants to the left (labels that begin with b, made no earlier than r, and b) from a's descendants to the right (labels that end
+with a, made later than r, and a). With labels numbered in the order of a walk through the tree of left parts, latest child first, the
+first are a run of numbers, and so are the second in the tree of right parts. So a row of the table, a state, holds the runs of labels that
+have no arc there, and whether an arc exists is one search in a short row. The table is compiled once, on the driver, and broadcast: its size
+is that of the vocabulary.
 
 Encoding: pre-split words are walked from left to right; of the labels that end at a byte, found in a trie of reversed labels, exactly
-one follows the state before it, and the walk's arc labels are the tokens. Transitions (state, label) once looked up are kept in a
-table, and so are encoded words. Decoding emits the arc labels' bytes.
+one has an arc from the state before it, and the walk's arc labels are the tokens. Encoded words are kept for when they come again.
+Decoding emits the arc labels' bytes.
 
 Defined results: null texts count as empty and have no tokens; a null doc_id is kept; long words without any space are walked like
-others, in time proportional to their length; repeated rows are encoded each; an empty table gives an empty result; extra columns are
-ignored. Strings of special tokens are ordinary text.
+others, in time proportional to their length, and very long texts are encoded whole; repeated rows are encoded each; an empty table gives an empty result; extra columns are
+ignored, also those whose names differ from a needed one's in case alone. Strings of special tokens are ordinary text.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from array import array
+from bisect import bisect_right
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import regex
+import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,7 +43,7 @@ from .common import keyed_texts, picked, pieces
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 SPLIT = regex.compile(r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 NEVER = 1 << 60
-MOST_WORDS, MOST_ARCS = 600_000, 2_000_000
+MOST_WORDS = 300_000  # kept in a worker; then it begins anew
 ENCODED = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("token_ids", pa.list_(pa.int32())), ("round_trip", pa.bool_())])
 
 
@@ -53,26 +62,81 @@ class Automaton:
         self.left: dict[int, tuple[int, int]] = {}
         self.right: dict[int, tuple[int, int]] = {}
         for rank, (a, b, ab) in enumerate(merges):
-            if ab not in self.left and self.arc(a, b):  # a merge that can never happen has no gadget
+            made = all(x in self.left or len(labels[x]) == 1 for x in (a, b))
+            if ab not in self.left and made and self.arc(a, b):  # a merge that can never happen has no gadget
                 self.cut[a, b] = rank
                 self.left[ab], self.right[ab] = (a, rank), (b, rank)
         used = {i for i, s in labels.items() if len(s) == 1 or i in self.left}
+        self._compile(sorted(used))
+        self.digest = xxhash.xxh3_64_intdigest(repr((sorted(labels.items()), merges)).encode())
         #: A trie of reversed labels: (node * 256 + byte) to node; the label that ends at a node, or -1.
-        self.next, self.ends = {}, [-1]
+        self.next, self.last = {}, [-1]
         for i in sorted(used):
             node = 0
             for byte in reversed(labels[i]):
                 key = node * 256 + byte
                 if key not in self.next:
-                    self.next[key] = len(self.ends)
-                    self.ends.append(-1)
+                    self.next[key] = len(self.last)
+                    self.last.append(-1)
                 node = self.next[key]
-            if self.ends[node] < 0:
-                self.ends[node] = i
-        self.arcs: dict[int, bool] = {}
+            if self.last[node] < 0:
+                self.last[node] = i
+
+    def _compile(self, used: list[int]) -> None:
+        """The table: for the state at place k of the right tree, starts[first[k]:first[k + 1]] and ends: the runs of places in the left tree that it has no arc to."""
+        self.left_place, left_end = self._walk(self.left, used)
+        self.right_place, right_end = self._walk(self.right, used)
+        rows, tops, los, his = [], [], [], []
+        for (x, p), rank in self.cut.items():
+            rows.append(self.right_place[x])
+            tops.append(right_end(x, rank + 1))
+            los.append(self.left_place[p])
+            his.append(left_end(p, rank))
+        low, top = np.array(rows, np.int64), np.array(tops, np.int64)
+        height = top - low
+        which = np.repeat(np.arange(len(low)), height)
+        row = np.arange(len(which)) - np.repeat(np.cumsum(height) - height, height) + low[which]
+        lo, hi = np.array(los, np.int64)[which], np.array(his, np.int64)[which]
+        order = np.lexsort((lo, row))
+        row, lo, hi = row[order], lo[order], hi[order]
+        far = np.maximum.accumulate((row << 32) + hi) - (row << 32) if len(row) else hi  # runs may lie within each other
+        self.starts, self.ends = array("i", lo.astype(np.int32).tobytes()), array("i", far.astype(np.int32).tobytes())
+        self.first = np.searchsorted(row, np.arange(max(self.right_place.values(), default=0) + 2)).tolist()
+
+    @staticmethod
+    def _walk(parents: dict[int, tuple[int, int]], used: list[int]) -> tuple[dict[int, int], Callable[[int, int], int]]:
+        """Each label's place in a walk through the tree of its parents, latest child first; a function of (label, rank): one past the last place of the label and its children made at this rank or later."""
+        children: dict[int, list[tuple[int, int]]] = {}
+        for child, (parent, rank) in parents.items():
+            children.setdefault(parent, []).append((rank, child))
+        for c in children.values():
+            c.sort(reverse=True)
+        place, end, todo = {}, {}, [(i, False) for i in reversed(used) if i not in parents]
+        while todo:
+            i, done = todo.pop()
+            if done:
+                end[i] = len(place)
+                continue
+            place[i] = len(place)
+            todo.append((i, True))
+            todo += [(c, False) for _, c in reversed(children.get(i, []))]
+
+        def past(label: int, rank: int) -> int:
+            of = children.get(label, [])
+            k = bisect_right(of, -rank, key=lambda c: -c[0])
+            return end[of[k - 1][1]] if k else place[label] + 1
+
+        return place, past
+
+    def follows(self, u: int, v: int) -> bool:
+        """The table's answer: whether state u has an arc v."""
+        row, at = self.right_place[u], self.left_place[v]
+        first = self.first[row]
+        k = bisect_right(self.starts, at, first, self.first[row + 1])
+        return k == first or self.ends[k - 1] <= at
 
     def arc(self, u: int, v: int) -> bool:
-        """Whether label v may follow label u."""
+        """Whether label v may follow label u, by what was cut so far."""
         x, x_until = u, NEVER
         while True:
             p, p_until = v, NEVER
@@ -89,22 +153,21 @@ class Automaton:
 
     def encode(self, word: bytes) -> list[int]:
         after = [-1] * (len(word) + 1)  # the label that ends at each byte
-        follow, ends, arcs, labels = self.next.get, self.ends, self.arcs, self.labels
+        follow, last, labels = self.next.get, self.last, self.labels
+        rows, places, first, starts, ends = self.right_place, self.left_place, self.first, self.starts, self.ends
         for i in range(1, len(word) + 1):
             node, j, found = 0, i, []
             while j > 0 and (node := follow(node * 256 + word[j - 1], 0)):
                 j -= 1
-                if ends[node] >= 0:
-                    found.append((ends[node], j))
+                if last[node] >= 0:
+                    found.append((last[node], j))
             for label, j in reversed(found):
                 if j == 0:
                     after[i] = label
                     break
-                key = after[j] << 32 | label
-                ok = arcs.get(key)
-                if ok is None:
-                    ok = arcs[key] = self.arc(after[j], label)
-                if ok:
+                row, at = rows[after[j]], places[label]
+                k = bisect_right(starts, at, first[row], first[row + 1])
+                if k == first[row] or ends[k - 1] <= at:
                     after[i] = label
                     break
             else:
@@ -129,9 +192,9 @@ def read_vocabulary(path: str) -> Automaton:
 class Encoder(dict):
     """Words to their numbers; ids[start[k] : start[k + 1]] are the tokens of word k once `settle` was called."""
 
-    def __init__(self, path: str):
+    def __init__(self, automaton: Automaton):
         super().__init__()
-        self.automaton = read_vocabulary(path)
+        self.automaton = automaton
         self.forget()
 
     def forget(self) -> None:
@@ -153,8 +216,6 @@ class Encoder(dict):
         """The tokens of all words in a row, and how many each word has."""
         if len(self) > MOST_WORDS:
             self.forget()
-        if len(self.automaton.arcs) > MOST_ARCS:
-            self.automaton.arcs.clear()
         at = np.array([self[w] for w in words], np.int64)
         self.settle()
         count = self.start[at + 1] - self.start[at]
@@ -163,7 +224,18 @@ class Encoder(dict):
 
 @lru_cache(maxsize=1)
 def encoder(path: str) -> Encoder:
-    return Encoder(path)
+    return Encoder(read_vocabulary(path))
+
+
+KEPT: list[tuple[Automaton, Encoder]] = []  # a worker's, with the automaton that was broadcast to it
+
+
+def shipped(shared: Broadcast) -> Encoder:
+    """The worker's encoder for the broadcast automaton; the words that it knows stay from task to task."""
+    automaton = shared.value
+    if not KEPT or KEPT[0][0].digest != automaton.digest:
+        KEPT[:] = [(automaton, Encoder(automaton))]
+    return KEPT[0][1]
 
 
 def encode_text(text: str, path: str = VOCABULARY) -> list[int]:
@@ -175,9 +247,8 @@ def decode(ids, path: str = VOCABULARY) -> bytes:
     return b"".join([labels[i] for i in ids])
 
 
-def encode_batches(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+def encode_batches(batches: Iterator[pa.RecordBatch], e: Encoder) -> Iterator[pa.RecordBatch]:
     """(doc_id, text, ..) to ENCODED and the other columns."""
-    e = encoder(path)
     labels = e.automaton.labels
     size = np.zeros(max(labels) + 1, np.int64)
     size[list(labels)] = [len(s) for s in labels.values()]
@@ -201,7 +272,8 @@ def bpe_encoded(docs: DataFrame, path: str = VOCABULARY, also: tuple[str, ...] =
     narrow = picked(docs, "doc_id", "text", *also)
     texts = narrow.select(*keyed_columns(), *also)
     more = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in texts.schema.fields[2:])
-    return texts.mapInArrow(lambda b: encode_batches(b, path), f"doc_id long, n_bytes long, n_tokens long, token_ids array<int>, round_trip boolean{more}")
+    shared = docs.sparkSession.sparkContext.broadcast(encoder(path).automaton)
+    return texts.mapInArrow(lambda b: encode_batches(b, shipped(shared)), f"doc_id long, n_bytes long, n_tokens long, token_ids array<int>, round_trip boolean{more}")
 
 
 def keyed_columns() -> list:
@@ -211,8 +283,11 @@ def keyed_columns() -> list:
 def decoded(encoded: DataFrame, path: str = VOCABULARY) -> DataFrame:
     """(doc_id, text) from (doc_id, token_ids)."""
 
+    shared = encoded.sparkSession.sparkContext.broadcast(encoder(path).automaton)
+
     def back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        labels = shipped(shared).automaton.labels
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([decode(x or [], path).decode("utf-8", "replace") for x in b.column(1).to_pylist()], pa.string())], names=["doc_id", "text"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([b"".join([labels[i] for i in x or []]).decode("utf-8", "replace") for x in b.column(1).to_pylist()], pa.string())], names=["doc_id", "text"])
 
-    return encoded.select("doc_id", "token_ids").mapInArrow(back, "doc_id long, text string")
+    return picked(encoded, "doc_id", "token_ids").mapInArrow(back, "doc_id long, text string")
