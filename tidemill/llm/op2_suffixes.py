@@ -3,7 +3,7 @@
 A position is kept when the hash of its `K` bytes is the least in some window of `WINDOW` positions, so two equal passages of
 WINDOW + K - 1 bytes or more keep the same places whatever stands around them. Suffixes that agree in their first `HEAD` bytes are one
 class; those whose HEAD bytes (by a 64-bit hash) occur nowhere else, or that are shorter, leave before any text is moved. Counting the
-classes also says how many suffixes each has and which is the first of them, by (doc_id, row, place). The others are sorted by their HEAD
+classes says how many suffixes each has. The others are sorted by their HEAD
 bytes, neighbours are compared byte by byte, and a run of equal ones is a class. Each member is then extended byte by byte to the right and to the
 left against the class's first suffix. A class of more than SPLIT suffixes is divided by a hash into as many shards as it takes, each with a copy
 of the first, so a passage that a third of all rows hold is many tasks with the same result.
@@ -19,7 +19,7 @@ an earlier document (or earlier in the same), and without what is not kept each
 
 Defined results: null or empty texts, texts under HEAD bytes and rows whose doc_id is null give no row; very long texts are whole suffixes like
 others, a task holds one at a time; rows that repeat (doc_id and text) can't be told apart: what they share is kept in each; different texts
-of one doc_id have spans of their own; of equal suffixes the least (doc_id, hash of the text, place) is the first; an empty table gives an empty
+of one doc_id have spans of their own; of equal suffixes the least (doc_id, place, hash of the text) is the first; an empty table gives an empty
 result; extra columns are ignored, also those whose names differ from a needed one's in case alone. Where a periodic passage keeps many equal positions, one in WINDOW / 2 bytes stays, counted both from the run's start and from its end.
 """
 
@@ -39,7 +39,7 @@ from .op1_chunks import parts_of
 
 K, WINDOW, HEAD, MIN_SPAN, SPLIT = 24, 100, 100, 120, 4096
 LEFT, RIGHT = WINDOW, WINDOW + HEAD
-PLACES = pa.schema([("head", pa.int64()), ("doc_id", pa.int64()), ("row", pa.int32()), ("at", pa.int32())])
+PLACES = pa.schema([("head", pa.int64()), ("doc_id", pa.int64()), ("at", pa.int32())])
 SUFFIXES = pa.schema([("head", pa.binary()), ("salt", pa.int32()), ("doc_id", pa.int64()), ("row", pa.int32()), ("at", pa.int32()), ("before", pa.binary()), ("after", pa.binary())])
 MATCHES = pa.schema([("doc_id", pa.int64()), ("row", pa.int32()), ("at", pa.int32()), ("start_byte", pa.int64()), ("end_byte", pa.int64()), ("first", pa.int64()), ("keep", pa.bool_())])
 SPREAD = 0x9E3779B185EBCA87
@@ -106,17 +106,10 @@ def minimisers(data: np.ndarray, offsets: np.ndarray, words: np.ndarray) -> np.n
     return at
 
 
-def row_hashes(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """32 bits that tell the texts of one doc_id apart."""
-    view, cut = memoryview(data), offsets.tolist()
-    return (np.array([xxhash.xxh3_64_intdigest(view[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)], np.uint64) >> np.uint64(32)).astype(np.uint32).view(np.int32)
-
-
 def place_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for batch in pieces(whole, 1 << 20):
             data, offsets = flat_bytes(batch.column(1))
-            hashed = row_hashes(data, offsets)
             data = np.concatenate([data, np.zeros(K + WINDOW + HEAD, np.uint8)])
             words = words_of(data)
             at = minimisers(data, offsets, words)
@@ -124,7 +117,7 @@ def place_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             whole_heads = at + HEAD <= offsets[row + 1]
             at, row = at[whole_heads], row[whole_heads]
             if len(at):
-                yield batch_of(PLACES, head_hashes(words, at).view(np.int64), batch.column(0).to_numpy()[row], hashed[row], (at - offsets[row]).astype(np.int32))
+                yield batch_of(PLACES, head_hashes(words, at).view(np.int64), batch.column(0).to_numpy()[row], (at - offsets[row]).astype(np.int32))
 
 
 def packed_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,25 +125,29 @@ def packed_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     squeeze = zstandard.ZstdCompressor(level=6).compress
     for whole in batches:
         for batch in pieces(whole, 1 << 20):
-            data, offsets = flat_bytes(batch.column(1))
-            view, cut = memoryview(data), offsets.tolist()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(row_hashes(data, offsets)), pa.array([squeeze(view[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())], names=["doc_id", "row", "packed"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([squeeze(t.encode()) for t in batch.column(1).to_pylist()], pa.binary())], names=["doc_id", "packed"])
 
 
 def suffix_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From (doc_id, row, packed text, places and salts of a text) to suffixes with what stands before and after them."""
+    """From (doc_id, packed text, places and salts of the doc_id) to suffixes with what stands before and after them.
+
+    Where texts share a doc_id each has the places of all; a place that is another's is a suffix like any, and counts if its bytes are repeated.
+    """
     loosen = zstandard.ZstdDecompressor().decompress
     for whole in batches:
-        for batch in pieces(whole.select(["doc_id", "packed", "row", "at", "salt"]), 1 << 19):
-            doc, hashed = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+        for batch in pieces(whole.select(["doc_id", "packed", "at", "salt"]), 1 << 19):
+            doc = batch.column(0).to_numpy()
             for r, text in enumerate(batch.column(1).to_pylist()):
                 data = loosen(text)
-                places, salts = batch.column(3)[r].values.to_numpy(), batch.column(4)[r].values.to_numpy()
+                row = np.array([xxhash.xxh3_64_intdigest(data) >> 32], np.uint32).view(np.int32)[0]
+                places, salts = batch.column(2)[r].values.to_numpy(), batch.column(3)[r].values.to_numpy()
+                inside = places + HEAD <= len(data)
+                places, salts = places[inside], salts[inside]
                 for s in range(0, len(places), 8192):
                     at, salt = places[s : s + 8192], salts[s : s + 8192]
                     before = [data[max(0, p - LEFT) : p] for p in at.tolist()]
                     after = [data[p : p + RIGHT] for p in at.tolist()]
-                    yield batch_of(SUFFIXES, [x[:HEAD] for x in after], salt, np.full(len(at), doc[r]), np.full(len(at), hashed[r]), at, before, [x[HEAD:] for x in after])
+                    yield batch_of(SUFFIXES, [x[:HEAD] for x in after], salt, np.full(len(at), doc[r]), np.full(len(at), row), at, before, [x[HEAD:] for x in after])
 
 
 def _grid(column: pa.Array, width: int, from_right: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -224,13 +221,15 @@ def suffix_dedup(docs: DataFrame, min_span: int = MIN_SPAN, split: int = SPLIT)
     first_doc_id is the least document that holds the part, and keep says that this is where it holds it first.
     """
     texts = keyed_texts(docs).filter("doc_id is not null and text <> ''")
-    places = texts.mapInArrow(place_batches, "head long, doc_id long, row int, at int")
-    classes = places.groupBy("head").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "row", "at")).alias("first")).filter("n > 1").select("head", F.ceil(F.col("n") / F.lit(split)).cast("int").alias("shards"), "first")
-    is_first = F.struct("doc_id", "row", "at") == F.col("first")
-    one = F.array(F.pmod(F.xxhash64("doc_id", "row", "at"), F.col("shards")).cast("int"))
-    salted = places.join(classes, "head").select("doc_id", "row", "at", F.explode(F.when(is_first, F.sequence(F.lit(0), F.col("shards") - 1)).otherwise(one)).alias("salt"))
-    wanted = salted.groupBy("doc_id", "row").agg(F.collect_set(F.struct("at", "salt")).alias("places")).select("doc_id", "row", F.col("places.at").alias("at"), F.col("places.salt").alias("salt"))
-    packed = texts.mapInArrow(packed_batches, "doc_id long, row int, packed binary")
-    suffixes = packed.join(wanted, ["doc_id", "row"]).select("doc_id", "row", "packed", "at", "salt").mapInArrow(suffix_batches, "head binary, salt int, doc_id long, row int, at int, before binary, after binary")
-    pieces_ = suffixes.repartition(F.xxhash64("head", "salt")).sortWithinPartitions("head", "salt", "doc_id", "row", "at").mapInArrow(neighbour_batches, "doc_id long, row int, at int, start_byte long, end_byte long, first long, keep boolean")
+    places = texts.mapInArrow(place_batches, "head long, doc_id long, at int")
+    classes = places.groupBy("head").agg(F.count("*").alias("n")).filter("n > 1").select("head", F.ceil(F.col("n") / F.lit(split)).cast("int").alias("shards"))
+    repeated = places.join(classes, "head")
+    firsts = repeated.filter("shards > 1").groupBy("head").agg(F.min(F.struct("doc_id", "at")).alias("first"))  # in one shard the first is found by sorting
+    is_first = F.struct("doc_id", "at") == F.col("first")
+    one = F.array(F.pmod(F.xxhash64("doc_id", "at"), F.col("shards")).cast("int"))
+    salted = repeated.join(firsts, "head", "left").select("doc_id", "at", F.explode(F.when(is_first, F.sequence(F.lit(0), F.col("shards") - 1)).otherwise(one)).alias("salt"))
+    wanted = salted.groupBy("doc_id").agg(F.collect_set(F.struct("at", "salt")).alias("places")).select("doc_id", F.col("places.at").alias("at"), F.col("places.salt").alias("salt"))
+    packed = texts.mapInArrow(packed_batches, "doc_id long, packed binary")
+    suffixes = packed.join(wanted, "doc_id").select("doc_id", "packed", "at", "salt").mapInArrow(suffix_batches, "head binary, salt int, doc_id long, row int, at int, before binary, after binary")
+    pieces_ = suffixes.repartition(F.xxhash64("head", "salt")).sortWithinPartitions("head", "salt", "doc_id", "at", "row").mapInArrow(neighbour_batches, "doc_id long, row int, at int, start_byte long, end_byte long, first long, keep boolean")
     return parts_of(apart(pieces_), [], min_span, ["doc_id", "row"]).select("doc_id", "start_byte", "end_byte", "first_doc_id", "keep")
