@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.functions import wrap64
-from tidemill.operators import batching, manifest, media, mixing, ranges
+from tidemill.operators import batching, manifest, media, mixing, ranges, transforms
+from tidemill.plans.lineage import new_folder
+from tidemill.sources import snapshot
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -78,10 +80,10 @@ FOLDED = f"""WITH RECURSIVE x AS MATERIALIZED {NUMBERED}, f AS (
 
 def rank_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = docs(spark, sf_dir)
-    order = ranges.ranked(ranges.blocks(rows, BLOCK), SEED, EPOCH, WORLD)
+    order = ranges.ranked(ranges.blocks(t(spark, sf_dir, "documents"), BLOCK), SEED, EPOCH, WORLD)
     placed = rows.withColumn("range_start", (F.col("sample_id") - F.col("sample_id") % BLOCK))
     cut = batching.by_bytes(placed, "range_start", ROWS, TARGET, MOST)
-    return cut.join(F.broadcast(order.select(F.col("start_id").alias("range_start"), "rank")), "range_start")
+    return cut.join(order.select(F.col("start_id").alias("range_start"), "rank"), "range_start")
 
 
 @query(FOLDED + "SELECT start_id AS range_start, batch_no::BIGINT AS batch_no, min(sample_id) AS first_id, max(sample_id) AS last_id, count(*) AS n, sum(byte_length)::BIGINT AS bytes, rank::INT AS rank FROM f WHERE rank = 0 GROUP BY ALL")
@@ -116,7 +118,10 @@ def manifest_validate(spark, sf_dir):
 
 @query(f"SELECT sample_id, location FROM {MANIFEST} WHERE sample_id >= 20 AND sample_id < 120")
 def range_slice(spark, sf_dir):
-    return manifest.sliced(docs(spark, sf_dir), 20, 120, 120).select("sample_id", "location")
+    """A slice of a stored snapshot: Parquet sorted by id, so the scan skips what is outside."""
+    held = snapshot.Store(spark, new_folder(spark, "store"))
+    rows = held.get(held.put(docs(spark, sf_dir)))
+    return manifest.sliced(rows, 20, 120, rows.count()).select("sample_id", "location")
 
 
 @query(f"SELECT sample_id, sample_id || chr(9) || location || chr(9) || '' || chr(9) || byte_length || chr(9) || decode_hint AS line FROM {MANIFEST}")
@@ -145,15 +150,16 @@ MEDIA = f"(SELECT o_orderkey AS media_id, o_orderkey % 40 AS frames, {STATE.repl
 
 
 def hints(spark, sf_dir):
-    made = t(spark, sf_dir, "orders").selectExpr("o_orderkey AS media_id", f"{HINT} AS hint")
-    fields = made.withColumn("fields", manifest.hint_fields(F.col("hint")))
-    return fields.withColumn("state", media.media_state(F.col("fields"), F.col("hint"), 4)).withColumn("frames", F.expr("try_cast(fields['frames'] as bigint)"))
+    """The hints, over as many tasks as there are cores: the table is one file."""
+    made = t(spark, sf_dir, "orders").select("o_orderkey").repartition(spark.sparkContext.defaultParallelism).selectExpr("o_orderkey AS media_id", f"{HINT} AS hint")
+    return made.select("media_id", "hint", media.media_state(F.col("hint"), 4).alias("state"), manifest.hint_field(F.col("hint"), "frames").try_cast("long").alias("frames"))
 
 
 @query("SELECT o_orderkey AS media_id, CASE WHEN o_orderkey % 13 <> 0 THEN (o_orderkey % 40)::VARCHAR END AS frames, CASE WHEN o_orderkey % 13 <> 0 THEN CASE WHEN o_orderkey % 7 = 0 THEN 'unsupported' ELSE 'h264' END END AS codec, o_orderkey % 13 <> 0 AND o_orderkey % 11 = 0 AS corrupt FROM orders")
 def hint_fields(spark, sf_dir):
+    made = hints(spark, sf_dir).select("media_id", manifest.hint_fields(F.col("hint")).alias("fields"))
     f = F.col("fields")
-    return hints(spark, sf_dir).select("media_id", f["frames"].alias("frames"), f["codec"].alias("codec"), F.coalesce(manifest.truthy(f["corrupt"]), F.lit(False)).alias("corrupt"))
+    return made.select("media_id", f["frames"].alias("frames"), f["codec"].alias("codec"), F.coalesce(manifest.truthy(f["corrupt"]), F.lit(False)).alias("corrupt"))
 
 
 @query(f"SELECT coalesce(state, 'ok') AS state, count(*) AS n, sum(CASE WHEN state IS NULL AND (frames - 4) % 3 <> 0 THEN 1 ELSE 0 END)::BIGINT AS tail_drops FROM {MEDIA} GROUP BY 1")
@@ -176,8 +182,8 @@ def clip_index(spark, sf_dir):
 
 @query(f"SELECT sample_id, sha256(concat_ws('|', 'm', media_id, 'f://' || media_id, 0, clip_start, 4, 3, 'native', {SEED}, {EPOCH})) AS clip_id FROM {CLIPS}")
 def clip_ids(spark, sf_dir):
-    parts = [F.lit("m"), F.col("media_id"), F.concat(F.lit("f://"), F.col("media_id")), F.lit(0), F.col("clip_start"), F.lit(4), F.lit(3), F.lit("native"), F.lit(SEED), F.lit(EPOCH)]
-    return clip_rows(spark, sf_dir).select("sample_id", F.sha2(F.concat_ws("|", *(p.cast("string") for p in parts)), 256).alias("clip_id"))
+    uri = F.concat(F.lit("f://"), F.col("media_id").cast("string"))
+    return clip_rows(spark, sf_dir).select("sample_id", media.clip_id("m", F.col("media_id"), uri, F.lit(0), F.col("clip_start"), 4, 3, "native", SEED, EPOCH).alias("clip_id"))
 
 
 @query(f"SELECT * FROM {CLIPS} WHERE sample_id % 4 = 1")
@@ -199,17 +205,22 @@ def sidecar_check(spark, sf_dir):
     return media.faulty_chunks(chunk_rows(spark, sf_dir))
 
 
-@query(f"""WITH s AS (SELECT c.*, 2500 AS a, 6500 AS e FROM {CHUNKS} c WHERE media_id % 9 <> 0 AND media_id % 4 <> 3),
-g AS (SELECT *, coalesce(max(CASE WHEN keyframe = 1 AND start_ms <= a THEN start_ms END) OVER (PARTITION BY media_id), min(CASE WHEN keyframe = 1 THEN start_ms END) OVER (PARTITION BY media_id)) AS anchor_ms FROM s),
-h AS (SELECT *, start_byte - lag(end_byte) OVER (PARTITION BY media_id ORDER BY chunk_index) AS space FROM g WHERE start_ms >= anchor_ms AND start_ms < e),
-i AS (SELECT *, CASE WHEN space > 100 THEN row_number() OVER (PARTITION BY media_id, coalesce(space > 100, false) ORDER BY space DESC, chunk_index DESC) END AS r FROM h),
-j AS (SELECT *, sum(CASE WHEN space IS NULL OR r <= 2 THEN 1 ELSE 0 END) OVER (PARTITION BY media_id ORDER BY chunk_index) AS part FROM i),
-k AS (SELECT media_id, anchor_ms, part, min(start_byte) AS a, max(end_byte) AS b FROM j GROUP BY ALL)
-SELECT media_id, anchor_ms, count(*) AS n_ranges, min(a) AS first_byte, max(b) AS last_byte, sum(b - a)::BIGINT AS planned_bytes FROM k GROUP BY media_id, anchor_ms""")
+STARTS = "(SELECT range AS clip_id, range * 1700 AS a, range * 1700 + 900 + range % 3 * 1500 AS e FROM range(0, 5))"
+
+
+@query(f"""WITH s AS (SELECT c.*, x.clip_id, x.a, x.e FROM {CHUNKS} c, {STARTS} x WHERE media_id % 9 <> 0 AND media_id % 4 <> 3),
+g AS (SELECT *, coalesce(max(CASE WHEN keyframe = 1 AND start_ms <= a THEN start_ms END) OVER (PARTITION BY media_id, clip_id), min(CASE WHEN keyframe = 1 THEN start_ms END) OVER (PARTITION BY media_id, clip_id)) AS anchor_ms FROM s),
+h AS (SELECT *, start_byte - lag(end_byte) OVER (PARTITION BY media_id, clip_id ORDER BY chunk_index) AS space FROM g WHERE start_ms >= anchor_ms AND start_ms < e),
+i AS (SELECT *, CASE WHEN space > 100 THEN row_number() OVER (PARTITION BY media_id, clip_id, coalesce(space > 100, false) ORDER BY space DESC, chunk_index DESC) END AS r FROM h),
+j AS (SELECT *, sum(CASE WHEN space IS NULL OR r <= 2 THEN 1 ELSE 0 END) OVER (PARTITION BY media_id, clip_id ORDER BY chunk_index) AS part FROM i),
+k AS (SELECT media_id, clip_id, anchor_ms, part, min(start_byte) AS a, max(end_byte) AS b FROM j GROUP BY ALL)
+SELECT media_id, clip_id, anchor_ms, count(*) AS n_ranges, min(a) AS first_byte, max(b) AS last_byte, sum(b - a)::BIGINT AS planned_bytes FROM k GROUP BY media_id, clip_id, anchor_ms""")
 def range_plan(spark, sf_dir):
-    """Byte ranges for a clip of each valid medium: 3 ranges at most, gaps to 100 bytes read through."""
-    good = chunk_rows(spark, sf_dir).filter("media_id % 9 <> 0 AND media_id % 4 <> 3")
-    wanted = good.select("media_id").distinct().select("media_id", F.lit(2500).alias("clip_start_ms"), F.lit(6500).alias("clip_end_ms"))
+    """Byte ranges for five clips of each valid medium: 3 ranges at most, gaps to 100 bytes read through."""
+    checked = media.faulty_chunks(chunk_rows(spark, sf_dir)).filter("valid").select("media_id")
+    good = chunk_rows(spark, sf_dir).join(checked, "media_id")
+    k = F.col("clip_id")
+    wanted = checked.select("media_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(4).cast("long"))).alias("clip_id")).select("media_id", "clip_id", (k * 1700).alias("clip_start_ms"), (k * 1700 + 900 + k % 3 * 1500).alias("clip_end_ms"))
     return media.range_plan(good, wanted, 3, 100)
 
 
@@ -240,7 +251,7 @@ def label_mode_auto(spark, sf_dir):
 @query(f"SELECT m.sample_id // 32 AS batch_id, count(*) AS n, count(l.quality) AS labelled, count(l.quality) IN (0, count(*)) AS consistent FROM {MANIFEST} m LEFT JOIN labels l ON l.doc_id = m.doc_id GROUP BY 1")
 def batch_label_all_or_none(spark, sf_dir):
     joined = docs(spark, sf_dir).join(t(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id", "left")
-    out = joined.groupBy(F.floor(F.col("sample_id") / 32).cast("long").alias("batch_id")).agg(F.count("*").alias("n"), F.count("quality").alias("labelled"))
+    out = joined.groupBy(F.expr("sample_id div 32").alias("batch_id")).agg(F.count("*").alias("n"), F.count("quality").alias("labelled"))
     return out.withColumn("consistent", (F.col("labelled") == 0) | (F.col("labelled") == F.col("n")))
 
 
@@ -256,31 +267,34 @@ def percent_encode(spark, sf_dir):
 
 @query(f"SELECT * FROM {BLOCKS}")
 def work_ranges(spark, sf_dir):
-    return ranges.blocks(docs(spark, sf_dir), BLOCK)
+    return ranges.blocks(t(spark, sf_dir, "documents"), BLOCK)
 
 
 @query(f"SELECT start_id, end_id, {_long('k')} AS shuffle_key, position FROM {SHUFFLED}")
 def shuffled_blocks(spark, sf_dir):
-    return ranges.shuffled(ranges.blocks(docs(spark, sf_dir), BLOCK), SEED, EPOCH)
+    return ranges.shuffled(ranges.blocks(t(spark, sf_dir, "documents"), BLOCK), SEED, EPOCH)
 
 
 @query(f"SELECT (position % {WORLD})::INT AS rank, count(*) AS n_blocks, sum(end_id - start_id)::BIGINT AS n_samples FROM {SHUFFLED} GROUP BY 1")
 def rank_assignment(spark, sf_dir):
-    return ranges.ranked(ranges.blocks(docs(spark, sf_dir), BLOCK), SEED, EPOCH, WORLD).groupBy("rank").agg(F.count("*").alias("n_blocks"), F.sum(F.col("end_id") - F.col("start_id")).alias("n_samples"))
+    return ranges.ranked(ranges.blocks(t(spark, sf_dir, "documents"), BLOCK), SEED, EPOCH, WORLD).groupBy("rank").agg(F.count("*").alias("n_blocks"), F.sum(F.col("end_id") - F.col("start_id")).alias("n_samples"))
 
 
 @query(f"SELECT start_id, end_id, ((row_number() OVER (ORDER BY k, start_id) - 1) % 3)::INT AS rank FROM {SHUFFLED} WHERE position % 4 <> 0")
 def repartition_unissued(spark, sf_dir):
     """Blocks that are not issued (position divides by 4: issued), over three ranks."""
-    whole = ranges.shuffled(ranges.blocks(docs(spark, sf_dir), BLOCK), SEED, EPOCH)
-    issued = whole.filter("position % 4 = 0").select("start_id")
-    left = whole.join(issued, "start_id", "left_anti").select("start_id", "end_id")
-    return ranges.ranked(left, SEED, EPOCH, 3).select("start_id", "end_id", "rank")
+    whole = ranges.shuffled(ranges.blocks(t(spark, sf_dir, "documents"), BLOCK), SEED, EPOCH)
+    return ranges.unissued(whole, whole.filter("position % 4 = 0"), SEED, EPOCH, 3).select("start_id", "end_id", "rank")
+
 
+LIVE = "SELECT o_orderkey * 100 - CASE WHEN o_orderkey % 7 = 0 THEN 30 ELSE 0 END AS start_id, o_orderkey * 100 + 100 + CASE WHEN o_orderkey % 11 = 0 THEN 120 ELSE 0 END AS end_id FROM orders"
 
-@query(f"SELECT start_id, end_id, end_id AS next_start FROM {BLOCKS} WHERE false")
+
+@query(f"SELECT start_id, end_id, next_start FROM (SELECT *, lead(start_id) OVER (ORDER BY start_id, end_id) AS next_start FROM ({LIVE})) WHERE end_id > next_start")
 def no_overlap(spark, sf_dir):
-    return ranges.overlaps(ranges.blocks(docs(spark, sf_dir), BLOCK)).select("start_id", "end_id", "next_start")
+    """Live ranges that share ids with their neighbours, in a set where some do."""
+    t(spark, sf_dir, "orders").createOrReplaceTempView("tidemill_orders")
+    return ranges.overlaps(spark.sql(LIVE.replace("FROM orders", "FROM tidemill_orders"))).select("start_id", "end_id", "next_start")
 
 
 LEASES = ["o_orderkey AS lease_id", "o_orderkey * 100 AS start_id", "o_orderkey * 100 + 100 AS end_id", "o_orderkey * 100 - 20 + o_orderkey % 150 AS cursor", "o_orderkey % 60 AS expires_ms"]
@@ -311,7 +325,7 @@ def log_replay(spark, sf_dir):
 
 @query(f"SELECT greatest(b.start_id, coalesce(r.cursor, b.start_id)) AS start_id, b.end_id FROM {BLOCKS} b LEFT JOIN {REPLAY} r USING (end_id) WHERE NOT coalesce(r.completed, false) AND greatest(b.start_id, coalesce(r.cursor, b.start_id)) < b.end_id")
 def lease_recovery(spark, sf_dir):
-    return ranges.recovered(ranges.blocks(docs(spark, sf_dir), BLOCK), log_replay(spark, sf_dir))
+    return ranges.recovered(ranges.blocks(t(spark, sf_dir, "documents"), BLOCK), log_replay(spark, sf_dir))
 
 
 @query(f"SELECT sample_id // 32 AS batch_id, min(sample_id) AS first_id, max(sample_id) AS last_id, count(*) AS n, sum(byte_length)::BIGINT AS bytes FROM {MANIFEST} GROUP BY 1")
@@ -367,10 +381,15 @@ def text_windows(spark, sf_dir):
     return media.text_windows(tokens(spark, sf_dir), "ids", 16, 12, 0)
 
 
-@query("SELECT doc_id, true AS valid FROM documents WHERE text IS NOT NULL")
+RAW = "encode(text) || CASE doc_id % 5 WHEN 0 THEN '\\xC3'::BLOB WHEN 1 THEN '\\xFF\\xFE'::BLOB ELSE ''::BLOB END"
+
+
+@query(f"SELECT doc_id, TRY(decode({RAW})) IS NOT NULL AS valid FROM documents WHERE text IS NOT NULL")
 def utf8_policy(spark, sf_dir):
-    raw = t(spark, sf_dir, "documents").select("doc_id", F.encode("text", "UTF-8").alias("raw")).filter("raw IS NOT NULL")
-    return raw.select("doc_id", F.is_valid_utf8(F.col("raw").cast("string")).alias("valid")).filter("valid")
+    """Which payloads are UTF-8, where two in five have bytes behind the text that aren't."""
+    tail = F.when(F.col("doc_id") % 5 == 0, F.lit(b"\xc3")).when(F.col("doc_id") % 5 == 1, F.lit(b"\xff\xfe")).otherwise(F.lit(b""))
+    raw = t(spark, sf_dir, "documents").filter("text IS NOT NULL").select("doc_id", F.concat(F.encode("text", "UTF-8"), tail).alias("raw"))
+    return raw.select("doc_id", F.is_valid_utf8(F.col("raw").cast("string")).alias("valid"))
 
 
 @query("SELECT vec_id, len(embedding) AS n, list_sum(list_transform(e, lambda x: (x * 1000)::INT))::BIGINT AS total, len(e)::INT AS kept FROM (SELECT *, list_concat(embedding, list_transform(range(0, 100), lambda x: 0::FLOAT))[1:100] AS e FROM embeddings)")
@@ -397,46 +416,67 @@ def aug_decisions(spark, sf_dir):
     return media.augmentation(docs(spark, sf_dir), RUN, SEED, EPOCH, 256, 256, 224, 0.5, 0.4)
 
 
-PICKS = mixing.period(mixing.whole_weights([0.5, 0.25, 0.15, 0.1]), mixing.tie_offset(SEED, EPOCH, 4))
-TICKS = 2000
-PLAN = f"(SELECT tick, source_no, row_number() OVER (PARTITION BY source_no ORDER BY tick) - 1 AS pick_no FROM (SELECT range AS tick, ({PICKS})[range % {len(PICKS)} + 1]::INT AS source_no FROM range(0, {TICKS})))"
+WEIGHTS, OFFSET = mixing.whole_weights([0.5, 0.25, 0.15, 0.1]), mixing.tie_offset(SEED, EPOCH, 4)
 SOURCES = "(SELECT doc_id, (dense_rank() OVER (ORDER BY lang) - 1)::INT AS source_no, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS pick_no FROM documents)"
+#: One tick after the other until every source has run out: all active gain their weight, the greatest (of equals the nearest after the offset) is picked and pays the sum.
+PLAN = f"""WITH RECURSIVE have AS MATERIALIZED (SELECT list(n ORDER BY source_no) AS counts FROM (SELECT source_no, count(*) AS n FROM {SOURCES} GROUP BY 1)),
+f AS (
+    SELECT 0::BIGINT AS round, -1::BIGINT AS tick, NULL::INT AS source_no, NULL::BIGINT AS pick_no, false AS given, [0, 0, 0, 0]::BIGINT[] AS state, [0, 0, 0, 0]::BIGINT[] AS done, [true, true, true, true] AS active FROM have
+    UNION ALL
+    SELECT round + 1, tick + CASE WHEN left_over THEN 1 ELSE 0 END, pick - 1, done[pick], left_over,
+        list_transform(range(1, 5), lambda k: gained[k] - CASE WHEN k = pick THEN total ELSE 0 END),
+        list_transform(range(1, 5), lambda k: done[k] + CASE WHEN k = pick AND left_over THEN 1 ELSE 0 END),
+        list_transform(range(1, 5), lambda k: active[k] AND (k <> pick OR left_over))
+    FROM (SELECT *, done[pick] < counts[pick] AS left_over FROM (
+        SELECT *, list_sort(list_transform(list_filter(range(1, 5), lambda k: active[k]), lambda k: [-gained[k], (k - 1 - {OFFSET} + 4) % 4, k]))[1][3]::INT AS pick FROM (
+            SELECT f.*, counts, list_transform(range(1, 5), lambda k: state[k] + CASE WHEN active[k] THEN ({WEIGHTS})[k] ELSE 0 END) AS gained, list_sum(list_transform(range(1, 5), lambda k: CASE WHEN active[k] THEN ({WEIGHTS})[k] ELSE 0 END))::BIGINT AS total
+            FROM f, have WHERE list_bool_or(active)))))
+"""
+GIVEN = "(SELECT tick, source_no, pick_no FROM f WHERE given)"
 
 
 def sources(spark, sf_dir):
+    """(doc_id, source_no, pick_no): each language a source, its documents in order."""
     rows = t(spark, sf_dir, "documents").select("doc_id", "lang")
-    labelled = rows.join(F.broadcast(manifest.label_ids(rows, "lang").select(F.col("label").alias("lang"), F.col("label_id").cast("int").alias("source_no"))), "lang")
+    labelled = rows.join(manifest.label_ids(rows, "lang").select(F.col("label").alias("lang"), F.col("label_id").cast("int").alias("source_no")), "lang")
     first = manifest.with_dense_ids(labelled, "source_no", "doc_id", name="at")
     starts = first.groupBy("source_no").agg(F.min("at").alias("start"))
-    return first.join(F.broadcast(starts), "source_no").select("doc_id", "source_no", (F.col("at") - F.col("start")).alias("pick_no"))
+    return first.join(starts, "source_no").select("doc_id", "source_no", (F.col("at") - F.col("start")).alias("pick_no"))
+
+
+def plan(spark, sf_dir):
+    """The mix of all languages to their ends."""
+    counts = t(spark, sf_dir, "documents").filter("lang IS NOT NULL").groupBy("lang").count().orderBy("lang").collect()
+    return mixing.drained(spark, WEIGHTS, [r[1] for r in counts], OFFSET)
 
 
-@query(f"SELECT * FROM {PLAN}")
+@query(PLAN + f"SELECT * FROM {GIVEN}")
 def mix_schedule(spark, sf_dir):
-    return mixing.schedule(spark, PICKS, TICKS)
+    return plan(spark, sf_dir)
 
 
-@query(f"SELECT tick, source_no, doc_id FROM {PLAN} JOIN {SOURCES} USING (source_no, pick_no)")
+@query(PLAN + f"SELECT tick, source_no, doc_id FROM {GIVEN} JOIN {SOURCES} USING (source_no, pick_no)")
 def mix_interleave(spark, sf_dir):
-    return mixing.interleaved(mixing.schedule(spark, PICKS, TICKS), sources(spark, sf_dir)).select("tick", "source_no", "doc_id")
+    """Every document at its tick."""
+    return mixing.interleaved(plan(spark, sf_dir), sources(spark, sf_dir)).select("tick", "source_no", "doc_id")
 
 
-@query(f"SELECT source_no, count(*) AS n, count(*)::DOUBLE / sum(count(*)) OVER ()::DOUBLE AS ratio FROM {PLAN} JOIN {SOURCES} USING (source_no, pick_no) GROUP BY source_no")
+@query(PLAN + f"SELECT source_no, count(*) AS n, count(*)::DOUBLE / sum(count(*)) OVER ()::DOUBLE AS ratio FROM {GIVEN} JOIN {SOURCES} USING (source_no, pick_no) GROUP BY source_no")
 def mix_ratio(spark, sf_dir):
-    counted = mix_interleave(spark, sf_dir).groupBy("source_no").agg(F.count("*").alias("n"))
-    return counted.crossJoin(counted.agg(F.sum("n").alias("all"))).select("source_no", "n", (F.col("n").cast("double") / F.col("all").cast("double")).alias("ratio"))
+    return mixing.realised(mix_interleave(spark, sf_dir), 4)
 
 
-@query(f"SELECT source_no, sum(CASE WHEN gap > 6 THEN 1 ELSE 0 END)::BIGINT AS starved FROM (SELECT *, tick - lag(tick) OVER (PARTITION BY source_no ORDER BY tick) AS gap FROM {PLAN}) GROUP BY 1")
+@query(PLAN + f"SELECT source_no, sum(CASE WHEN gap > 6 THEN 1 ELSE 0 END)::BIGINT AS starved FROM (SELECT *, tick - lag(tick) OVER (PARTITION BY source_no ORDER BY tick) AS gap FROM {GIVEN}) GROUP BY 1")
 def mix_starvation(spark, sf_dir):
-    return mixing.starvation(mixing.schedule(spark, PICKS, TICKS), 6)
+    return mixing.starvation(plan(spark, sf_dir), 6)
 
 
-@query("SELECT doc_id, sha256('T' || text || text) AS digest, octet_length(encode('T' || text || text))::INT AS size FROM documents WHERE octet_length(encode('T' || text || text)) <= 20000")
+@query("SELECT doc_id, sha256('T' || text || text) AS digest, octet_length(encode('T' || text || text))::INT AS size FROM documents")
 def transform_prefix_dup(spark, sf_dir):
-    """A byte transform (a literal, then the sample twice) under a cap: expressions, so nothing leaves the JVM."""
-    out = F.concat(F.lit(b"T"), F.encode("text", "UTF-8"), F.encode("text", "UTF-8"))
-    return t(spark, sf_dir, "documents").select("doc_id", out.alias("out")).filter(F.octet_length("out") <= 20_000).select("doc_id", F.sha2("out", 256).alias("digest"), F.octet_length("out").alias("size"))
+    """A byte transform (a literal, then the sample twice) under the usual cap, whose breach is an error: expressions, so nothing leaves the JVM."""
+    rows = t(spark, sf_dir, "documents").select("doc_id", F.encode("text", "UTF-8").alias("payload"))
+    out = transforms.applied(rows, transforms.Transform.of_source("def f(sample):\n    return b'T' + sample + sample"))
+    return out.select("doc_id", F.sha2("payload", 256).alias("digest"), F.octet_length("payload").alias("size"))
 
 
 @query("SELECT user_id % 16 AS node, count(*) AS reports, sum(event_id % 100)::BIGINT AS inflight, max(event_id) AS last_seen, max(event_id) < (SELECT max(event_id) FROM events) - 20 AS stale FROM events GROUP BY 1")
