@@ -25,7 +25,7 @@ result; extra columns are ignored, also those whose names differ from a needed o
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,13 +34,15 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batch_of, flat_bytes, keyed_texts, pieces
+from .common import batch_of, cut_lineage, flat_bytes, keyed_texts, pieces
 from .op1_chunks import parts_of
 
 K, WINDOW, HEAD, MIN_SPAN, SPLIT = 24, 100, 100, 120, 4096
 LEFT, RIGHT = WINDOW, WINDOW + HEAD
 PLACES = pa.schema([("head", pa.int64()), ("doc_id", pa.int64()), ("at", pa.int32())])
-SUFFIXES = pa.schema([("head", pa.binary()), ("salt", pa.int32()), ("doc_id", pa.int64()), ("row", pa.int32()), ("at", pa.int32()), ("before", pa.binary()), ("after", pa.binary())])
+SUFFIXES = pa.schema([("head", pa.binary()), ("salt", pa.int32()), ("doc_id", pa.int64()), ("row", pa.int32()), ("at", pa.int32()), ("around", pa.binary())])
+DICTIONARY, DICTIONARY_TEXTS, DICTIONARY_CUT = 64 << 10, 1000, 4096  # of what moves, compressed: bytes, and how much of how many texts they are made of
+BROADCAST_CLASSES = 1_000_000  # divided classes are broadcast up to so many; beyond, the join shuffles
 MATCHES = pa.schema([("doc_id", pa.int64()), ("row", pa.int32()), ("at", pa.int32()), ("start_byte", pa.int64()), ("end_byte", pa.int64()), ("first", pa.int64()), ("keep", pa.bool_())])
 SPREAD = 0x9E3779B185EBCA87
 
@@ -120,20 +122,37 @@ def place_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 yield batch_of(PLACES, head_hashes(words, at).view(np.int64), batch.column(0).to_numpy()[row], (at - offsets[row]).astype(np.int32))
 
 
-def packed_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def dictionary_of(texts: DataFrame) -> bytes:
+    """Common strings for compression, from the beginnings of some texts; what moves is smaller for it, results don't depend on it."""
+    some = [r[0].encode() for r in texts.limit(DICTIONARY_TEXTS).select(F.substring("text", 1, DICTIONARY_CUT)).collect()]
+    try:
+        return zstandard.train_dictionary(DICTIONARY, [x[k : k + 256] for x in some for k in range(0, len(x), 256)]).as_bytes()
+    except zstandard.ZstdError:  # too little to learn from
+        return b""
+
+
+def squeezer(dictionary: bytes, level: int) -> Callable[[bytes], bytes]:
+    return zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(dictionary), write_dict_id=False).compress
+
+
+def loosener(dictionary: bytes) -> Callable[[bytes], bytes]:
+    return zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(dictionary)).decompress
+
+
+def packed_batches(batches: Iterator[pa.RecordBatch], dictionary: bytes) -> Iterator[pa.RecordBatch]:
     """Texts compressed, for the shuffle that brings them to their places."""
-    squeeze = zstandard.ZstdCompressor(level=6).compress
+    squeeze = squeezer(dictionary, 6)
     for whole in batches:
         for batch in pieces(whole, 1 << 20):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([squeeze(t.encode()) for t in batch.column(1).to_pylist()], pa.binary())], names=["doc_id", "packed"])
 
 
-def suffix_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From (doc_id, packed text, places and salts of the doc_id) to suffixes with what stands before and after them.
+def suffix_batches(batches: Iterator[pa.RecordBatch], dictionary: bytes) -> Iterator[pa.RecordBatch]:
+    """From (doc_id, packed text, places and salts of the doc_id) to suffixes: their HEAD bytes, and what is before and after these, compressed.
 
     Where texts share a doc_id each has the places of all; a place that is another's is a suffix like any, and counts if its bytes are repeated.
     """
-    loosen = zstandard.ZstdDecompressor().decompress
+    loosen, squeeze = loosener(dictionary), squeezer(dictionary, 3)
     for whole in batches:
         for batch in pieces(whole.select(["doc_id", "packed", "at", "salt"]), 1 << 19):
             doc = batch.column(0).to_numpy()
@@ -145,9 +164,8 @@ def suffix_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                 places, salts = places[inside], salts[inside]
                 for s in range(0, len(places), 8192):
                     at, salt = places[s : s + 8192], salts[s : s + 8192]
-                    before = [data[max(0, p - LEFT) : p] for p in at.tolist()]
-                    after = [data[p : p + RIGHT] for p in at.tolist()]
-                    yield batch_of(SUFFIXES, [x[:HEAD] for x in after], salt, np.full(len(at), doc[r]), np.full(len(at), row), at, before, [x[HEAD:] for x in after])
+                    around = [squeeze(data[max(0, p - LEFT) : p] + data[p + HEAD : p + RIGHT]) for p in at.tolist()]
+                    yield batch_of(SUFFIXES, [data[p : p + HEAD] for p in at.tolist()], salt, np.full(len(at), doc[r]), np.full(len(at), row), at, around)
 
 
 def _grid(column: pa.Array, width: int, from_right: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -167,8 +185,9 @@ def _common(grid: np.ndarray, size: np.ndarray, me: np.ndarray, it: np.ndarray)
     return np.minimum(first, np.minimum(size[me], size[it]))
 
 
-def neighbour_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def neighbour_batches(batches: Iterator[pa.RecordBatch], dictionary: bytes) -> Iterator[pa.RecordBatch]:
     """Sorted suffixes to pieces. The first suffix of a class waits for the members of later batches, with how far they reached."""
+    loosen = loosener(dictionary)
     held, reach, more = None, (0, 0), False  # of the open class: its first suffix, the most to the left and right, whether it has another member
 
     def first_piece(row: pa.RecordBatch, far: tuple[int, int]) -> pa.RecordBatch:
@@ -187,8 +206,9 @@ def neighbour_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
             owner = np.flatnonzero(opens)[np.cumsum(opens) - 1]
             me = np.flatnonzero(~opens)
             it = owner[me]
-            left = _common(*_grid(rows.column(5), LEFT, True), me, it)
-            right = _common(*_grid(rows.column(6), RIGHT - HEAD, False), me, it)
+            around, cut = [loosen(x) for x in rows.column(5).to_pylist()], np.minimum(at, LEFT).tolist()
+            left = _common(*_grid(pa.array([x[:c] for x, c in zip(around, cut, strict=True)], pa.binary()), LEFT, True), me, it)
+            right = _common(*_grid(pa.array([x[c:] for x, c in zip(around, cut, strict=True)], pa.binary()), RIGHT - HEAD, False), me, it)
             far = np.zeros((2, n), np.int64)
             np.maximum.at(far[0], it, left)
             np.maximum.at(far[1], it, right)
@@ -221,15 +241,19 @@ def suffix_dedup(docs: DataFrame, min_span: int = MIN_SPAN, split: int = SPLIT)
     first_doc_id is the least document that holds the part, and keep says that this is where it holds it first.
     """
     texts = keyed_texts(docs).filter("doc_id is not null and text <> ''")
+    dictionary = dictionary_of(texts)
     places = texts.mapInArrow(place_batches, "head long, doc_id long, at int")
-    classes = places.groupBy("head").agg(F.count("*").alias("n")).filter("n > 1").select("head", F.ceil(F.col("n") / F.lit(split)).cast("int").alias("shards"))
-    repeated = places.join(classes, "head")
-    firsts = repeated.filter("shards > 1").groupBy("head").agg(F.min(F.struct("doc_id", "at")).alias("first"))  # in one shard the first is found by sorting
+    classes = cut_lineage(places.groupBy("head").agg(F.count("*").alias("n")).filter("n > 1").select("head", F.ceil(F.col("n") / F.lit(split)).cast("int").alias("shards")))
+    divided = classes.filter("shards > 1").select("head")
+    divided = F.broadcast(divided) if divided.count() <= BROADCAST_CLASSES else divided
+    firsts = places.join(divided, "head").groupBy("head").agg(F.min(F.struct("doc_id", "at")).alias("first"))  # in one shard the first is found by sorting
     is_first = F.struct("doc_id", "at") == F.col("first")
     one = F.array(F.pmod(F.xxhash64("doc_id", "at"), F.col("shards")).cast("int"))
-    salted = repeated.join(firsts, "head", "left").select("doc_id", "at", F.explode(F.when(is_first, F.sequence(F.lit(0), F.col("shards") - 1)).otherwise(one)).alias("salt"))
+    told = classes.join(firsts, "head", "left")
+    salted = places.join(told, "head").select("doc_id", "at", F.explode(F.when(is_first, F.sequence(F.lit(0), F.col("shards") - 1)).otherwise(one)).alias("salt"))
     wanted = salted.groupBy("doc_id").agg(F.collect_set(F.struct("at", "salt")).alias("places")).select("doc_id", F.col("places.at").alias("at"), F.col("places.salt").alias("salt"))
-    packed = texts.mapInArrow(packed_batches, "doc_id long, packed binary")
-    suffixes = packed.join(wanted, "doc_id").select("doc_id", "packed", "at", "salt").mapInArrow(suffix_batches, "head binary, salt int, doc_id long, row int, at int, before binary, after binary")
-    pieces_ = suffixes.repartition(F.xxhash64("head", "salt")).sortWithinPartitions("head", "salt", "doc_id", "at", "row").mapInArrow(neighbour_batches, "doc_id long, row int, at int, start_byte long, end_byte long, first long, keep boolean")
+    packed = texts.mapInArrow(lambda b: packed_batches(b, dictionary), "doc_id long, packed binary")
+    suffixes = packed.join(wanted, "doc_id").select("doc_id", "packed", "at", "salt").mapInArrow(lambda b: suffix_batches(b, dictionary), "head binary, salt int, doc_id long, row int, at int, around binary")
+    sorted_ = suffixes.repartition(F.xxhash64("head", "salt")).sortWithinPartitions("head", "salt", "doc_id", "at", "row")
+    pieces_ = sorted_.mapInArrow(lambda b: neighbour_batches(b, dictionary), "doc_id long, row int, at int, start_byte long, end_byte long, first long, keep boolean")
     return parts_of(apart(pieces_), [], min_span, ["doc_id", "row"]).select("doc_id", "start_byte", "end_byte", "first_doc_id", "keep")
