@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from tidemill.plans import catalog
+from tidemill.plans import catalog, delivery  # noqa: F401 - delivery registers its queries
 
 
 @pytest.fixture(scope="module")

@@ -49,6 +49,17 @@ def error_kind(location: Column, offset: Column, length: Column) -> Column:
     return F.when(location.isNull() | (F.trim(location) == ""), "blank_location").when(offset.isNull() != length.isNull(), "partial_range").when(length <= 0, "empty_range")
 
 
+def checked(rows: DataFrame) -> DataFrame:
+    """rows, if every record is good (see error_kind) and the ids are 0 .. n-1, each once; else an error."""
+    bad = rows.select("sample_id", error_kind(F.col("location"), F.col("byte_offset"), F.col("byte_length")).alias("error")).filter("error is not null").limit(3).collect()
+    if bad:
+        raise ValueError(f"records that aren't good: {[tuple(r) for r in bad]}")
+    seen = gaps(rows).first()
+    if not seen["dense"]:
+        raise ValueError(f"ids are 0 .. n-1, each once: {seen['n']} from {seen['least']} to {seen['greatest']}, {seen['n_distinct']} different")
+    return rows
+
+
 def gaps(rows: DataFrame, name: str = "sample_id") -> DataFrame:
     """(n, least, greatest, n_distinct, dense): dense says that the ids are 0 .. n-1, each once. No sort, no window."""
     seen = rows.agg(F.count("*").alias("n"), F.min(name).alias("least"), F.max(name).alias("greatest"), F.countDistinct(name).alias("n_distinct"))

@@ -49,10 +49,11 @@ def crop_start(most: int, u: Column) -> Column:
     return F.least(F.floor(F.lit(most + 1).cast("float") * u), F.lit(most)).cast("int")
 
 
-def augmentation(ids: DataFrame, run: int, seed: int, epoch: int, height: int, width: int, crop: int, flip: float, strength: float) -> DataFrame:
+def augmentation(ids: DataFrame, run: int, seed: int, epoch: int, height: int, width: int, crop: int, flip: float, strength: float | tuple[float, float, float]) -> DataFrame:
     """(sample_id, top, left, flip, brightness, contrast, saturation): what a sample's augmentation does, the same on every machine."""
     u = lambda stream: unit(run, seed, F.col("sample_id"), stream, epoch)
-    factor = lambda stream: F.lit(1.0).cast("float") + (u(stream) * F.lit(2.0).cast("float") - F.lit(1.0).cast("float")) * F.lit(strength).cast("float")
+    of = dict(zip((11, 12, 13), strength if isinstance(strength, tuple) else (strength,) * 3, strict=True))
+    factor = lambda stream: F.lit(1.0).cast("float") + (u(stream) * F.lit(2.0).cast("float") - F.lit(1.0).cast("float")) * F.lit(of[stream]).cast("float")
     return ids.select("sample_id", crop_start(height - crop, u(1)).alias("top"), crop_start(width - crop, u(2)).alias("left"), (u(3) < F.lit(flip).cast("float")).alias("flip"), factor(11).alias("brightness"), factor(12).alias("contrast"), factor(13).alias("saturation"))
 
 
