@@ -43,7 +43,7 @@ from .common import keyed_texts, picked, pieces
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 SPLIT = regex.compile(r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 NEVER = 1 << 60
-MOST_WORDS = 300_000  # kept in a worker; then it begins anew
+MOST_WORDS = 600_000  # kept in a worker; then it begins anew
 ENCODED = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("token_ids", pa.list_(pa.int32())), ("round_trip", pa.bool_())])
 
 
