@@ -12,8 +12,8 @@ first are a run of numbers, and so are the second in the tree of right parts. So
 have no arc there, and whether an arc exists is one search in a short row. The table is compiled once, on the driver, and broadcast: its size
 is that of the vocabulary.
 
-Encoding: pre-split words are walked from left to right; of the labels that end at a byte, found in a trie of reversed labels, exactly
-one has an arc from the state before it, and the walk's arc labels are the tokens. Encoded words are kept for when they come again.
+Encoding: pre-split words are walked from left to right, all new words of a batch side by side; of the labels that end at a byte, found in
+a trie of reversed labels, exactly one has an arc from the state before it, and the walk's arc labels are the tokens. Encoded words are kept for when they come again.
 Decoding emits the arc labels' bytes.
 
 Defined results: null texts count as empty and have no tokens; a null doc_id is kept; long words without any space are walked like
@@ -43,6 +43,7 @@ from .common import keyed_texts, picked, pieces
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 SPLIT = regex.compile(r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 NEVER = 1 << 60
+CELLS, LONG = 1 << 18, 256  # bytes of words that go through the table together, and of one that goes by itself
 MOST_WORDS = 600_000  # kept in a worker; then it begins anew
 ENCODED = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("token_ids", pa.list_(pa.int32())), ("round_trip", pa.bool_())])
 
@@ -69,18 +70,7 @@ class Automaton:
         used = {i for i, s in labels.items() if len(s) == 1 or i in self.left}
         self._compile(sorted(used))
         self.digest = xxhash.xxh3_64_intdigest(repr((sorted(labels.items()), merges)).encode())
-        #: A trie of reversed labels: (node * 256 + byte) to node; the label that ends at a node, or -1.
-        self.next, self.last = {}, [-1]
-        for i in sorted(used):
-            node = 0
-            for byte in reversed(labels[i]):
-                key = node * 256 + byte
-                if key not in self.next:
-                    self.next[key] = len(self.last)
-                    self.last.append(-1)
-                node = self.next[key]
-            if self.last[node] < 0:
-                self.last[node] = i
+        self._trie(sorted(used))
 
     def _compile(self, used: list[int]) -> None:
         """The table: for the state at place k of the right tree, starts[first[k]:first[k + 1]] and ends: the runs of places in the left tree that it has no arc to."""
@@ -102,6 +92,30 @@ class Automaton:
         far = np.maximum.accumulate((row << 32) + hi) - (row << 32) if len(row) else hi  # runs may lie within each other
         self.starts, self.ends = array("i", lo.astype(np.int32).tobytes()), array("i", far.astype(np.int32).tobytes())
         self.first = np.searchsorted(row, np.arange(max(self.right_place.values(), default=0) + 2)).tolist()
+        self.runs, self.run_ends = (row << 32) + lo, far
+        known = np.full((2, max(self.labels) + 1), -1, np.int64)
+        for k, of in enumerate((self.right_place, self.left_place)):
+            known[k, list(of)] = list(of.values())
+        self.places = known
+
+    def _trie(self, used: list[int]) -> None:
+        """The labels from behind, as a trie: sorted keys (node * 256 + byte), the nodes they lead to, and the label that ends at each node, or -1."""
+        following, last = {}, [-1]
+        for i in used:
+            node = 0
+            for byte in reversed(self.labels[i]):
+                key = node * 256 + byte
+                if key not in following:
+                    following[key] = len(last)
+                    last.append(-1)
+                node = following[key]
+            if last[node] < 0:
+                last[node] = i
+        self.following: dict[int, int] | None = None
+        self.keys = np.array(sorted(following), np.int64)
+        self.nodes, self.last = np.array([following[k] for k in self.keys.tolist()], np.int64), np.array(last, np.int64)
+        self.size = np.zeros(max(self.labels) + 1, np.int64)
+        self.size[list(self.labels)] = [len(x) for x in self.labels.values()]
 
     @staticmethod
     def _walk(parents: dict[int, tuple[int, int]], used: list[int]) -> tuple[dict[int, int], Callable[[int, int], int]]:
@@ -152,32 +166,94 @@ class Automaton:
             x, x_until = self.right[x]
 
     def encode(self, word: bytes) -> list[int]:
-        after = [-1] * (len(word) + 1)  # the label that ends at each byte
-        follow, last, labels = self.next.get, self.last, self.labels
-        rows, places, first, starts, ends = self.right_place, self.left_place, self.first, self.starts, self.ends
+        return self.encode_all([word])[0].tolist()
+
+    def encode_all(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The tokens of all words in a row, and how many each has. Words of like length go together through the table, one byte of all at a time."""
+        counts, order = np.zeros(len(words), np.int64), sorted(range(len(words)), key=lambda k: -len(words[k]))
+        made: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        at = 0
+        while at < len(order) and len(words[order[at]]) > LONG:  # by itself
+            found = np.array(self._encode_long(words[order[at]])[::-1], np.int64)
+            made.append((np.full(len(found), order[at]), np.arange(len(found)), found))
+            counts[order[at]] = len(found)
+            at += 1
+        while at < len(order):
+            longest = max(1, len(words[order[at]]))
+            some = order[at : at + max(1, CELLS // longest)]
+            at += len(some)
+            made.append(self._encode_block(np.array(some), [words[k] for k in some], longest))
+            np.add.at(counts, made[-1][0], 1)
+        if not made:
+            return np.zeros(0, np.int64), counts
+        who, step, label = (np.concatenate(x) for x in zip(*made, strict=True))
+        return label[np.lexsort((-step, who))], counts
+
+    def _encode_long(self, word: bytes) -> list[int]:
+        """One word, byte by byte."""
+        if self.following is None:
+            self.following = dict(zip(self.keys.tolist(), self.nodes.tolist(), strict=True))
+        after, follow, last = [-1] * (len(word) + 1), self.following.get, self.last.tolist()
         for i in range(1, len(word) + 1):
-            node, j, found = 0, i, []
+            node, j = 0, i
             while j > 0 and (node := follow(node * 256 + word[j - 1], 0)):
                 j -= 1
-                if last[node] >= 0:
-                    found.append((last[node], j))
-            for label, j in reversed(found):
-                if j == 0:
-                    after[i] = label
-                    break
-                row, at = rows[after[j]], places[label]
-                k = bisect_right(starts, at, first[row], first[row + 1])
-                if k == first[row] or ends[k - 1] <= at:
-                    after[i] = label
+                if last[node] >= 0 and (j == 0 or self.follows(after[j], last[node])):
+                    after[i] = last[node]
                     break
-            else:
+            if after[i] < 0:
                 raise ValueError(f"byte {word[i - 1]} is not in the vocabulary")
         out, i = [], len(word)
         while i:
             out.append(after[i])
-            i -= len(labels[after[i]])
-        out.reverse()
-        return out
+            i -= len(self.labels[after[i]])
+        return out[::-1]
+
+    def _encode_block(self, names: np.ndarray, words: list[bytes], longest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(word, step from its end, label) of words in order of falling length."""
+        length = np.array([len(w) for w in words])
+        text = np.frombuffer(b"".join(w.ljust(longest, b"\0") for w in words), np.uint8).reshape(len(words), longest).astype(np.int64)
+        after = np.full((len(words), longest + 1), -1, np.int64)  # the label that ends at each byte: the state there
+        falling = -length
+        for i in range(1, longest + 1):
+            alive = np.arange(np.searchsorted(falling, -i, side="right"))  # the words of i bytes or more
+            node = np.zeros(len(alive), np.int64)
+            for j in range(i - 1, -1, -1):
+                key = node * 256 + text[alive, j]
+                k = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+                there = self.keys[k] == key
+                alive, node = alive[there], self.nodes[k[there]]
+                if not len(alive):
+                    break
+                label = self.last[node]
+                good = label >= 0
+                if j:
+                    spot = np.flatnonzero(good)
+                    good[spot] = self._all_follow(after[alive[spot], j], label[spot])
+                if good.any():
+                    after[alive[good], i] = label[good]
+                    alive, node = alive[~good], node[~good]
+                    if not len(alive):
+                        break
+            if (hole := np.flatnonzero(after[: np.searchsorted(falling, -i, side="right"), i] < 0)).size:
+                raise ValueError(f"byte {text[hole[0], i - 1]} is not in the vocabulary")
+        out, left, step = [], length.copy(), 0
+        rows = np.flatnonzero(left > 0)
+        while len(rows):
+            label = after[rows, left[rows]]
+            out.append((names[rows], np.full(len(rows), step), label))
+            left[rows] -= self.size[label]
+            rows, step = rows[left[rows] > 0], step + 1
+        if not out:
+            return names[:0], names[:0], names[:0]
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+    def _all_follow(self, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+        """`follows` for many at once."""
+        row, at = self.places[0, u], self.places[1, v]
+        k = np.searchsorted(self.runs, (row << 32) + at, side="right") - 1
+        inside = (k >= 0) & (self.runs[k] >> 32 == row)
+        return ~(inside & (self.run_ends[k] > at))
 
 
 def read_vocabulary(path: str) -> Automaton:
@@ -199,17 +275,18 @@ class Encoder(dict):
 
     def forget(self) -> None:
         self.clear()
-        self.fresh: list[list[int]] = []
+        self.fresh: list[bytes] = []
         self.ids, self.start = np.zeros(0, np.int32), np.zeros(1, np.int64)
 
     def __missing__(self, word: str) -> int:
         self[word] = k = len(self)
-        self.fresh.append(self.automaton.encode(word.encode()))
+        self.fresh.append(word.encode())
         return k
 
     def settle(self) -> None:
-        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(self.fresh), np.int32)])
-        self.start = np.concatenate([self.start, self.start[-1] + np.cumsum([len(x) for x in self.fresh], dtype=np.int64)])
+        ids, counts = self.automaton.encode_all(self.fresh)
+        self.ids = np.concatenate([self.ids, ids.astype(np.int32)])
+        self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(counts)])
         self.fresh = []
 
     def tokens(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -249,9 +326,7 @@ def decode(ids, path: str = VOCABULARY) -> bytes:
 
 def encode_batches(batches: Iterator[pa.RecordBatch], e: Encoder) -> Iterator[pa.RecordBatch]:
     """(doc_id, text, ..) to ENCODED and the other columns."""
-    labels = e.automaton.labels
-    size = np.zeros(max(labels) + 1, np.int64)
-    size[list(labels)] = [len(s) for s in labels.values()]
+    labels, size = e.automaton.labels, e.automaton.size
     for whole in batches:
         for batch in pieces(whole, 2 << 20):
             texts = batch.column(1).to_pylist()
