@@ -250,7 +250,47 @@ def test_quality_on_held_out_labels(spark):
     rate = lambda rows: np.mean([found[r["doc_id"]] for r in rows])
     assert rate([r for r in held if r["quality"] == 1 and r["toxic"] == 0]) >= 0.98
     assert rate([r for r in held if r["quality"] == 0 and r["toxic"] == 0]) <= 0.1
-    assert rate([r for r in held if r["toxic"] == 1]) <= 0.4  # about 200 toxic documents to learn from
+    assert rate([r for r in held if r["toxic"] == 1]) <= 0.15  # about 200 toxic documents to learn from
+
+
+def test_scores_by_definition(spark, docs, texts, small):
+    """The whole way from texts and labels to votes, term by term and document by document."""
+    labels = {r[0]: r[1:] for r in duckdb.sql(f"SELECT doc_id, quality, toxic FROM '{small}/labels.parquet'").fetchall() if r[0] in texts}
+    hashed = lambda t: xxhash.xxh3_64_intdigest(t)
+    counts = {d: {hashed(w): n for w, n in op4_quality.terms(t).items()} for d, t in texts.items()}
+    n, told = len(labels), {}
+    for w in {w for d in labels for w in counts[d]}:
+        has = [d for d in labels if w in counts[d]]
+        if len(has) < 3:
+            continue
+        for y in range(2):
+            all_yes, yes = sum(x[y] for x in labels.values()), sum(labels[d][y] for d in has)
+            p1, p0 = (yes + 0.5) / (all_yes + 1), (len(has) - yes + 0.5) / (n - all_yes + 1)
+            x = abs(log(p1 / (1 - p1)) - log(p0 / (1 - p0))) * abs(p1 - p0) / max(p1 * (1 - p1) + p0 * (1 - p0), 1e-3) ** 0.5
+            told[w] = max(told.get(w, 0.0), x)
+    best = sorted(sorted((w for w in told if told[w] > 0), key=lambda w: (-round(told[w], 12), w))[: op4_quality.FEATURES])
+    weight = np.array([told[w] ** 0.5 + 1e-6 for w in best])
+    row = lambda d: np.array([log(1 + counts[d].get(w, 0)) for w in best])
+    x = np.array([row(d) * weight for d in labels])
+    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+    space = np.linalg.svd(x, full_matrices=False)[2][: op4_quality.DIMS]
+    points = x @ space.T
+    size = np.linalg.norm(points, axis=1)
+    near = [(p / s, y) for p, s, y in zip(points, size, labels.values(), strict=True) if s > 1e-6]
+    k, checked = min(op4_quality.NEIGHBOURS, len(near)), 0
+    for r in op4_quality.quality_scores(docs, spark.read.parquet(f"{small}/labels.parquet")).collect():
+        v = space @ (row(r["doc_id"]) * weight)
+        if np.linalg.norm(v) < 1e-6:
+            assert r["quality_score"] is None and r["keep"]
+            continue
+        cos = sorted(((float(p @ v / np.linalg.norm(v)), y) for p, y in near), key=lambda z: -z[0])
+        if len(cos) > k and cos[k - 1][0] - cos[k][0] < 1e-5:  # a near tie is decided by rounding
+            continue
+        total = sum(max(c, 0) for c, _ in cos[:k])
+        for y, got in enumerate((r["quality_score"], r["toxic_score"])):
+            assert got == pytest.approx(sum(max(c, 0) * z[y] for c, z in cos[:k]) / total, abs=1e-3)
+        checked += 1
+    assert checked > 100
 
 
 def test_votes_by_sorting():

@@ -13,8 +13,9 @@ labelled documents.
 
 Defined results: a text with no known term (null or empty ones too) has null scores and is kept; without labelled documents
 everything is; labels that are null are no labels; of several labels of one document any one with the least values counts; a null
-doc_id is scored but never labelled; repeated rows are scored each; ties at the last neighbour all vote; an empty table gives an empty
-result; extra columns are ignored here and kept by the pipeline's stage.
+doc_id is scored but never labelled; very long texts count with all their terms; repeated rows are scored each; ties at the last neighbour all
+vote; of terms that tell as much the lesser hash is a feature first; an empty table gives an empty result; extra columns are ignored here and
+kept by the pipeline's stage, also those whose names differ from a needed one's in case alone.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .common import cut_lineage, keyed_texts, picked, pieces, with_row
 
-SAMPLE, FEATURES, DIMS, NEIGHBOURS = 4096, 1024, 32, 25
+SAMPLE, FEATURES, DIMS, NEIGHBOURS = 4096, 1024, 96, 5
 STEM = 4
 term_pattern = re.compile(r"\w+|[^\w\s]+")
 UPPER, AGAIN = "\0upper", "\0again"
@@ -101,7 +102,7 @@ class Space:
         told[df < min(3, n)] = 0
         best = np.sort(np.argsort(-told, kind="stable")[:features])
         best = best[told[best] > 0] if (told[best] > 0).any() else best
-        self.names, self.weight = names[best], told[best] + 1e-6
+        self.names, self.weight = names[best], np.sqrt(told[best]) + 1e-6
         slot = np.full(len(names), -1)
         slot[best] = np.arange(len(best))
         x = np.zeros((n, len(best)))
