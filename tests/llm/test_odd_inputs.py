@@ -59,11 +59,12 @@ def test_texts_of_one_id_and_periods(spark):
 
 
 def test_lm(odd, none):
-    found = op3_ctw.lm_scores(odd).collect()
-    assert len(found) == len(rows())
-    for r in found:
-        assert (r["n_bytes"] == 0) == (r["bits_per_byte"] is None) and r["code_bits"] >= 0
-    assert op3_ctw.lm_scores(none).collect() == []
+    for f in (op3_ctw.lm_scores, op3_ctw.tree_scores):
+        found = f(odd).collect()
+        assert len(found) == len(rows())
+        for r in found:
+            assert (r["n_bytes"] == 0) == (r["bits_per_byte"] is None) and r["code_bits"] >= 0
+        assert f(none).collect() == []
 
 
 def test_quality(odd, none, labels):

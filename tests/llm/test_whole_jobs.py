@@ -47,11 +47,13 @@ def test_scores_mix_all_depths(spark, tmp_path):
             after = weighted((x, ctx, 0))
             cost[x, ctx] = sum(before(n, ()) - after(n, ()) for n in [(256 | x) >> (8 - k) for k in range(8)]) / log(2)
         want[doc] += cost[x, ctx]
-    found = {r["doc_id"]: r for r in queries.queries()["op3_lm_scoring"](spark, stored(spark, tmp_path, rows)).collect()}
-    assert set(found) == {d for d, _ in rows} and op3_ctw.DEEP == depth
-    for d, s in rows:
-        assert found[d]["n_bytes"] == len((s or "").encode()) and found[d]["code_bits"] == pytest.approx(want[d], rel=1e-4)
-        assert (found[d]["bits_per_byte"] is None) == (not s)
+    path = stored(spark, tmp_path, rows)
+    for scores in (queries.queries()["op3_lm_scoring"](spark, path), *(op3_ctw.tree_scores(spark.read.parquet(f"{path}/documents.parquet"), share) for share in (1, 9, 25))):  # whatever is taken to be frequent
+        found = {r["doc_id"]: r for r in scores.collect()}
+        assert set(found) == {d for d, _ in rows} and op3_ctw.DEEP == depth
+        for d, s in rows:
+            assert found[d]["n_bytes"] == len((s or "").encode()) and found[d]["code_bits"] == pytest.approx(want[d], rel=1e-4)
+            assert (found[d]["bits_per_byte"] is None) == (not s)
 
 
 def test_each_repeated_chunk_is_kept_once(spark, small):

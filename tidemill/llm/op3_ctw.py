@@ -7,15 +7,17 @@ probability that this mixture gives to the next bit, after the corpus, is w * KT
 weight of the node; a document's code length is the sum over its bytes.
 
 `tree_scores` is the operator. A gram is six bytes of context, the nearest first, and the byte after them: 56 bits, exact and not
-hashed. The texts are stored in blobs, and each blob's distinct grams with their counts are shuffled by their three nearest bytes, so
-a bucket holds whole subtrees from depth 3 on; a first pass sums what the subtrees say to the nodes above (at most 2**24 counts and 2**24
-weights, whose mixture is broadcast), a second sends each blob the costs of its grams, to be added up by document. What is gathered
-grows with the distinct grams of the corpus. `lm_scores` is the same with a tree of two bytes, whose costs by (two bytes of context,
+hashed. The texts are stored in blobs, and each blob's distinct grams with their counts are shuffled by their nearest bytes, so
+a bucket holds whole subtrees: from depth 3 on, and below a context that has 1 / SHARE of the corpus or more from a depth more on, until none has so
+much or six bytes are reached. A first pass sums what the subtrees say to the nodes above (at most 2**24 counts and 2**24
+weights of two bytes of context, and 255 of each of the SHARE contexts at most that are so frequent at each depth; their mixture is broadcast), a second sends each blob the costs of its grams, to be added up by document. What is gathered
+grows with the distinct grams of the corpus, and what a bucket holds is bounded by the corpus over SHARE, whatever is frequent in it. `lm_scores` is the same with a tree of two bytes, whose costs by (two bytes of context,
 byte) are one table.
 
 Defined results: a document counts in the corpus that scores it; before a text's first byte stand as many zero bytes as the tree is deep; null and empty texts
 have 0 bytes, 0 bits and null bits_per_byte; a null doc_id is kept; repeated rows count and are scored each time; an empty table gives
-an empty result; extra columns are ignored.
+an empty result; extra columns are ignored, also those whose names differ from a needed one's in case alone. A text longer than a blob is a blob
+of its own, which one task holds.
 """
 
 from __future__ import annotations
@@ -34,11 +36,11 @@ from .common import batch_of, cut_lineage, flat_bytes, keyed_texts, mixed64, pie
 
 DEPTH = 2
 DEEP, TOP = 6, 2  # of tree_scores: the whole tree, and what of it is above the buckets
-BLOB = 8 << 20
+BLOB, SHARE = 8 << 20, 4096
 BUCKETS = 4  # to a shuffle partition
 BLOBS = pa.schema([("blob", pa.int64()), ("ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("packed", pa.binary())])
 GRAMS = pa.schema([("bucket", pa.int32()), ("blob", pa.int64()), ("grams", pa.binary()), ("counts", pa.binary())])
-TOPS = pa.schema([("level", pa.int32()), ("node", pa.int64()), ("value", pa.float64())])
+TOPS = pa.schema([("level", pa.int32()), ("depth", pa.int32()), ("node", pa.int64()), ("value", pa.float64())])
 COSTS = pa.schema([("bucket", pa.int32()), ("blob", pa.int64()), ("costs", pa.binary())])
 SCORES = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("code_bits", pa.float64())])
 
@@ -161,9 +163,11 @@ def lm_scores(docs: DataFrame) -> DataFrame:
 def deep_grams(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """For each byte, the DEEP bytes before it in its text, the nearest in the highest place, and itself."""
     grams = data.astype(np.int64)
-    within = np.arange(len(data)) - np.repeat(offsets[:-1], np.diff(offsets))
+    within = (np.arange(len(data), dtype=np.int32) - np.repeat(offsets[:-1].astype(np.int32), np.diff(offsets)))  # of a blob, which is under 2 GiB
     for d in range(1, DEEP + 1):
-        grams[d:] |= np.where(within[d:] >= d, data[:-d], 0).astype(np.int64) << (8 * (DEEP + 1 - d))
+        before = np.where(within[d:] >= d, data[:-d], np.uint8(0)).astype(np.int64)
+        before <<= 8 * (DEEP + 1 - d)
+        grams[d:] |= before
     return grams
 
 
@@ -192,9 +196,41 @@ def _blob_grams(sizes: list[int], packed: bytes) -> tuple[np.ndarray, np.ndarray
     return deep_grams(np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8), offsets), offsets
 
 
-def _buckets(grams: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The order that puts sorted grams by bucket, and where in it each bucket ends; a bucket has all grams of the same nearest bytes."""
-    bucket = (mixed64(grams >> (8 * (DEEP - TOP))) % np.uint64(n)).astype(np.int32)
+def contexts(grams: np.ndarray, depth: int) -> np.ndarray:
+    return grams >> (8 * (DEEP + 1 - depth))
+
+
+def frequent_batches(batches: Iterator[pa.RecordBatch], share: int) -> Iterator[pa.RecordBatch]:
+    """(depth, context, n): of each blob the contexts of more than TOP bytes, less than DEEP, that have 1 / share of it or more."""
+    for batch in batches:
+        for row in batch.select(["sizes", "packed"]).to_pylist():
+            grams, _ = _blob_grams(row["sizes"], row["packed"])
+            least = len(grams) / share
+            for depth in range(TOP + 1, DEEP):
+                found, n = np.unique(contexts(grams, depth).astype(np.uint32) if depth < 5 else contexts(grams, depth), return_counts=True)
+                found, n = found[n >= least].astype(np.int64), n[n >= least]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), depth, np.int32)), pa.array(found), pa.array(n)], names=["depth", "context", "n"])
+                if not len(found):
+                    break
+                here = contexts(grams, depth)
+                grams = grams[found[np.minimum(np.searchsorted(found, here), len(found) - 1)] == here]
+
+
+def fronts(grams: np.ndarray, hot: dict[int, np.ndarray]) -> np.ndarray:
+    """The depth from which on each gram's subtree is in one bucket: the first that isn't frequent."""
+    out = np.full(len(grams), TOP + 1)
+    for depth in range(TOP + 1, DEEP):
+        if len(found := hot.get(depth, ())):
+            at = np.flatnonzero(out == depth)
+            here = contexts(grams[at], depth)
+            out[at[found[np.minimum(np.searchsorted(found, here), len(found) - 1)] == here]] = depth + 1
+    return out
+
+
+def _buckets(grams: np.ndarray, n: int, hot: dict[int, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The order that puts sorted grams by bucket, and where in it each bucket ends; a bucket has whole subtrees."""
+    front = fronts(grams, hot)
+    bucket = (mixed64((grams >> (8 * (DEEP + 1 - front))) * 8 + front) % np.uint64(n)).astype(np.int32)
     return np.argsort(bucket, kind="stable"), np.cumsum(np.bincount(bucket, minlength=n))
 
 
@@ -207,11 +243,11 @@ def _loose(data: bytes, kind: type) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view(kind).reshape(-1)
 
 
-def gram_batches(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
+def gram_batches(batches: Iterator[pa.RecordBatch], n: int, hot: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row in batch.select(["blob", "sizes", "packed"]).to_pylist():
             grams, counts = np.unique(_blob_grams(row["sizes"], row["packed"])[0], return_counts=True)
-            order, ends = _buckets(grams, n)
+            order, ends = _buckets(grams, n, hot)
             starts = np.concatenate([[0], ends[:-1]])
             some = np.flatnonzero(ends > starts)
             cells = [order[starts[k] : ends[k]] for k in some]
@@ -283,55 +319,91 @@ def _merged(table: pa.Table) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     return each, grams, counts
 
 
-def bucket_tops(table: pa.Table) -> pa.Table:
-    """What a bucket says to depth TOP: at level 8 the counts by (context, byte), at level k the log weights of what is below the nodes."""
+def bucket_tops(table: pa.Table, hot: dict[int, np.ndarray]) -> pa.Table:
+    """What a bucket says to the nodes above its subtrees: at level 8 the counts by (context, byte), at level k the log weights of what is below the nodes."""
     _, grams, counts = _merged(table)
-    short = (grams >> (8 * (DEEP - TOP + 1)) << 8) | (grams & 255)
-    node, up = np.unique(short, return_inverse=True)
-    out = [(8, node, np.bincount(up, counts))]
-    for k in range(8):
-        level = Level(grams, counts, k, DEEP, TOP + 1)
-        node, up = np.unique(level.above(level.top_nodes), return_inverse=True)
-        out.append((k, node, np.bincount(up, level.log_p)))
-    return pa.table([np.repeat([k for k, *_ in out], [len(n) for _, n, _ in out]).astype(np.int32), np.concatenate([n for _, n, _ in out]), np.concatenate([v for *_, v in out])], schema=TOPS)
-
-
-def top_mixture(level: np.ndarray, node: np.ndarray, value: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For each k: the nodes of depth TOP, sorted, and what p of a bit is there, as keep + rest * the p from depth TOP + 1 on."""
-    order = np.lexsort((node, level))
-    level, node, value = level[order], node[order], value[order]
-    part = lambda k: slice(*np.searchsorted(level, [k, k + 1]))
+    front, out = fronts(grams, hot), []
+    for f in np.unique(front):
+        g, c = grams[front == f], counts[front == f]
+        node, up = np.unique((contexts(g, f - 1) << 8) | (g & 255), return_inverse=True)
+        out.append((8, f - 1, node, np.bincount(up, c)))
+        for k in range(8):
+            level = Level(g, c, k, DEEP, f)
+            node, up = np.unique(level.above(level.top_nodes), return_inverse=True)
+            out.append((k, f - 1, node, np.bincount(up, level.log_p)))
+    lengths = [len(n) for *_, n, _ in out]
+    return pa.table([np.repeat([x[j] for x in out], lengths).astype(np.int32) for j in range(2)] + [np.concatenate([x[j] for x in out]) for j in (2, 3)], schema=TOPS)
+
+
+def _summed(nodes: list[np.ndarray], values: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    node, up = np.unique(np.concatenate(nodes), return_inverse=True)
+    return node, np.bincount(up, np.concatenate(values), len(node))
+
+
+def top_mixture(level: np.ndarray, depth: np.ndarray, node: np.ndarray, value: np.ndarray) -> list[dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+    """For each k and depth: the nodes above the buckets, sorted, and what p of a bit is there, as keep + rest * the p from the next depth on."""
+    part = {(k, d): (node[at], value[at]) for k in range(9) for d in range(DEEP) if len(at := np.flatnonzero((level == k) & (depth == d)))}
+    nothing = (np.zeros(0, np.int64), np.zeros(0))
+    counts = {}
+    for d in range(DEEP - 1, -1, -1):
+        shorter = lambda n: (n >> 16 << 8) | (n & 255)
+        deeper, n = counts.get(d + 1, nothing)
+        counts[d] = _summed([part.get((8, d), nothing)[0], shorter(deeper)], [part.get((8, d), nothing)[1], n])
     out = []
     for k in range(8):
-        x = Level(node[part(8)], value[part(8)], k, TOP, 0, (node[part(k)], value[part(k)]))
-        out.append((x.nodes, x.keep, x.rest))
+        above = lambda n: (n >> (k + 8) << k) | (n & ((1 << k) - 1))  # noqa: B023, E731
+        kept, children = {}, nothing
+        for d in range(DEEP - 1, -1, -1):
+            short, n = counts[d]
+            nodes, up = np.unique(short >> (8 - k), return_inverse=True)
+            total, ones = np.bincount(up, n, len(nodes)), np.bincount(up, n * ((short >> (7 - k)) & 1), len(nodes))
+            own, log_below = _kt_block(total - ones, ones), np.zeros(len(nodes))
+            for below, log_p in (part.get((k, d), nothing), (above(children[0]), children[1])):
+                np.add.at(log_below, np.searchsorted(nodes, below), log_p)
+            kept[d] = (nodes, Level._weight(own, log_below), (ones + 0.5) / (total + 1))
+            children = (nodes, np.logaddexp(own, log_below) - np.log(2))
+        found, keep, rest = {}, np.zeros(1), np.ones(1)
+        for d in range(DEEP):
+            nodes, w, p = kept[d]
+            at = np.searchsorted(kept[d - 1][0], above(nodes)) if d else np.zeros(len(nodes), int)
+            keep, rest = keep[at] + rest[at] * w * p, rest[at] * (1 - w)
+            found[d] = (nodes, keep, rest)
+        out.append(found)
     return out
 
 
-def gram_costs(grams: np.ndarray, counts: np.ndarray, top: list) -> np.ndarray:
+def gram_costs(grams: np.ndarray, counts: np.ndarray, top: list, hot: dict[int, np.ndarray]) -> np.ndarray:
     """Bits of each of a bucket's grams by the whole mixture."""
-    bits = np.zeros(len(grams))
-    for k in range(8):
-        x = Level(grams, counts, k, DEEP, TOP + 1)
-        nodes, keep, rest = top[k]
-        at = np.searchsorted(nodes, x.above(x.top_nodes))[x.at]
-        p = (keep[at] + rest[at] * x.keep)[x.row]
-        bits -= np.log2(np.where(x.bit, p, 1 - p))
+    front, bits = fronts(grams, hot), np.zeros(len(grams))
+    for f in np.unique(front):
+        here = np.flatnonzero(front == f)
+        for k in range(8):
+            x = Level(grams[here], counts[here], k, DEEP, f)
+            nodes, keep, rest = top[k][f - 1]
+            at = np.searchsorted(nodes, x.above(x.top_nodes))[x.at]
+            p = (keep[at] + rest[at] * x.keep)[x.row]
+            bits[here] -= np.log2(np.where(x.bit, p, 1 - p))
     return bits
 
 
-def tree_scores(docs: DataFrame) -> DataFrame:
+def tree_scores(docs: DataFrame, share: int = SHARE) -> DataFrame:
     """(doc_id, n_bytes, code_bits, bits_per_byte) for every row."""
     spark = docs.sparkSession
     n = BUCKETS * int(spark.conf.get("spark.sql.shuffle.partitions"))
     blobs = cut_lineage(keyed_texts(docs).mapInArrow(blob_batches, "blob long, ids array<long>, sizes array<long>, packed binary"))
-    grams = cut_lineage(blobs.mapInArrow(lambda b: gram_batches(b, n), "bucket int, blob long, grams binary, counts binary"))
-    found = grams.groupBy("bucket").applyInArrow(bucket_tops, "level int, node long, value double").groupBy("level", "node").agg(F.sum("value").alias("value")).toArrow()
-    top = spark.sparkContext.broadcast(top_mixture(*(found[c].to_numpy() for c in ("level", "node", "value"))) if found.num_rows else [])
+    length = blobs.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
+    often = blobs.mapInArrow(lambda b: frequent_batches(b, share), "depth int, context long, n long").groupBy("depth", "context").agg(F.sum("n").alias("n")).filter(F.col("n") >= length / share)
+    by_depth: dict[int, list[int]] = {}
+    for r in often.select("depth", "context").collect():  # never over `share` of each depth
+        by_depth.setdefault(r[0], []).append(r[1])
+    hot = {d: np.array(sorted(c), np.int64) for d, c in by_depth.items()}
+    grams = cut_lineage(blobs.mapInArrow(lambda b: gram_batches(b, n, hot), "bucket int, blob long, grams binary, counts binary"))
+    found = grams.groupBy("bucket").applyInArrow(lambda t: bucket_tops(t, hot), "level int, depth int, node long, value double").groupBy("level", "depth", "node").agg(F.sum("value").alias("value")).toArrow()
+    top = spark.sparkContext.broadcast(top_mixture(*(found[c].to_numpy() for c in ("level", "depth", "node", "value"))) if found.num_rows else [])
 
     def priced(table: pa.Table) -> pa.Table:
         each, all_grams, counts = _merged(table)
-        bits = gram_costs(all_grams, counts, top.value).astype(np.float32)
+        bits = gram_costs(all_grams, counts, top.value, hot).astype(np.float32)
         return pa.table([table["bucket"], table["blob"], pa.array([_packed(bits[np.searchsorted(all_grams, g)]) for g in each], pa.binary())], schema=COSTS)
 
     def scored(texts: pa.Table, costs: pa.Table) -> pa.Table:
@@ -339,7 +411,7 @@ def tree_scores(docs: DataFrame) -> DataFrame:
         for row in texts.to_pylist():
             keys, offsets = _blob_grams(row["sizes"], row["packed"])
             distinct, place = np.unique(keys, return_inverse=True)
-            order, ends = _buckets(distinct, n)
+            order, ends = _buckets(distinct, n, hot)
             bits = np.zeros(len(distinct))
             for bucket, c in zip(costs["bucket"].to_pylist(), costs["costs"].to_pylist(), strict=True):
                 bits[order[ends[bucket - 1] if bucket else 0 : ends[bucket]]] = _loose(c, np.float32)
