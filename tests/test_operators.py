@@ -92,8 +92,8 @@ def test_plan_against_the_greedy_loop(spark):
             parts[k][1] = parts.pop(k + 1)[1]
         want[m] = (anchor, len(parts), parts[0][0], parts[-1][1], sum(b - a for a, b in parts))
     table = spark.createDataFrame(chunks, "media_id long, chunk_index long, start_ms long, end_ms long, start_byte long, end_byte long, keyframe int")
-    clips = spark.createDataFrame([(m, 2500, 6500) for m in range(60)], "media_id long, clip_start_ms long, clip_end_ms long")
-    assert {r[0]: tuple(r)[1:] for r in media.range_plan(table, clips, 2, 100).collect()} == want
+    clips = spark.createDataFrame([(m, 0, 2500, 6500) for m in range(60)], "media_id long, clip_id long, clip_start_ms long, clip_end_ms long")
+    assert {r[0]: tuple(r)[2:] for r in media.range_plan(table, clips, 2, 100).collect()} == want
 
 
 def test_dense_ids_and_slices(spark):
