@@ -14,6 +14,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from tidemill.llm import queries as llm
 from tidemill.llm import op1_chunks, op2_suffixes, op3_ctw, op4_quality, op5_vptree, op6_tiles, op7_bpe, op8_mixing, op9_surrogates, op10_simhash
 
 
@@ -367,6 +368,11 @@ def test_near_vectors(vectors, threshold, sizes):
     assert links and {tuple(r) for r in op6_tiles.near_vectors(table, threshold, **sizes).collect()} == want
 
 
+def test_tiles_match_sql(spark, small):
+    rows = duckdb.sql(llm.oracle_sql()["op6_embedding_tiles"].replace("FROM embeddings", f"FROM '{small}/embeddings.parquet'")).fetchall()
+    assert sorted(map(tuple, llm.queries()["op6_embedding_tiles"](spark, small).select("vec_id", "class_id", "n_links", "group_id").collect())) == sorted(rows)
+
+
 def test_bounds_hold():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(300, 40)) * np.exp(rng.normal(size=(300, 40)))

@@ -75,5 +75,13 @@ def queries() -> dict:
     return {f.__name__: f for f in found}
 
 
+#: All pairs of vectors at the threshold, and what links lead to, one link at a time.
+NEAR = """WITH RECURSIVE v AS MATERIALIZED (SELECT vec_id, embedding, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
+p AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.95),
+g AS (SELECT vec_id AS node, vec_id AS root FROM v UNION SELECT p.b, g.root FROM g JOIN p ON p.a = g.node)
+SELECT v.vec_id, min(v.vec_id) OVER (PARTITION BY v.embedding) AS class_id, coalesce(l.n, 0) AS n_links, r.root AS group_id
+FROM v LEFT JOIN (SELECT a, count(*) AS n FROM p GROUP BY a) l ON l.a = v.vec_id JOIN (SELECT node, min(root) AS root FROM g GROUP BY node) r ON r.node = v.vec_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_embedding_tiles": NEAR}
