@@ -9,7 +9,7 @@ split between the probing and the probed side. Every hit is verified. Groups are
 
 Defined results: null texts count as empty; a text without any word, or a null doc_id, is nobody's copy; rows of one doc_id are one
 document; identical fingerprints are one node, so a hot passage copied a million times costs one probe; an empty table gives an empty
-result; extra columns are ignored. Ties of a bit's votes count as 0. The least doc_id of a group is the one to keep.
+result; very long texts count with all their words; extra columns are ignored, also those whose names differ from a needed one's in case alone. Ties of a bit's votes count as 0. The least doc_id of a group is the one to keep.
 """
 
 from __future__ import annotations

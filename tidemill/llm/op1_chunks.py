@@ -7,7 +7,9 @@ chunk: `passages`, the operator, divides a span where the first holder or keep c
 that without the parts not to be kept each chunk of the corpus is still there once.
 
 Defined results: null or empty texts, and rows whose doc_id is null, give no row; repeated rows are occurrences like any other (a
-text given twice is repeated) and fold into one span of their doc_id; an empty table gives an empty result; extra columns are ignored.
+text given twice is repeated) and fold into one span of their doc_id, and so do different texts of one doc_id, whose chunks count as one text's; very long texts are chunked whole, a
+task holds one at a time; of equal chunks the one in the least doc_id, and there the first, is kept; an empty table gives an empty result; extra columns are ignored, also those whose
+names differ from a needed one's in case alone.
 The digest has 64 bits; for a span of two or more chunks to be wrong, all its digests would have to collide.
 """
 
