@@ -43,7 +43,7 @@ def test_other_stores_and_retries(spark):
             raise payloads.Passing("busy")
         return b"x"
 
-    assert payloads.retried(shaky, 3, 40, slept.append) == b"x" and slept == [0.053, 0.103]
+    assert payloads.retried(shaky, 3, 40, slept.append) == b"x" and slept == pytest.approx([0.053, 0.103])
     with pytest.raises(payloads.Passing):
         payloads.retried(lambda: (_ for _ in ()).throw(payloads.Passing("no")), 2, sleep=slept.append)
     assert [payloads.passing(s) for s in (200, 404, 408, 429, 500, 503, 600)] == [False, False, True, True, True, True, False] and payloads.delay(9) == 1.0
@@ -291,7 +291,7 @@ def test_transforms(spark):
     for bad in ("def f(a, b):\n return a", "def f(a, *b):\n return a", "def f(a=b''):\n return a", "def f(a):\n x = a\n return x", "def f(a):\n return a * 2", "def f(a):\n return open", "def f(a):\n return b", "x = 1", "def f(a):\n return 'text'"):
         with pytest.raises(ValueError):
             transforms.Transform.of_source(bad)
-    assert transforms.growth(10, 20) == 1.2 and transforms.growth(0, 5, 1.5) == 1.5 and transforms.prefetch(9, 4) == 1 and transforms.prefetch(1, 4) == 4
+    assert transforms.growth(10, 20) == pytest.approx(1.2) and transforms.growth(0, 5, 1.5) == 1.5 and transforms.prefetch(9, 4) == 1 and transforms.prefetch(1, 4) == 4
     clips = spark.createDataFrame([("a", b"1234"), ("b", b"5678")], "clip_id string, payload binary")
     assert transforms.same_clips(clips, clips, 4).count() == 2
     with pytest.raises(ValueError):

@@ -283,7 +283,7 @@ def test_controller():
     p = control.PROFILES["balanced"]
     assert control.memory_limit("balanced", 10, 16 << 30) == 11 << 30 and control.memory_limit("safe", 5, 1 << 30, 7) == 12 and control.memory_limit("safe", 5, None, 7) == 12 + (1 << 30)
     c, now, said = control.Controller(p), control.Knobs(2, 64, 1), []
-    for _ in range(30):
+    for _ in range(45):
         now, why, press = c.tick(now, 0.2, 0.3, 0.3)
         said.append(why)
         assert p.rails_ahead[0] <= now.ahead <= p.rails_ahead[1] and p.rails_queue[0] <= now.queue <= p.rails_queue[1] and p.rails_leases[0] <= now.leases <= p.rails_leases[1] and 0 <= press <= 1

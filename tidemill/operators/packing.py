@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.operators import manifest
+from tidemill.plans.lineage import empty_files, stored
 
 BLOCK = 512
 META, SHARDS = "_meta", "shards"
@@ -87,8 +88,6 @@ def pack(objects: DataFrame, out: str, shard_mb: int = 512, labels: str = "auto"
     plan = manifest.labelled(plan, F.col("path"), "imagefolder" if require_labels and mode != "none" else mode)
     if plan.isEmpty():
         raise ValueError("nothing to pack")
-    from tidemill.plans.lineage import stored
-
     plan = stored(plan)
     root = re.sub("^file:(//)?", "", out).rstrip("/")
     count = plan.agg(F.max("shard")).first()[0] + 1
@@ -136,6 +135,8 @@ def pack_folder(spark: SparkSession, base: str, out: str, **options) -> DataFram
     """pack for the files under a folder of any file system that Spark reads; paths count from it."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(base)
     root = re.sub("^file:(//)?", "", base).rstrip("/")
+    if gone := [p for p in empty_files(spark, base) if not re.match(f"({META}|{SHARDS})/", re.sub("^file:(//)?", "", p)[len(root) + 1 :])]:
+        raise ValueError(f"an empty object can't be packed: {gone[0]}")
     return pack(files.select(F.expr(f"substring(regexp_replace(path, '^file:(//)?', ''), {len(root) + 2})").alias("path"), F.col("content").alias("payload")), out, **options)
 
 

@@ -34,3 +34,14 @@ def stored(df: DataFrame) -> DataFrame:
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
+
+
+def empty_files(spark: SparkSession, base: str, recursive: bool = True) -> list[str]:
+    """The files below a folder that have no bytes, which Spark's own listing leaves out. Names that begin with . or _ don't count, as there."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(base)
+    found, each = [], at.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(at, recursive)
+    while each.hasNext():
+        f = each.next()
+        if f.getLen() == 0 and not re.search("/[._][^/]*$", path := f.getPath().toString()):
+            found.append(path)
+    return found

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.operators import manifest
-from tidemill.plans.lineage import stored
+from tidemill.plans.lineage import empty_files, stored
 from tidemill.sources.links import checked_key, intent_key, parsed
 from tidemill.sources.tsv import read_canonical
 
@@ -126,19 +126,21 @@ class Store:
 
 
 def folder(spark: SparkSession, base: str, recursive: bool = True, labels: str = "none") -> DataFrame:
-    """The manifest of the files under a folder, by path, with their lengths. Where a folder has been packed, it is the packed manifest; own metadata and shards right below the folder are no samples; a folder without a file is an error."""
+    """The manifest of the files under a folder, by path, with their lengths (none for an empty file). Where a folder has been packed, it is the packed manifest; own metadata and shards right below the folder are no samples; a folder without a file is an error."""
     root = re.sub("^file:(//)?", "", base).rstrip("/")
     at = spark._jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/_meta/manifest.tsv")
     if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
         return read_canonical(spark, f"{base.rstrip('/')}/_meta/manifest.tsv")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).load(base).select(F.col("path").alias("location"), F.col("length").alias("byte_length"))
+    if empty := empty_files(spark, base, recursive):
+        files = files.unionByName(spark.createDataFrame([(p, None) for p in empty], "location string, byte_length long"))
     inner = F.expr(f"substring(regexp_replace(location, '^file:(//)?', ''), {len(root) + 2})")
     kept = files.withColumn("inner", inner).filter(~F.col("inner").rlike("^(_meta|shards)(/|$)"))
     ids = manifest.with_dense_ids(kept, "location")
     if ids.isEmpty():
         raise ValueError(f"no file below {base}")
     named = manifest.labelled(ids, F.col("inner"), labels)
-    return named.select("sample_id", "location", F.lit(0).cast("long").alias("byte_offset"), "byte_length", manifest.label_hint(F.col("label_id"), F.col("label")).alias("decode_hint"))
+    return named.select("sample_id", "location", F.when(F.col("byte_length").isNotNull(), 0).cast("long").alias("byte_offset"), "byte_length", manifest.label_hint(F.col("label_id"), F.col("label")).alias("decode_hint"))
 
 
 def synthetic(spark: SparkSession, n: int, size: int) -> DataFrame:
