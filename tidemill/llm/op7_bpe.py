@@ -44,7 +44,7 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 SPLIT = regex.compile(r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 NEVER = 1 << 60
 CELLS, LONG = 1 << 18, 256  # bytes of words that go through the table together, and of one that goes by itself
-MOST_WORDS = 600_000  # kept in a worker; then it begins anew
+MOST_WORDS = 150_000  # kept in a worker; then it begins anew
 ENCODED = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("token_ids", pa.list_(pa.int32())), ("round_trip", pa.bool_())])
 
 
@@ -55,115 +55,33 @@ def printable_bytes() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
-class Automaton:
-    """labels: the bytes of each token id; merges: (a, b, ab) as ids, in order of their rank."""
+class Table:
+    """The compiled automaton: arrays alone, as they are broadcast.
 
-    def __init__(self, labels: dict[int, bytes], merges: list[tuple[int, int, int]]):
-        self.labels, self.cut = labels, {}
-        self.left: dict[int, tuple[int, int]] = {}
-        self.right: dict[int, tuple[int, int]] = {}
-        for rank, (a, b, ab) in enumerate(merges):
-            made = all(x in self.left or len(labels[x]) == 1 for x in (a, b))
-            if ab not in self.left and made and self.arc(a, b):  # a merge that can never happen has no gadget
-                self.cut[a, b] = rank
-                self.left[ab], self.right[ab] = (a, rank), (b, rank)
-        used = {i for i, s in labels.items() if len(s) == 1 or i in self.left}
-        self._compile(sorted(used))
-        self.digest = xxhash.xxh3_64_intdigest(repr((sorted(labels.items()), merges)).encode())
-        self._trie(sorted(used))
+    runs and run_ends: sorted by (state's place << 32 | first place that has no arc there), how far such places reach up to here; places: of each label as a state
+    and as an arc; keys, nodes, last: the trie of reversed labels.
+    """
 
-    def _compile(self, used: list[int]) -> None:
-        """The table: for the state at place k of the right tree, starts[first[k]:first[k + 1]] and ends: the runs of places in the left tree that it has no arc to."""
-        self.left_place, left_end = self._walk(self.left, used)
-        self.right_place, right_end = self._walk(self.right, used)
-        rows, tops, los, his = [], [], [], []
-        for (x, p), rank in self.cut.items():
-            rows.append(self.right_place[x])
-            tops.append(right_end(x, rank + 1))
-            los.append(self.left_place[p])
-            his.append(left_end(p, rank))
-        low, top = np.array(rows, np.int64), np.array(tops, np.int64)
-        height = top - low
-        which = np.repeat(np.arange(len(low)), height)
-        row = np.arange(len(which)) - np.repeat(np.cumsum(height) - height, height) + low[which]
-        lo, hi = np.array(los, np.int64)[which], np.array(his, np.int64)[which]
-        order = np.lexsort((lo, row))
-        row, lo, hi = row[order], lo[order], hi[order]
-        far = np.maximum.accumulate((row << 32) + hi) - (row << 32) if len(row) else hi  # runs may lie within each other
-        self.starts, self.ends = array("i", lo.astype(np.int32).tobytes()), array("i", far.astype(np.int32).tobytes())
-        self.first = np.searchsorted(row, np.arange(max(self.right_place.values(), default=0) + 2)).tolist()
-        self.runs, self.run_ends = (row << 32) + lo, far
-        known = np.full((2, max(self.labels) + 1), -1, np.int64)
-        for k, of in enumerate((self.right_place, self.left_place)):
-            known[k, list(of)] = list(of.values())
-        self.places = known
+    def __init__(self, runs: np.ndarray, run_ends: np.ndarray, places: np.ndarray, keys: np.ndarray, nodes: np.ndarray, last: np.ndarray, labels: dict[int, bytes]):
+        self.runs, self.run_ends, self.places, self.keys, self.nodes, self.last = runs, run_ends, places, keys, nodes, last
+        self.labels = [labels.get(i, b"") for i in range(max(labels) + 1)]
+        self.size = np.array([len(x) for x in self.labels])
+        self.digest = xxhash.xxh3_64_intdigest(b"".join(x.tobytes() for x in (runs, run_ends, places, keys, nodes, last)) + b"\0".join(self.labels))
+        self.scalar: tuple | None = None
 
-    def _trie(self, used: list[int]) -> None:
-        """The labels from behind, as a trie: sorted keys (node * 256 + byte), the nodes they lead to, and the label that ends at each node, or -1."""
-        following, last = {}, [-1]
-        for i in used:
-            node = 0
-            for byte in reversed(self.labels[i]):
-                key = node * 256 + byte
-                if key not in following:
-                    following[key] = len(last)
-                    last.append(-1)
-                node = following[key]
-            if last[node] < 0:
-                last[node] = i
-        self.following: dict[int, int] | None = None
-        self.keys = np.array(sorted(following), np.int64)
-        self.nodes, self.last = np.array([following[k] for k in self.keys.tolist()], np.int64), np.array(last, np.int64)
-        self.size = np.zeros(max(self.labels) + 1, np.int64)
-        self.size[list(self.labels)] = [len(x) for x in self.labels.values()]
-
-    @staticmethod
-    def _walk(parents: dict[int, tuple[int, int]], used: list[int]) -> tuple[dict[int, int], Callable[[int, int], int]]:
-        """Each label's place in a walk through the tree of its parents, latest child first; a function of (label, rank): one past the last place of the label and its children made at this rank or later."""
-        children: dict[int, list[tuple[int, int]]] = {}
-        for child, (parent, rank) in parents.items():
-            children.setdefault(parent, []).append((rank, child))
-        for c in children.values():
-            c.sort(reverse=True)
-        place, end, todo = {}, {}, [(i, False) for i in reversed(used) if i not in parents]
-        while todo:
-            i, done = todo.pop()
-            if done:
-                end[i] = len(place)
-                continue
-            place[i] = len(place)
-            todo.append((i, True))
-            todo += [(c, False) for _, c in reversed(children.get(i, []))]
-
-        def past(label: int, rank: int) -> int:
-            of = children.get(label, [])
-            k = bisect_right(of, -rank, key=lambda c: -c[0])
-            return end[of[k - 1][1]] if k else place[label] + 1
-
-        return place, past
+    def _scalars(self) -> tuple:
+        """The same for one step at a time: the trie as a dictionary, and each state's runs."""
+        if self.scalar is None:
+            row = self.runs >> 32
+            self.scalar = (dict(zip(self.keys.tolist(), self.nodes.tolist(), strict=True)), array("i", (self.runs & 0xFFFFFFFF).astype(np.int32).tobytes()), array("i", self.run_ends.tobytes()), np.searchsorted(row, np.arange(int(self.places.max(initial=0)) + 2)).tolist(), self.last.tolist(), self.places.tolist())
+        return self.scalar
 
     def follows(self, u: int, v: int) -> bool:
-        """The table's answer: whether state u has an arc v."""
-        row, at = self.right_place[u], self.left_place[v]
-        first = self.first[row]
-        k = bisect_right(self.starts, at, first, self.first[row + 1])
-        return k == first or self.ends[k - 1] <= at
-
-    def arc(self, u: int, v: int) -> bool:
-        """Whether label v may follow label u, by what was cut so far."""
-        x, x_until = u, NEVER
-        while True:
-            p, p_until = v, NEVER
-            while True:
-                at = self.cut.get((x, p), NEVER)
-                if at != NEVER and at < x_until and at <= p_until:
-                    return False
-                if p not in self.left:
-                    break
-                p, p_until = self.left[p]
-            if x not in self.right:
-                return True
-            x, x_until = self.right[x]
+        """Whether state u has an arc v."""
+        _, starts, ends, first, _, places = self._scalars()
+        row, at = places[0][u], places[1][v]
+        k = bisect_right(starts, at, first[row], first[row + 1])
+        return k == first[row] or ends[k - 1] <= at
 
     def encode(self, word: bytes) -> list[int]:
         return self.encode_all([word])[0].tolist()
@@ -191,9 +109,8 @@ class Automaton:
 
     def _encode_long(self, word: bytes) -> list[int]:
         """One word, byte by byte."""
-        if self.following is None:
-            self.following = dict(zip(self.keys.tolist(), self.nodes.tolist(), strict=True))
-        after, follow, last = [-1] * (len(word) + 1), self.following.get, self.last.tolist()
+        following, _, _, _, last, _ = self._scalars()
+        after, follow = [-1] * (len(word) + 1), following.get
         for i in range(1, len(word) + 1):
             node, j = 0, i
             while j > 0 and (node := follow(node * 256 + word[j - 1], 0)):
@@ -222,7 +139,7 @@ class Automaton:
                 key = node * 256 + text[alive, j]
                 k = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
                 there = self.keys[k] == key
-                alive, node = alive[there], self.nodes[k[there]]
+                alive, node = alive[there], self.nodes[k[there]].astype(np.int64)
                 if not len(alive):
                     break
                 label = self.last[node]
@@ -250,12 +167,107 @@ class Automaton:
 
     def _all_follow(self, u: np.ndarray, v: np.ndarray) -> np.ndarray:
         """`follows` for many at once."""
-        row, at = self.places[0, u], self.places[1, v]
+        row, at = self.places[0, u].astype(np.int64), self.places[1, v]
         k = np.searchsorted(self.runs, (row << 32) + at, side="right") - 1
         inside = (k >= 0) & (self.runs[k] >> 32 == row)
         return ~(inside & (self.run_ends[k] > at))
 
 
+class Automaton:
+    """labels: the bytes of each token id; merges: (a, b, ab) as ids, in order of their rank."""
+
+    def __init__(self, labels: dict[int, bytes], merges: list[tuple[int, int, int]]):
+        self.labels, self.cut = labels, {}
+        self.left: dict[int, tuple[int, int]] = {}
+        self.right: dict[int, tuple[int, int]] = {}
+        for rank, (a, b, ab) in enumerate(merges):
+            made = all(x in self.left or len(labels[x]) == 1 for x in (a, b))
+            if ab not in self.left and made and self.arc(a, b):  # a merge that can never happen has no gadget
+                self.cut[a, b] = rank
+                self.left[ab], self.right[ab] = (a, rank), (b, rank)
+        used = {i for i, s in labels.items() if len(s) == 1 or i in self.left}
+        self._compile(sorted(used))
+    def _compile(self, used: list[int]) -> None:
+        """The table: for the state at place k of the right tree, starts[first[k]:first[k + 1]] and ends: the runs of places in the left tree that it has no arc to."""
+        self.left_place, left_end = self._walk(self.left, used)
+        self.right_place, right_end = self._walk(self.right, used)
+        rows, tops, los, his = [], [], [], []
+        for (x, p), rank in self.cut.items():
+            rows.append(self.right_place[x])
+            tops.append(right_end(x, rank + 1))
+            los.append(self.left_place[p])
+            his.append(left_end(p, rank))
+        low, top = np.array(rows, np.int64), np.array(tops, np.int64)
+        height = top - low
+        which = np.repeat(np.arange(len(low)), height)
+        row = np.arange(len(which)) - np.repeat(np.cumsum(height) - height, height) + low[which]
+        lo, hi = np.array(los, np.int64)[which], np.array(his, np.int64)[which]
+        order = np.lexsort((lo, row))
+        row, lo, hi = row[order], lo[order], hi[order]
+        far = np.maximum.accumulate((row << 32) + hi) - (row << 32) if len(row) else hi  # runs may lie within each other
+        places = np.full((2, max(self.labels) + 1), -1, np.int32)
+        for k, of in enumerate((self.right_place, self.left_place)):
+            places[k, list(of)] = list(of.values())
+        self.table = Table((row << 32) + lo, far.astype(np.int32), places, *self._trie(used), self.labels)
+
+    def _trie(self, used: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The labels from behind, as a trie: sorted keys (node * 256 + byte), the nodes they lead to, and the label that ends at each node, or -1."""
+        following, last = {}, [-1]
+        for i in used:
+            node = 0
+            for byte in reversed(self.labels[i]):
+                key = node * 256 + byte
+                if key not in following:
+                    following[key] = len(last)
+                    last.append(-1)
+                node = following[key]
+            if last[node] < 0:
+                last[node] = i
+        keys = sorted(following)
+        return np.array(keys, np.int64), np.array([following[k] for k in keys], np.int32), np.array(last, np.int32)
+
+    @staticmethod
+    def _walk(parents: dict[int, tuple[int, int]], used: list[int]) -> tuple[dict[int, int], Callable[[int, int], int]]:
+        """Each label's place in a walk through the tree of its parents, latest child first; a function of (label, rank): one past the last place of the label and its children made at this rank or later."""
+        children: dict[int, list[tuple[int, int]]] = {}
+        for child, (parent, rank) in parents.items():
+            children.setdefault(parent, []).append((rank, child))
+        for c in children.values():
+            c.sort(reverse=True)
+        place, end, todo = {}, {}, [(i, False) for i in reversed(used) if i not in parents]
+        while todo:
+            i, done = todo.pop()
+            if done:
+                end[i] = len(place)
+                continue
+            place[i] = len(place)
+            todo.append((i, True))
+            todo += [(c, False) for _, c in reversed(children.get(i, []))]
+
+        def past(label: int, rank: int) -> int:
+            of = children.get(label, [])
+            k = bisect_right(of, -rank, key=lambda c: -c[0])
+            return end[of[k - 1][1]] if k else place[label] + 1
+
+        return place, past
+
+    def arc(self, u: int, v: int) -> bool:
+        """Whether label v may follow label u, by what was cut so far."""
+        x, x_until = u, NEVER
+        while True:
+            p, p_until = v, NEVER
+            while True:
+                at = self.cut.get((x, p), NEVER)
+                if at != NEVER and at < x_until and at <= p_until:
+                    return False
+                if p not in self.left:
+                    break
+                p, p_until = self.left[p]
+            if x not in self.right:
+                return True
+            x, x_until = self.right[x]
+
+
 def read_vocabulary(path: str) -> Automaton:
     with open(path, encoding="utf-8") as f:
         model = json.load(f)["model"]
@@ -268,9 +280,9 @@ def read_vocabulary(path: str) -> Automaton:
 class Encoder(dict):
     """Words to their numbers; ids[start[k] : start[k + 1]] are the tokens of word k once `settle` was called."""
 
-    def __init__(self, automaton: Automaton):
+    def __init__(self, table: Table):
         super().__init__()
-        self.automaton = automaton
+        self.table = table
         self.forget()
 
     def forget(self) -> None:
@@ -284,7 +296,7 @@ class Encoder(dict):
         return k
 
     def settle(self) -> None:
-        ids, counts = self.automaton.encode_all(self.fresh)
+        ids, counts = self.table.encode_all(self.fresh)
         self.ids = np.concatenate([self.ids, ids.astype(np.int32)])
         self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(counts)])
         self.fresh = []
@@ -301,18 +313,18 @@ class Encoder(dict):
 
 @lru_cache(maxsize=1)
 def encoder(path: str) -> Encoder:
-    return Encoder(read_vocabulary(path))
+    return Encoder(read_vocabulary(path).table)
 
 
-KEPT: list[tuple[Automaton, Encoder]] = []  # a worker's, with the automaton that was broadcast to it
+KEPT: list[Encoder] = []  # a worker's
 
 
-def shipped(shared: Broadcast) -> Encoder:
-    """The worker's encoder for the broadcast automaton; the words that it knows stay from task to task."""
-    automaton = shared.value
-    if not KEPT or KEPT[0][0].digest != automaton.digest:
-        KEPT[:] = [(automaton, Encoder(automaton))]
-    return KEPT[0][1]
+def shipped(shared: Broadcast, digest: int) -> Encoder:
+    """The worker's encoder for the table that was broadcast, which is loaded only if the worker has another or none; the words that it knows stay from task to task."""
+    if not KEPT or KEPT[0].table.digest != digest:
+        KEPT.clear()
+        KEPT.append(Encoder(shared.value))
+    return KEPT[0]
 
 
 def encode_text(text: str, path: str = VOCABULARY) -> list[int]:
@@ -320,13 +332,13 @@ def encode_text(text: str, path: str = VOCABULARY) -> list[int]:
 
 
 def decode(ids, path: str = VOCABULARY) -> bytes:
-    labels = encoder(path).automaton.labels
+    labels = encoder(path).table.labels
     return b"".join([labels[i] for i in ids])
 
 
 def encode_batches(batches: Iterator[pa.RecordBatch], e: Encoder) -> Iterator[pa.RecordBatch]:
     """(doc_id, text, ..) to ENCODED and the other columns."""
-    labels, size = e.automaton.labels, e.automaton.size
+    labels, size = e.table.labels, e.table.size
     for whole in batches:
         for batch in pieces(whole, 2 << 20):
             texts = batch.column(1).to_pylist()
@@ -347,8 +359,9 @@ def bpe_encoded(docs: DataFrame, path: str = VOCABULARY, also: tuple[str, ...] =
     narrow = picked(docs, "doc_id", "text", *also)
     texts = narrow.select(*keyed_columns(), *also)
     more = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in texts.schema.fields[2:])
-    shared = docs.sparkSession.sparkContext.broadcast(encoder(path).automaton)
-    return texts.mapInArrow(lambda b: encode_batches(b, shipped(shared)), f"doc_id long, n_bytes long, n_tokens long, token_ids array<int>, round_trip boolean{more}")
+    table = encoder(path).table
+    shared, digest = docs.sparkSession.sparkContext.broadcast(table), table.digest
+    return texts.mapInArrow(lambda b: encode_batches(b, shipped(shared, digest)), f"doc_id long, n_bytes long, n_tokens long, token_ids array<int>, round_trip boolean{more}")
 
 
 def keyed_columns() -> list:
@@ -358,10 +371,11 @@ def keyed_columns() -> list:
 def decoded(encoded: DataFrame, path: str = VOCABULARY) -> DataFrame:
     """(doc_id, text) from (doc_id, token_ids)."""
 
-    shared = encoded.sparkSession.sparkContext.broadcast(encoder(path).automaton)
+    table = encoder(path).table
+    shared, digest = encoded.sparkSession.sparkContext.broadcast(table), table.digest
 
     def back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        labels = shipped(shared).automaton.labels
+        labels = shipped(shared, digest).table.labels
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([b"".join([labels[i] for i in x or []]).decode("utf-8", "replace") for x in b.column(1).to_pylist()], pa.string())], names=["doc_id", "text"])
 

@@ -269,7 +269,7 @@ CUES = [*TITLES, "name is ", "heiße ", "m'appelle ", "me llamo ", "Me llamo ",
 SURROGATES = {"email": _email, "secret": _secret, "ip": _ip, "card": _card, "phone": _phone, "national": lambda t, k: permuted(t, "national", k, BY_WORD), "iban": lambda t, k: t[:2] + permuted(t[2:], f"iban{t[:2]}", k, BY_ALNUM)}
 
 
-@lru_cache(maxsize=100_000)
+@lru_cache(maxsize=20_000)
 def surrogate(kind: str, text: str, key: bytes, gender: str = "") -> str:
     """Of a name's words the first is a given name if there are two, or if `gender` says so."""
     if kind != "name":
