@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tidemill.operators.media import augmentation
 
+OUT = 16 << 20  # bytes of pixels in one batch to Spark
 MEAN, STD = (0.485, 0.456, 0.406), (0.229, 0.224, 0.225)
 
 
@@ -154,11 +155,23 @@ def pixels(rows: DataFrame, o: Options, run: int, seed: int, epoch: int, payload
     chosen = augmentation(rows, run, seed, epoch, height, width, o.crop or min(height, width), o.flip, o.jitter)
     both = rows.select("sample_id", "label_id", payload).join(chosen, "sample_id")
 
+    def batch(rows: list[dict], made: list[np.ndarray]) -> pa.RecordBatch:
+        columns = [pa.array([r["sample_id"] for r in rows], pa.int64()), pa.array([r["label_id"] for r in rows], pa.int64()), pa.array([x.shape[1] for x in made], pa.int32()), pa.array([x.shape[2] for x in made], pa.int32())]
+        values = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(x.size for x in made)]), pa.int32()), pa.array(np.concatenate([x.ravel() for x in made])))
+        return pa.RecordBatch.from_arrays([*columns, values], names=["sample_id", "label_id", "height", "width", "pixels"])
+
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            some, out, held = [], [], 0
             for r in b.to_pylist():
-                x = prepared(decoded(r[payload]), o, r)
-                yield pa.RecordBatch.from_arrays([pa.array([r["sample_id"]], pa.int64()), pa.array([r["label_id"]], pa.int64()), pa.array([x.shape[1]], pa.int32()), pa.array([x.shape[2]], pa.int32()), pa.array([x.ravel()], pa.list_(pa.float32()))], names=["sample_id", "label_id", "height", "width", "pixels"])
+                some.append(r)
+                out.append(prepared(decoded(r[payload]), o, r))
+                held += out[-1].nbytes
+                if held >= OUT:
+                    yield batch(some, out)
+                    some, out, held = [], [], 0
+            if some:
+                yield batch(some, out)
 
     return both.mapInArrow(made, "sample_id long, label_id long, height int, width int, pixels array<float>")
 
