@@ -319,6 +319,22 @@ def _merged(table: pa.Table) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     return each, grams, counts
 
 
+def each_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The buckets of a partition that is sorted by them."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        bucket = b.column(0).to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(bucket)]
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            if held and lo < hi and held[0].column(0)[0].as_py() != bucket[lo]:
+                yield pa.Table.from_batches(held)
+                held = []
+            if lo < hi:
+                held.append(b.slice(lo, hi - lo))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def bucket_tops(table: pa.Table, hot: dict[int, np.ndarray]) -> pa.Table:
     """What a bucket says to the nodes above its subtrees: at level 8 the counts by (context, byte), at level k the log weights of what is below the nodes."""
     _, grams, counts = _merged(table)
@@ -397,8 +413,9 @@ def tree_scores(docs: DataFrame, share: int = SHARE) -> DataFrame:
     for r in often.select("depth", "context").collect():  # never over `share` of each depth
         by_depth.setdefault(r[0], []).append(r[1])
     hot = {d: np.array(sorted(c), np.int64) for d, c in by_depth.items()}
-    grams = cut_lineage(blobs.mapInArrow(lambda b: gram_batches(b, n, hot), "bucket int, blob long, grams binary, counts binary"))
-    found = grams.groupBy("bucket").applyInArrow(lambda t: bucket_tops(t, hot), "level int, depth int, node long, value double").groupBy("level", "depth", "node").agg(F.sum("value").alias("value")).toArrow()
+    grams = blobs.mapInArrow(lambda b: gram_batches(b, n, hot), "bucket int, blob long, grams binary, counts binary")
+    grams = cut_lineage(grams.repartition(n // BUCKETS, "bucket").sortWithinPartitions("bucket"))  # stored by bucket: what goes through them twice is shuffled once
+    found = grams.mapInArrow(lambda b: (x for t in each_bucket(b) for x in bucket_tops(t, hot).to_batches()), "level int, depth int, node long, value double").groupBy("level", "depth", "node").agg(F.sum("value").alias("value")).toArrow()
     top = spark.sparkContext.broadcast(top_mixture(*(found[c].to_numpy() for c in ("level", "depth", "node", "value"))) if found.num_rows else [])
 
     def priced(table: pa.Table) -> pa.Table:
@@ -419,6 +436,6 @@ def tree_scores(docs: DataFrame, share: int = SHARE) -> DataFrame:
             rows.append(batch_of(SCORES, row["ids"], row["sizes"], sums[offsets[1:]] - sums[offsets[:-1]]))
         return pa.Table.from_batches(rows, schema=SCORES)
 
-    costs = grams.groupBy("bucket").applyInArrow(priced, "bucket int, blob long, costs binary")
+    costs = grams.mapInArrow(lambda b: (x for t in each_bucket(b) for x in priced(t).to_batches()), "bucket int, blob long, costs binary")
     scores = blobs.groupBy("blob").cogroup(costs.groupBy("blob")).applyInArrow(scored, "doc_id long, n_bytes long, code_bits double")
     return scores.withColumn("bits_per_byte", F.expr("code_bits / nullif(n_bytes, 0)"))
