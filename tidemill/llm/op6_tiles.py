@@ -38,7 +38,7 @@ from .graph import components
 from .vectors import by_dimension, distinct_vectors, matrix, sample_rows, unit_rows, usable
 
 THRESHOLD, SAMPLE, CELL_ROWS, MOST_CELLS, BLOCK_ROWS, SLICE = 0.95, 16_384, 1024, 2048, 2048, 1024
-ROUNDING, TURN = 1e-9, 1e-6  # of products and of angles
+ROUNDING, TURN, LOOK = 1e-9, 1e-6, 1e-5  # of products, of angles, and of a first look in float32
 BLOCKS = pa.schema([("dim", pa.int32()), ("cell", pa.int32()), ("visiting", pa.bool_()), ("block", pa.int32()), ("ids", pa.binary()), ("counts", pa.binary()), ("vectors", pa.binary())])
 LINKS = pa.schema([("node", pa.int64()), ("links", pa.int64()), ("low", pa.int64())])
 
@@ -52,6 +52,9 @@ def quantised(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
 
 
 def integer_products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Exact products of int8 rows: float32 where the sums are short enough, else slices added up in float64."""
+    if a.shape[1] <= SLICE:
+        return a.astype(np.float32) @ b.astype(np.float32).T
     out = np.zeros((len(a), len(b)))
     for at in range(0, a.shape[1], SLICE):
         out += a[:, at : at + SLICE].astype(np.float32) @ b[:, at : at + SLICE].astype(np.float32).T
@@ -59,24 +62,30 @@ def integer_products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def tile(a: np.ndarray, b: np.ndarray, threshold: float, same: bool) -> tuple[np.ndarray, np.ndarray, int]:
-    """Rows of a and of b of the pairs at or over the threshold, and how many were computed again."""
+    """Rows of a and of b of the pairs at or over the threshold, and how many were computed again.
+
+    A first look compares each row's products with what the row's largest bound leaves of the threshold; the pair's own bound is for the few that pass.
+    """
     qa, sa, na, ea = quantised(a)
     qb, sb, nb, eb = quantised(b)
     rows, cols, again = [], [], 0
+    least = (threshold - (na * eb.max() + (nb + eb).max() * ea) - LOOK) / sa
     for at in range(0, len(a), 512):
-        part = slice(at, at + 512)
-        bound = na[part, None] * eb + (nb + eb) * ea[part, None] + ROUNDING
-        product = integer_products(qa[part], qb) * (sa[part, None] * sb)
-        maybe, sure = product + bound >= threshold, product - bound >= threshold
+        product = integer_products(qa[at : at + 512], qb)
+        look = product * sb.astype(np.float32) >= least[at : at + 512, None].astype(np.float32)
         if same:
-            maybe &= np.arange(len(b)) > np.arange(at, at + len(product))[:, None]
-        i, j = np.nonzero(maybe & ~sure)
-        again += len(i)
-        for k in range(0, len(i), 1 << 16):
-            p, q = i[k : k + (1 << 16)], j[k : k + (1 << 16)]
-            maybe[p, q] = np.einsum("ij,ij->i", a[p + at], b[q]) >= threshold
-        i, j = np.nonzero(maybe)
-        rows.append((i + at).astype(np.int32)), cols.append(j.astype(np.int32))
+            look &= np.arange(len(b)) > np.arange(at, at + len(product))[:, None]
+        i, j = np.nonzero(look)
+        value, i = product[i, j].astype(np.float64), i + at
+        value *= sa[i] * sb[j]
+        bound = na[i] * eb[j] + (nb[j] + eb[j]) * ea[i] + ROUNDING
+        keep, doubt = value - bound >= threshold, (value + bound >= threshold) & (value - bound < threshold)
+        unsure = np.flatnonzero(doubt)
+        again += len(unsure)
+        for k in range(0, len(unsure), 1 << 16):
+            p = unsure[k : k + (1 << 16)]
+            keep[p] = np.einsum("ij,ij->i", a[i[p]], b[j[p]]) >= threshold
+        rows.append(i[keep].astype(np.int32)), cols.append(j[keep].astype(np.int32))
     return np.concatenate(rows), np.concatenate(cols), again
 
 
