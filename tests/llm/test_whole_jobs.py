@@ -4,11 +4,12 @@ from collections import defaultdict
 from functools import lru_cache
 from itertools import product
 from math import lgamma, log
+from pathlib import Path
 
 import numpy as np
 import pytest
 
-from tidemill.llm import op1_chunks, op3_ctw, op9_surrogates, queries
+from tidemill.llm import op1_chunks, op3_ctw, op6_tiles, op9_surrogates, queries
 
 
 def stored(spark, path, rows):
@@ -106,3 +107,23 @@ def test_cards_before_other_digits():
     assert found("1 4111 1111 1111 1111") == [("card", "4111 1111 1111 1111")]
     assert found("555-123-4567 555-123-4568") == [("phone", "555-123-4567"), ("phone", "555-123-4568")]
     assert found("the numbers 4111 1111 1111 1112 and 12345678901234567890123") == []
+
+
+def test_near_vectors_write_what_follows_the_input(spark):
+    """Vectors without clusters may have links in most cells; what is shuffled and stored is still a few times the input."""
+    n, dim, cells = 4000, 64, 40
+    x = np.random.default_rng(3).normal(size=(n, dim)).astype(np.float32)
+    x[1::50] = x[0::50] + np.float32(0.01)
+    table = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<float>").cache()
+    assert table.count() == n
+    sc = spark.sparkContext._jsc.sc()
+
+    def written():
+        sc.listenerBus().waitUntilEmpty(30_000)
+        shuffled = sc.statusStore().executorSummary("driver").totalShuffleWrite()
+        return shuffled + sum(p.stat().st_size for p in Path(spark.conf.get("spark.checkpoint.dir")).rglob("part-*"))
+
+    before = written()
+    found = {r["vec_id"]: (r["n_links"], r["group_id"]) for r in op6_tiles.near_vectors(table, cell_rows=n // cells, block_rows=n // cells).collect()}
+    assert written() - before < 6 * n * dim * 4
+    assert found == {k: (int(k % 50 < 2), k - (k % 50 == 1)) for k in range(n)}

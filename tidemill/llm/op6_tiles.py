@@ -8,14 +8,18 @@ so a pair whose int8 product plus this bound is under the threshold is certainly
 the threshold is certainly a pair. What is between is computed again from the full vectors. The integers go through the matrix product
 as float32, which is exact: a sum of dim * 127 ** 2 stays under 2 ** 24 up to dim 1040, and longer vectors are summed in slices of 1024.
 
-Which tiles are computed: vectors belong to the nearest of some centres, fitted on at most SAMPLE of them (parameter `sample`). If two
-vectors are within the angle t of the threshold, y belongs to cell B and x is at the angle a from its own centre, then x is at most
-a + 2t from B's centre, and at most t more than B's farthest member; a vector visits only the cells where both hold, and of two cells only
-one sends its vectors to the other, so no pair is lost and none is met twice. Members and visitors of a cell are divided into blocks of
-about BLOCK_ROWS, and each two blocks are one group of their own, so a cell that holds a third of all vectors is many tasks.
+Which tiles are computed: vectors belong to the nearest of some centres, fitted on at most SAMPLE of them (parameter `sample`), and those of
+a cell to blocks of at most about BLOCK_ROWS, by their angle from the centre and, where many have the same, by a hash. If two vectors are
+within the angle t of the threshold, y is in a block of cell B and x is at the angle a from its own centre, then x is at most a + 2t from
+B's centre, and no more than t nearer or farther than the block's members are. Two blocks meet where this may hold both ways, and then
+only with the rows for which it does, so no pair is lost, and each two blocks meet once.
 
-Copies of a vector are one class. What a tile says is a row for each class that has a link in it: how many vectors it is linked to, and
-the least class of its component in the tile. Links are counted and components joined over these; no list of pairs is made.
+A vector is stored twice, as it came and in its block, and shuffled once, into its block. Blocks meet by a Cartesian product of the stored
+blocks' partitions, which reads them again for each other partition and writes nothing, so disk follows the input, whatever the vectors
+are like; reading and work may grow with its square.
+
+Copies of a vector are one class. A task adds up what its tiles say: for each class that has a link in them, how many vectors it is linked
+to, and the least class of its component. Links are counted and components joined over these rows; no list of pairs is made.
 
 Defined results: one row for every usable vector, also without links; rows with a null id, or a vector that is null, empty, all zero or
 not finite, are left out; vectors meet only those of their own dimension, however long; repeated rows of one id are one vector; pairs at the
@@ -26,20 +30,21 @@ case alone.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import acos
+from math import acos, pi
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage
+from .common import batch_of, cut_lineage, give_back
 from .graph import components
-from .vectors import by_dimension, distinct_vectors, matrix, sample_rows, unit_rows, usable
+from .vectors import block_of, by_dimension, matrix, sample_rows, stored_vectors, unit_rows
 
 THRESHOLD, SAMPLE, CELL_ROWS, MOST_CELLS, BLOCK_ROWS, SLICE = 0.95, 16_384, 1024, 2048, 2048, 1024
+BINS, BLOCK_BYTES, PART_BYTES, PARTS = 64, 8 << 20, 48 << 20, 16  # PARTS: of the stored blocks at least, where there are as many
 ROUNDING, TURN, LOOK = 1e-9, 1e-6, 1e-5  # of products, of angles, and of a first look in float32
-BLOCKS = pa.schema([("dim", pa.int32()), ("cell", pa.int32()), ("visiting", pa.bool_()), ("block", pa.int32()), ("ids", pa.binary()), ("counts", pa.binary()), ("vectors", pa.binary())])
+BLOCKS = pa.schema([("number", pa.int32()), ("dim", pa.int32()), ("cell", pa.int32()), ("lo", pa.float64()), ("hi", pa.float64()), ("near", pa.list_(pa.float32())), ("ids", pa.binary()), ("counts", pa.binary()), ("vectors", pa.binary())])
 LINKS = pa.schema([("node", pa.int64()), ("links", pa.int64()), ("low", pa.int64())])
 
 
@@ -120,6 +125,48 @@ def angles(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return np.arccos(np.clip(x @ centres.T, -1, 1))
 
 
+def planned(seen: pa.Table, block_rows: int, width: int) -> tuple[dict[int, tuple[np.ndarray, np.ndarray]], np.ndarray, np.ndarray, np.ndarray]:
+    """Blocks for rows counted by (dim, cell, bin): for each dimension its cells' bins' first block and number of blocks, -1 and 0 in cells without rows; the blocks' dimensions, cells and bytes.
+
+    Neighbouring bins share a block while they fit; a bin that doesn't fit has blocks of its own.
+    """
+    order = np.lexsort([seen[c].to_numpy() for c in ("bin", "cell", "dim")])
+    dims, cells, bins, rows = (seen[c].to_numpy()[order] for c in ("dim", "cell", "bin", "rows"))
+    blocks: list[list[float]] = []
+    where: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    for d in np.unique(dims).tolist():
+        most = min(block_rows, max(64, BLOCK_BYTES // (d * width)))
+        mine = np.flatnonzero(dims == d)
+        first, parts = np.full((int(cells[mine].max()) + 1, BINS), -1, np.int32), np.zeros((int(cells[mine].max()) + 1, BINS), np.int32)
+        at, held = -1, most
+        for c, k, n in zip(cells[mine].tolist(), bins[mine].tolist(), rows[mine].tolist(), strict=True):
+            if c == at and held + n <= most:
+                held += n
+                blocks[-1][2] += n * d * width
+                first[c, k], parts[c, k] = len(blocks) - 1, 1
+            else:
+                many = -(-n // most)
+                first[c, k], parts[c, k] = len(blocks), many
+                blocks += [[d, c, n * d * width / many] for _ in range(many)]
+                at, held = c, n if many == 1 else most
+        for f, p in zip(first, parts, strict=True):  # a row that rounding puts in a bin without rows goes where a neighbouring bin goes
+            if len(there := np.flatnonzero(p)):
+                to = there[np.abs(np.arange(BINS)[:, None] - there).argmin(1)]
+                f[:], p[:] = f[to], p[to]
+        where[d] = first, parts
+    out = np.array(blocks, np.float64).reshape(-1, 3)
+    return where, out[:, 0].astype(np.int32), out[:, 1].astype(np.int32), out[:, 2]
+
+
+def summed(said: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows (node, links, low) as one for each node that occurs: its links added up, low the least node of its component."""
+    node, links, low = (np.concatenate(x) for x in zip(*said, strict=True))
+    known, at = np.unique(np.concatenate([node, low]), return_inverse=True)
+    total = np.zeros(len(known), np.int64)
+    np.add.at(total, at[: len(node)], links)
+    return known, total, known[least_linked(len(known), at[: len(node)], at[len(node) :])]
+
+
 def near_vectors(embeddings: DataFrame, threshold: float = THRESHOLD, sample: int = SAMPLE, cell_rows: int = CELL_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(vec_id, class_id, n_links, group_id) for every vector.
 
@@ -127,13 +174,19 @@ def near_vectors(embeddings: DataFrame, threshold: float = THRESHOLD, sample: in
     among them, and group_id the least id that links lead to.
     """
     spark = embeddings.sparkSession
-    member, nodes = distinct_vectors(usable(embeddings), 1)
+    member, nodes = stored_vectors(embeddings)
     kind = np.float32 if nodes.schema["embedding"].dataType.simpleString() == "array<float>" else np.float64
-    cells = max(1, min(MOST_CELLS, nodes.count() // cell_rows))
-    drawn = by_dimension(sample_rows(nodes, sample))
+    known = nodes.count()
+    cells = max(1, min(MOST_CELLS, known // cell_rows))
+    share = min(1.0, (1.25 * sample + 100) / max(1, known))  # of the hashes that the sample is sought among: each task would send the driver as many rows as a sample has
+    drawn = by_dimension(sample_rows(nodes.filter(F.xxhash64("node") <= int(share * (2**64 - 2**12)) - 2**63), sample))
     centres = spark.sparkContext.broadcast({d: centres_of(x, min(cells, max(1, len(x) // 8))) for d, x in drawn.items()})
     near = acos(max(-1.0, min(1.0, threshold))) + TURN
 
+    def turns(x: np.ndarray, d: int) -> np.ndarray:
+        """Angles from the dimension's centres; a dimension that the sample hasn't is one cell, all of it at the angle nought."""
+        return angles(x, centres.value[d]) if d in centres.value else np.zeros((len(x), 1))
+
     def parts(b: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
         """For some rows of one dimension at a time: the dimension, the rows, their full vectors, their angles from the centres."""
         dims = b["dim"].to_numpy()
@@ -141,79 +194,111 @@ def near_vectors(embeddings: DataFrame, threshold: float = THRESHOLD, sample: in
             at = np.flatnonzero(dims == d)
             for some in np.array_split(at, max(1, len(at) // 2048)):
                 raw = matrix(b["embedding"].take(pa.array(some)))
-                x = unit_rows(raw)
-                yield int(d), some, raw, angles(x, centres.value[d]) if d in centres.value else np.zeros((len(x), 1))
+                yield int(d), some, raw, turns(unit_rows(raw), int(d))
+
+    def shell(turn: np.ndarray) -> np.ndarray:
+        return np.minimum((turn * (BINS / pi)).astype(np.int64), BINS - 1)
 
     def homes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for d, some, _, turn in parts(b):
-                cell = turn.argmin(1)
-                reach = np.zeros(turn.shape[1])
-                np.maximum.at(reach, cell, turn.min(1))
-                n = np.bincount(cell, minlength=turn.shape[1])
-                there = np.flatnonzero(n)
-                yield pa.RecordBatch.from_arrays([pa.array([d] * len(there), pa.int32()), pa.array(there.astype(np.int32)), pa.array(reach[there])], names=["dim", "cell", "reach"])
+            for d, _, _, turn in parts(b):
+                there, n = np.unique(turn.argmin(1) * BINS + shell(turn.min(1)), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array([d] * len(there), pa.int32()), pa.array((there // BINS).astype(np.int32)), pa.array((there % BINS).astype(np.int32)), pa.array(n)], names=["dim", "cell", "bin", "rows"])
 
     narrow = nodes.select("node", "n", "dim", "embedding")
-    farthest: dict[int, dict[int, float]] = {}
-    for r in narrow.mapInArrow(homes, "dim int, cell int, reach double").groupBy("dim", "cell").agg(F.max("reach").alias("reach")).filter(F.col("dim").isin(list(drawn))).collect():  # never over cells times the sample's dimensions
-        farthest.setdefault(r["dim"], {})[r["cell"]] = r["reach"]
-    reaches = spark.sparkContext.broadcast(farthest)
+    seen = narrow.mapInArrow(homes, "dim int, cell int, bin int, rows long").groupBy("dim", "cell", "bin").agg(F.sum("rows").alias("rows")).toArrow()  # never over BINS times the cells, and one for each dimension that the sample hasn't
+    where, dim_of, cell_of, filled = planned(seen, block_rows, np.dtype(kind).itemsize)
+    pieces = max(1, min(len(filled), max(PARTS, int(-(-filled.sum() // PART_BYTES)))))
+    part_of = np.minimum((np.cumsum(filled) - filled) * pieces // max(1.0, filled.sum()), pieces - 1).astype(np.int32)
+    plan = spark.sparkContext.broadcast((where, dim_of, cell_of, part_of))
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        where, _, _, part_of = plan.value
         for b in batches:
             for d, some, raw, turn in parts(b):
-                home = turn.argmin(1)
-                reach = np.full(turn.shape[1], -np.inf)
-                for c, x in reaches.value.get(d, {}).items():
-                    reach[c] = x
-                other = np.arange(turn.shape[1])
-                sends = (home[:, None] < other) ^ ((home[:, None] + other) % 2 == 1)
-                goes = sends & (home[:, None] != other) & (turn <= turn.min(1, keepdims=True) + 2 * near) & (turn <= reach + near)
-                i, cell = np.nonzero(goes)
-                i, cell, visits = np.concatenate([np.arange(len(some)), i]), np.concatenate([home, cell]), np.concatenate([np.zeros(len(some), bool), np.ones(len(i), bool)])
-                wire = [v.tobytes() for v in raw.astype(kind)]
-                for s in range(0, len(i), 8192):
-                    k = i[s : s + 8192]
-                    yield pa.RecordBatch.from_arrays([pa.array([d] * len(k), pa.int32()), pa.array(cell[s : s + 8192].astype(np.int32)), pa.array(visits[s : s + 8192]), b["node"].take(pa.array(some[k])), b["n"].take(pa.array(some[k])), pa.array([wire[x] for x in k], pa.binary())], names=["dim", "cell", "visiting", "node", "n", "vector"])
-
-    spread = cut_lineage(narrow.mapInArrow(placed, "dim int, cell int, visiting boolean, node long, n long, vector binary"))
-    blocks_in = lambda c: F.ceil(F.sum(F.when(c, 1).otherwise(0)) / F.lit(block_rows)).cast("int")
-    sizes = cut_lineage(spread.groupBy("dim", "cell").agg(blocks_in(~F.col("visiting")).alias("homes"), blocks_in(F.col("visiting")).alias("visitors")))
-    numbered = spread.join(sizes, ["dim", "cell"]).withColumn("block", F.pmod(F.xxhash64("node"), F.when(F.col("visiting"), F.col("visitors")).otherwise(F.col("homes"))).cast("int"))
-
-    def packed(group: pa.Table) -> pa.Table:
-        one = lambda c: [group[c][0].as_py()]
-        return pa.table([one("dim"), one("cell"), one("visiting"), one("block"), [group["node"].to_numpy().tobytes()], [group["n"].to_numpy().tobytes()], [b"".join(group["vector"].to_pylist())]], schema=BLOCKS)
-
-    blocks = cut_lineage(numbered.select("dim", "cell", "visiting", "block", "node", "n", "vector").groupBy("dim", "cell", "visiting", "block").applyInArrow(packed, "dim int, cell int, visiting boolean, block int, ids binary, counts binary, vectors binary"))
-    every = F.sequence(F.lit(0), F.col("homes") - 1)
-    mine = F.transform(every, lambda j: F.struct(F.least(F.col("block"), j).alias("i"), F.greatest(F.col("block"), j).alias("j"), F.lit(False).alias("met")))
-    meet = F.transform(every, lambda j: F.struct(F.col("block").alias("i"), j.alias("j"), F.lit(True).alias("met")))
-    meets = F.when(F.col("homes") == 0, F.array().cast("array<struct<i:int,j:int,met:boolean>>")).when(F.col("visiting"), meet).otherwise(F.concat(mine, F.when(F.col("visitors") > 0, F.transform(F.sequence(F.lit(0), F.col("visitors") - 1), lambda i: F.struct(i.alias("i"), F.col("block").alias("j"), F.lit(True).alias("met")))).otherwise(F.array().cast("array<struct<i:int,j:int,met:boolean>>"))))
-    tiles = blocks.join(sizes, ["dim", "cell"]).withColumn("tile", F.explode(meets)).select("dim", "cell", "tile", "visiting", "block", "ids", "counts", "vectors")
-
-    def products(group: pa.Table) -> pa.Table:
-        d, where = group["dim"][0].as_py(), group["tile"][0].as_py()
-        rows = sorted(group.select(["visiting", "block", "ids", "counts", "vectors"]).to_pylist(), key=lambda r: (not r["visiting"], r["block"]))
-        same = not where["met"] and where["i"] == where["j"]
-        if len(rows) < 2 and not same:
-            return LINKS.empty_table()
-        full = [unit_rows(np.frombuffer(r["vectors"], kind).reshape(-1, d)) for r in rows]
-        ids, n = [np.frombuffer(r["ids"], np.int64) for r in rows], [np.frombuffer(r["counts"], np.int64) for r in rows]
-        i, j, _ = tile(full[0], full[-1], threshold, same)
-        j = j if same else j + len(ids[0])
-        ids, n = (ids[0], n[0]) if same else (np.concatenate(ids), np.concatenate(n))
-        links = np.bincount(i, n[j], len(ids)) + np.bincount(j, n[i], len(ids))
-        order = np.argsort(ids, kind="stable")  # the first of a component is to be its least id
-        rank = np.empty(len(ids), np.int64)
-        rank[order] = np.arange(len(ids))
-        low = ids[order][least_linked(len(ids), rank[i], rank[j])[rank]]
-        some = links > 0
-        return pa.table([ids[some], np.rint(links[some]).astype(np.int64), low[some]], schema=LINKS)
-
-    said = cut_lineage(tiles.groupBy("dim", "cell", "tile").applyInArrow(products, "node long, links long, low long"))
+                first, count = where[d]
+                turn = np.where((first[:, 0] < 0)[None, :], np.inf, turn[:, : len(first)])
+                home, bin_ = turn.argmin(1), shell(turn.min(1))
+                number = first[home, bin_] + block_of(b["node"].take(pa.array(some)).to_numpy(), count[home, bin_])
+                yield pa.RecordBatch.from_arrays([pa.array(part_of[number]), pa.array(number), b["node"].take(pa.array(some)), b["n"].take(pa.array(some)), pa.array([v.tobytes() for v in raw.astype(kind)], pa.binary())], names=["part", "number", "node", "n", "vector"])
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _, dim_of, cell_of, _ = plan.value
+        if not (held := [b for b in batches if b.num_rows]):
+            return
+        rows = pa.Table.from_batches(held)
+        numbers = rows["number"].to_numpy()
+        order = np.argsort(numbers, kind="stable")
+        for at in np.split(order, np.flatnonzero(np.diff(numbers[order])) + 1):
+            some, number = rows.take(pa.array(at)), int(numbers[at[0]])
+            d, cell, wire = int(dim_of[number]), int(cell_of[number]), b"".join(some["vector"].to_pylist())
+            least, lo, hi = np.inf, np.inf, 0.0
+            for raw in np.array_split(np.frombuffer(wire, kind).reshape(-1, d), max(1, len(at) // 1024)):
+                turn = turns(unit_rows(raw), d)
+                own = turn[:, cell]
+                least, lo, hi = np.minimum(least, np.where(turn <= own[:, None] + 2 * near, turn, np.inf).min(0)), min(lo, float(own.min())), max(hi, float(own.max()))
+            yield batch_of(BLOCKS, [number], [d], [cell], [lo], [hi], [least.astype(np.float32)], [some["node"].to_numpy().tobytes()], [some["n"].to_numpy().tobytes()], [wire])
+
+    spread = narrow.mapInArrow(placed, "part int, number int, node long, n long, vector binary").repartitionById(pieces, F.col("part"))
+    blocks = cut_lineage(spread.mapInArrow(packed, "number int, dim int, cell int, lo double, hi double, near array<float>, ids binary, counts binary, vectors binary"))
+    a, b = (blocks.select(*(F.col(c).alias(f"{side}_{c}") for c in BLOCKS.names)) for side in "ab")
+    may = (F.col("a_number") <= F.col("b_number")) & (F.col("a_dim") - F.col("b_dim") == 0) & (F.get("a_near", F.col("b_cell")) <= F.col("b_hi") + near) & (F.get("b_near", F.col("a_cell")) <= F.col("a_hi") + near)
+    wanted = [f"{side}_{c}" for side in "ab" for c in BLOCKS.names if c != "near"]
+    meets = a.join(b.hint("shuffle_replicate_nl"), may).select(*wanted)
+
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        said: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        rows, most, first = 0, 1 << 20, (-1,)
+
+        def block(batch: pa.RecordBatch, k: int, side: str) -> tuple:
+            number, d, cell, lo, hi = (batch[f"{side}_{c}"][k].as_py() for c in ("number", "dim", "cell", "lo", "hi"))
+            ids, n, raw = (np.frombuffer(batch[f"{side}_{c}"][k].as_buffer(), t) for c, t in (("ids", np.int64), ("counts", np.int64), ("vectors", kind)))
+            x = unit_rows(raw.reshape(-1, d))
+            return number, d, cell, lo, hi, ids.copy(), n.copy(), x
+
+        def towards(one: tuple, other: tuple) -> np.ndarray:
+            """The rows of one block that may have links in another."""
+            _, d, cell, *_, x = one
+            if d not in centres.value:
+                return np.arange(len(x))
+            own, turn = angles(x, centres.value[d][[cell, other[2]]]).T
+            return np.flatnonzero((turn <= own + 2 * near) & (turn <= other[4] + near) & (turn >= other[3] - near))
+
+        for batch in batches:
+            for k in range(batch.num_rows):
+                if batch["a_number"][k].as_py() != first[0]:
+                    first = block(batch, k, "a")
+                if same := batch["b_number"][k].as_py() == first[0]:
+                    other, p = first, np.arange(len(first[5]))
+                    q = p
+                else:
+                    other = block(batch, k, "b")
+                    p, q = towards(first, other), towards(other, first)
+                if not len(p) or not len(q):
+                    continue
+                i, j, _ = tile(first[7][p], other[7][q], threshold, same)
+                if not len(i):
+                    continue
+                ids, n = (first[5], first[6]) if same else (np.concatenate([first[5][p], other[5][q]]), np.concatenate([first[6][p], other[6][q]]))
+                j = j if same else j + len(p)
+                links = np.rint(np.bincount(i, n[j], len(ids)) + np.bincount(j, n[i], len(ids))).astype(np.int64)
+                order = np.argsort(ids, kind="stable")  # the first of a component is to be its least id
+                rank = np.empty(len(ids), np.int64)
+                rank[order] = np.arange(len(ids))
+                low = ids[order][least_linked(len(ids), rank[i], rank[j])[rank]]
+                some = links > 0
+                said.append((ids[some], links[some], low[some]))
+                rows += int(some.sum())
+                if rows > most:
+                    said = [summed(said)]
+                    rows, most = len(said[0][0]), max(1 << 20, 2 * len(said[0][0]))
+        if said:
+            out = summed(said)
+            for at in range(0, len(out[0]), 1 << 16):
+                yield batch_of(LINKS, *(x[at : at + (1 << 16)] for x in out))
+        give_back()
+
+    said = cut_lineage(meets.mapInArrow(products, "node long, links long, low long").repartition("node"))  # else a file for each two partitions of blocks
     roots = components(said.select(F.col("node").alias("a"), F.col("low").alias("b")))
-    linked = said.groupBy("node").agg(F.sum("links").alias("links"))
-    known = nodes.select("node", "n").join(linked, "node", "left").join(roots, "node", "left").select("node", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("root", "node").alias("group_id"))
-    return member.join(known, "node").select("vec_id", F.col("node").alias("class_id"), "n_links", "group_id")
+    linked = said.groupBy("node").agg(F.sum("links").alias("links")).join(roots, "node", "left")
+    return member.join(linked, "node", "left").select("vec_id", F.col("node").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("root", "node").alias("group_id"))

@@ -9,17 +9,39 @@ from pyspark.sql import functions as F
 
 from .common import cut_lineage, mixed64, picked
 
+FEW = 200_000  # rows of a list that is broadcast
 
-def usable(embeddings: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(vec_id, embedding: array of float if it was one, else of double): rows with an id and a vector without null, NaN, infinity, and not all zero.
 
-    Repeated rows of one id are one vector (the least, in the order of arrays).
-    """
+def sound(embeddings: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """(vec_id, embedding: array of float if it was one, else of double): rows with an id and a vector without null, NaN, infinity, and not all zero."""
     raw = picked(embeddings, id_col, vector_col).toDF("vec_id", "embedding")
     kind = "array<float>" if raw.schema["embedding"].dataType.simpleString() == "array<float>" else "array<double>"
     rows = raw.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(kind).alias("embedding"))
-    good = rows.filter("vec_id is not null and embedding is not null and size(embedding) > 0 and forall(embedding, x -> x is not null and not isnan(x) and abs(x) < 1e300D and abs(x) < float('infinity')) and exists(embedding, x -> x <> 0)")
-    return good.groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    return rows.filter("vec_id is not null and embedding is not null and size(embedding) > 0 and forall(embedding, x -> x is not null and not isnan(x) and abs(x) < 1e300D and abs(x) < float('infinity')) and exists(embedding, x -> x <> 0)")
+
+
+def usable(embeddings: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """The sound rows; repeated rows of one id are one vector (the least, in the order of arrays)."""
+    return sound(embeddings, id_col, vector_col).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+
+
+def stored_vectors(embeddings: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What `usable` and `distinct_vectors` give, with vectors stored once and not shuffled: (vec_id, node, n) for each id, and (node, n, embedding, dim) for each distinct vector.
+
+    Only ids and hashes are shuffled to find ids and vectors that repeat. Their list is broadcast up to FEW rows; beyond, vectors are shuffled to meet it.
+    """
+    rows = cut_lineage(sound(embeddings))
+    twice = cut_lineage(rows.groupBy("vec_id").count().filter("count > 1").select("vec_id"))
+    if known := twice.count():
+        listed = F.broadcast(twice) if known <= FEW else twice
+        once = rows.join(listed, "vec_id", "left_anti")
+        rows = (once if known <= FEW else cut_lineage(once)).unionByName(cut_lineage(rows.join(listed, "vec_id", "left_semi").groupBy("vec_id").agg(F.min("embedding").alias("embedding"))))
+    keyed = rows.select("vec_id", F.xxhash64("embedding").alias("a"), F.xxhash64(F.lit(1), F.col("embedding")).alias("b"))
+    classes = keyed.groupBy("a", "b").agg(F.count("*").alias("n"), F.min("vec_id").alias("node")).filter("n > 1")
+    copied = cut_lineage(keyed.join(classes, ["a", "b"]).select("vec_id", "node", "n"))
+    listed = F.broadcast(copied) if copied.count() <= FEW else copied
+    whole = lambda df: df.join(listed, "vec_id", "left").withColumns({"node": F.coalesce("node", "vec_id"), "n": F.coalesce("n", F.lit(1))})
+    return whole(rows.select("vec_id")), whole(rows).filter("node = vec_id").select("node", "n", "embedding", F.size("embedding").alias("dim"))
 
 
 def distinct_vectors(vectors: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
