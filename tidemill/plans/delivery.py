@@ -32,9 +32,9 @@ def packed(spark, sf_dir):
     FROM f JOIN x ON x.sample_id = f.sample_id + 1)
 SELECT sample_id, byte_length, shard, byte_offset FROM f""")
 def pack_plan(spark, sf_dir):
-    """Where each document's bytes are in which tar shard."""
+    """Where each document's bytes are in which tar shard; a document without characters is a header alone."""
     made = objects(spark, sf_dir).select("path", F.octet_length("payload").alias("byte_length"))
-    return packing.planned(made, SHARD_MB << 20).select("sample_id", "byte_length", "shard", "byte_offset")
+    return packing.planned(made, SHARD_MB << 20, empty=True).select("sample_id", "byte_length", "shard", "byte_offset")
 
 
 @query(f"SELECT sample_id, byte_length, sha256(text) AS digest FROM {PATHS}")
