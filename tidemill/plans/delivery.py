@@ -22,7 +22,7 @@ def objects(spark, sf_dir):
 
 
 def packed(spark, sf_dir):
-    return packing.pack(objects(spark, sf_dir).select("path", "payload"), new_folder(spark, "pack"), SHARD_MB, "none")
+    return packing.pack(objects(spark, sf_dir).select("path", "payload"), new_folder(spark, "pack"), SHARD_MB, "none", empty=True)
 
 
 @query(f"""WITH RECURSIVE x AS MATERIALIZED (SELECT sample_id, byte_length, 512 + ((byte_length + 511) // 512) * 512 AS entry FROM {PATHS}), f AS (
