@@ -15,7 +15,7 @@ def some_empty(small, tmp_path_factory):
     return str(where)
 
 
-@pytest.mark.parametrize("name", ["pack_plan", "payload_digests"])
+@pytest.mark.parametrize("name", ["pack_plan", "payload_digests", "ranged_bytes"])
 def test_empty_documents(spark, some_empty, name):
     con = duckdb.connect()
     con.sql(f"CREATE VIEW documents AS SELECT * FROM '{some_empty}/documents.parquet'")

@@ -69,6 +69,15 @@ def whole_of(location: str, data: bytes) -> bytes:
 READERS: dict[str, Reader] = {"file": local_reader}
 
 
+def one_read(known: dict[str, Reader], attempts: int, sample_id: int, scheme: str, location: str, offset: int | None, length: int | None) -> bytes:
+    if scheme not in known:
+        raise ValueError(f"no reader for {scheme}: {location}")
+    if (offset is None) != (length is None):
+        raise ValueError(f"offset and length come together: sample {sample_id}")
+    data = retried(lambda: known[scheme](location, offset, length), attempts, sample_id)
+    return data if scheme == "file" or offset is not None else whole_of(location, data)
+
+
 def with_bytes(rows: DataFrame, readers: dict[str, Reader] | None = None, attempts: int = 3) -> DataFrame:
     """rows (sample_id, location, byte_offset, byte_length, ..) with payload.
 
@@ -85,14 +94,8 @@ def with_bytes(rows: DataFrame, readers: dict[str, Reader] | None = None, attemp
             columns = [b.column(at[n]).to_pylist() for n in ("sample_id", "location", "byte_offset", "byte_length")]
             start, held, data = 0, 0, []
             for k, (i, location, offset, length) in enumerate(zip(*columns, strict=True)):
-                scheme = b.column(len(names))[k].as_py()
-                if scheme not in known:
-                    raise ValueError(f"no reader for {scheme}: {location}")
-                if (offset is None) != (length is None):
-                    raise ValueError(f"offset and length come together: sample {i}")
-                one = retried(lambda s=scheme, x=location, o=offset, n=length: known[s](x, o, n), attempts, i)
-                data.append(one if scheme == "file" or offset is not None else whole_of(location, one))
-                held += len(one)
+                data.append(one_read(known, attempts, i, b.column(len(names))[k].as_py(), location, offset, length))
+                held += len(data[-1])
                 if held >= OUT:
                     yield pa.RecordBatch.from_arrays([*(c.slice(start, len(data)) for c in b.columns[:-1]), pa.array(data, pa.binary())], names=[*names, "payload"])
                     start, held, data = k + 1, 0, []
@@ -110,16 +113,32 @@ def header_range(offset: int, length: int) -> str:
     return f"bytes={offset}-{offset + length - 1}"
 
 
-def with_ranges(plans: DataFrame, readers: dict[str, Reader] | None = None) -> DataFrame:
-    """(plan_id, payload) from (plan_id, location, part, byte_offset, byte_length): the half-open ranges of each plan, end to end in order of part."""
-    read = with_bytes(plans.withColumn("sample_id", F.col("plan_id")), readers)
-    schema = pa.schema([("plan_id", pa.int64()), ("payload", pa.binary())])
+def with_ranges(plans: DataFrame, readers: dict[str, Reader] | None = None, attempts: int = 3) -> DataFrame:
+    """(plan_id, payload) from (plan_id, location, part, byte_offset, byte_length): the half-open ranges of each plan, end to end in order of part.
+
+    The plans are shuffled, not the bytes: one task reads all ranges of a plan, and plans lie where their first range does (see with_bytes).
+    """
+    known = dict(READERS) | (readers or {})
+    each = F.struct("part", "location", "byte_offset", "byte_length", manifest.scheme(F.col("location")).alias("scheme"))
+    whole = plans.groupBy(F.col("plan_id").cast("long").alias("plan_id")).agg(F.sort_array(F.collect_list(each)).alias("ranges"))
+    at = whole.select("plan_id", "ranges", F.expr("ranges[0].location").alias("location"), F.expr("coalesce(ranges[0].byte_offset, 0)").alias("byte_offset"))
+    spread = at.repartition(F.xxhash64("location", F.expr(f"byte_offset div {SPAN}"))).sortWithinPartitions("location", "byte_offset", "plan_id")
 
-    def joined(group: pa.Table) -> pa.Table:
-        t = group.sort_by("part")
-        return pa.table([[t["plan_id"][0].as_py()], [b"".join(t["payload"].to_pylist())]], schema=schema)
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = lambda ids, data: pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(data, pa.binary())], names=["plan_id", "payload"])
+        for b in batches:
+            ids, data, held = [], [], 0
+            for i, ranges in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                ids.append(i)
+                data.append(b"".join(one_read(known, attempts, i, r["scheme"], r["location"], r["byte_offset"], r["byte_length"]) for r in ranges))
+                held += len(data[-1])
+                if held >= OUT:
+                    yield out(ids, data)
+                    ids, data, held = [], [], 0
+            if ids:
+                yield out(ids, data)
 
-    return read.select("plan_id", "part", "payload").groupBy("plan_id").applyInArrow(joined, "plan_id long, payload binary")
+    return spread.select("plan_id", "ranges").mapInArrow(read, "plan_id long, payload binary")
 
 
 def clip_bytes(plans: DataFrame, whole: DataFrame, readers: dict[str, Reader] | None = None) -> DataFrame:
