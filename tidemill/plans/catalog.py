@@ -394,8 +394,12 @@ def utf8_policy(spark, sf_dir):
 
 @query("SELECT vec_id, len(embedding) AS n, list_sum(list_transform(e, lambda x: (x * 1000)::INT))::BIGINT AS total, len(e)::INT AS kept FROM (SELECT *, list_concat(embedding, list_transform(range(0, 100), lambda x: 0::FLOAT))[1:100] AS e FROM embeddings)")
 def audio_pad_truncate(spark, sf_dir):
-    made = t(spark, sf_dir, "embeddings").withColumn("e", media.padded(F.col("embedding"), 100, F.lit(0).cast("float")))
-    return made.select("vec_id", F.size("embedding").cast("long").alias("n"), F.aggregate("e", F.lit(0).cast("long"), lambda a, x: a + F.rint(x.cast("double") * 1000).cast("long")).alias("total"), F.size("e").alias("kept"))
+    """Frames padded or cut to 100; they are scaled as 32-bit floats, as in the SQL. No frames at all count as none, unknown ones have no part in the total."""
+    frames = F.coalesce("embedding", F.array().cast("array<float>"))
+    made = t(spark, sf_dir, "embeddings").withColumn("e", media.padded(frames, 100, F.lit(0).cast("float")))
+    scaled = F.transform(F.filter("e", lambda x: x.isNotNull()), lambda x: F.rint(x * F.lit(1000).cast("float")).cast("long"))
+    total = F.when(F.exists("e", lambda x: x.isNotNull()), F.aggregate(scaled, F.lit(0).cast("long"), lambda a, x: a + x))
+    return made.select("vec_id", F.when(F.col("embedding").isNotNull(), F.size("embedding")).cast("long").alias("n"), total.alias("total"), F.size("e").alias("kept"))
 
 
 @query("SELECT l_orderkey, l_linenumber, greatest(-1.0::DOUBLE, least(1.0::DOUBLE, (l_partkey * 37 % 70000 - 35000) / 32768.0::DOUBLE)) AS x FROM lineitem")
